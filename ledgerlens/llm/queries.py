@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import token_counts
+from ledgerlens.llm import mixing, token_counts
 from ledgerlens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
