@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, token_counts
+from ledgerlens.llm import mixing, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -18,6 +18,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"), shard_bytes=16 << 20, roll_bytes=4 << 20)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f USING (d)""",
+}
