@@ -10,6 +10,7 @@ so the table answers truncation and budget questions without encoding anything a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,12 @@ def _byte_chars() -> list[str]:
 
 
 class PrefixCounter:
-    """Prefix tables of texts for one tokenizer file. cache_units bounds the memory of the unit cache."""
+    """Prefix tables of texts for one tokenizer file.
 
-    def __init__(self, path: str, cache_units: int = 200_000, cache_bytes: int = 96):
+    cache_units bounds the unit cache: when that many are new, the older generation goes, and what is met again moves up.
+    """
+
+    def __init__(self, path: str, cache_units: int = 300_000, cache_bytes: int = 96):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -46,27 +50,31 @@ class PrefixCounter:
         self._chars = _byte_chars()
         self._pairs: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[bytes, int, int]] = {}
+        self._older: dict[str, tuple[bytes, int, int]] = {}
         self._most, self._short = cache_units, cache_bytes
 
     def _follows(self, last: str, token: str) -> bool:
-        key = (last, token)
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= 4 * self._most:
-                self._pairs.clear()
-            known = [t.value for t in self._model.tokenize(last + token)] == ([last, token] if last else [token])
-            self._pairs[key] = known
+        """Whether the merge rules leave these two tokens as they are, side by side."""
+        if len(self._pairs) >= 4 * self._most:
+            self._pairs.clear()
+        known = [t.value for t in self._model.tokenize(last + token)] == ([last, token] if last else [token])
+        self._pairs[last, token] = known
         return known
 
     def _piece(self, piece: str) -> list[int]:
         """Counts after each byte of one pre-token."""
         s = "".join([self._chars[b] for b in piece.encode()])
+        vocab, pairs, longest = self._vocab, self._pairs, self._longest
         counts, last = [0], [""]
         for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self._longest), i):
-                if (token := s[j:i]) in self._vocab and self._follows(last[j], token):
-                    counts.append(counts[j] + 1)
-                    last.append(token)
-                    break
+            for j in range(i - longest if i > longest else 0, i):
+                token = s[j:i]
+                if token in vocab:
+                    known = pairs.get((last[j], token))
+                    if known or known is None and self._follows(last[j], token):
+                        counts.append(counts[j] + 1)
+                        last.append(token)
+                        break
         if piece in CONTRACTIONS and len(piece) == 3:
             counts[2] = 2  # cut after two characters, the mark and the letter are two pre-tokens
         return counts[1:]
@@ -87,19 +95,20 @@ class PrefixCounter:
         return np.array(counts, np.int32).tobytes(), len(counts), total
 
     def _known(self, unit: str) -> tuple[bytes, int, int]:
-        if (found := self._units.get(unit)) is None:
-            found = self._unit(unit)
-            if found[1] <= self._short:
-                if len(self._units) >= self._most:
-                    self._units.clear()
-                self._units[unit] = found
+        """A unit that is not in the younger generation."""
+        found = self._older.get(unit) or self._unit(unit)
+        if found[1] <= self._short:
+            if len(self._units) >= self._most:
+                self._older, self._units = self._units, {}
+            self._units[unit] = found
         return found
 
     def _plain(self, text: str) -> tuple[np.ndarray, int]:
         end = len(text)
         while end and _SPACE.match(text[end - 1]):
             end -= 1
-        parts = [self._known(u) for u in _UNIT.findall(text[:end])]
+        units = _UNIT.findall(text[:end])
+        parts = [found or self._known(u) for u, found in zip(units, map(self._units.get, units))]
         if end < len(text):
             tail = self._piece(text[end:])
             parts.append((np.array(tail, np.int32).tobytes(), len(tail), tail[-1]))
@@ -130,6 +139,12 @@ class PrefixCounter:
         return np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> PrefixCounter:
+    """One counter for all tasks of a worker."""
+    return PrefixCounter(path)
+
+
 def longest_within(table: np.ndarray, limit: int) -> int:
     """Bytes of the longest prefix from which on no shorter prefix exceeds the limit."""
     over = np.flatnonzero(table > limit)
@@ -146,7 +161,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
     schema = f"{id_col} {key}, n_bytes bigint, n_tokens bigint, over_limit boolean, bytes_within_limit bigint" + (", prefix_counts binary" if with_table else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer_path)
+        counter = _counter(tokenizer_path)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
