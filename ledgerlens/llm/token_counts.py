@@ -9,6 +9,7 @@ so the table answers truncation and budget questions without encoding anything a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,11 +44,13 @@ class PrefixCounter:
 
         tokenizer = Tokenizer.from_file(path)
         self._model = tokenizer.model
-        self._vocab = set(tokenizer.get_vocab(with_added_tokens=False))
+        self._stand_in = str.maketrans(dict(enumerate(_byte_chars())))
+        back = {ord(c): b for b, c in enumerate(_byte_chars())}
+        #: Tokens as strings of one character per byte.
+        self._vocab = {t.translate(back) for t in tokenizer.get_vocab(with_added_tokens=False)}
         self._longest = max(map(len, self._vocab))
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self._chars = _byte_chars()
         self._pairs: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[bytes, int, int]] = {}
         self._older: dict[str, tuple[bytes, int, int]] = {}
@@ -55,15 +58,16 @@ class PrefixCounter:
 
     def _follows(self, last: str, token: str) -> bool:
         """Whether the merge rules leave these two tokens as they are, side by side."""
-        if len(self._pairs) >= 4 * self._most:
+        if len(self._pairs) >= 2 * self._most:
             self._pairs.clear()
-        known = [t.value for t in self._model.tokenize(last + token)] == ([last, token] if last else [token])
+        found = [t.value for t in self._model.tokenize((last + token).translate(self._stand_in))]
+        known = found == [t.translate(self._stand_in) for t in (last, token) if t]
         self._pairs[last, token] = known
         return known
 
     def _piece(self, piece: str) -> list[int]:
         """Counts after each byte of one pre-token."""
-        s = "".join([self._chars[b] for b in piece.encode()])
+        s = piece.encode().decode("latin-1")
         vocab, pairs, longest = self._vocab, self._pairs, self._longest
         counts, last = [0], [""]
         for i in range(1, len(s) + 1):
@@ -82,8 +86,9 @@ class PrefixCounter:
     def _unit(self, unit: str) -> tuple[bytes, int, int]:
         """Counts after each byte of a unit followed by more text, their number, and what the unit adds."""
         run = 0
-        while run < len(unit) and _SPACE.match(unit[run]):
-            run += 1
+        if unit[1:2].isspace():
+            while run < len(unit) and _SPACE.match(unit[run]):
+                run += 1
         if run < 2:
             counts = self._piece(unit)
             total = counts[-1]
@@ -92,7 +97,7 @@ class PrefixCounter:
             base = self._piece(unit[: run - 1])[-1]
             counts = head + [base + c for c in rest[len(unit[run - 1].encode()) :]]
             total = base + rest[-1]
-        return np.array(counts, np.int32).tobytes(), len(counts), total
+        return array("i", counts).tobytes(), len(counts), total
 
     def _known(self, unit: str) -> tuple[bytes, int, int]:
         """A unit that is not in the younger generation."""
@@ -111,7 +116,7 @@ class PrefixCounter:
         parts = [found or self._known(u) for u, found in zip(units, map(self._units.get, units))]
         if end < len(text):
             tail = self._piece(text[end:])
-            parts.append((np.array(tail, np.int32).tobytes(), len(tail), tail[-1]))
+            parts.append((array("i", tail).tobytes(), len(tail), tail[-1]))
         adds = np.array([p[2] for p in parts], np.int64)
         before = np.cumsum(adds) - adds
         inner = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
