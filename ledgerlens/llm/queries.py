@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, token_counts, warc
+from ledgerlens.llm import mixing, quality_rules, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -23,7 +23,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": """
