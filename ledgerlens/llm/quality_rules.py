@@ -30,14 +30,16 @@ def _spread(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(f"_{name}", value)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """id, the five base counts and the features of every text; one row per input row, without a shuffle.
 
     Null and empty texts have zeros. Words are runs of anything but ASCII white space. n_repeat_words counts words in
     windows of five words that the text holds twice or more; windows are compared by a 64-bit hash within one text.
-    Other input columns are not read.
+    Other input columns are not read, but for row_col: the name of a struct that carries the whole input row.
+    The result stands above a generator, so that later filters on it do not evaluate the statistics again.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if row_col else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *carried)
     d = _spread(d, "bare", F.translate("_text", SPACES, ""))
     d = _spread(d, "w", words_of(F.col("_text")))
     d = _spread(d, "n", F.size("_w"))
@@ -65,9 +67,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lost("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("_upper"),
         lost("!?").alias("_marks"),
         "_distinct",
+        *(["_row"] if row_col else []),
     )
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
-    return d.select(
+    out = F.struct(
         "doc_id",
         *STATS,
         F.col("n_words").cast("double").alias("words"),
@@ -78,7 +81,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         per("_upper", "word_chars").alias("upper"),
         per("_marks", "n_words").alias("marks"),
         per("_distinct", "n_words").alias("distinct"),
+        *([F.col("_row").alias(row_col)] if row_col else []),
     )
+    return d.select(F.inline(F.array(out)))
 
 
 @dataclass(frozen=True)
@@ -205,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, id_col: s
     return learn(labelled(docs, labels, max_labelled, id_col, text_col), **options)
 
 
-def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, rule_rejects and kept; one row per input row."""
-    rows = statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("rule_rejects", ~verdict(rules))
-    return rows.select("doc_id", *STATS, "base_failed", "rule_rejects", (~F.col("base_failed") & ~F.col("rule_rejects")).alias("kept"))
+def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, rule_rejects, kept and, if named, the input row; one row per input row."""
+    rows = statistics(docs, id_col, text_col, row_col).withColumn("base_failed", base_failed()).withColumn("rule_rejects", ~verdict(rules))
+    return rows.select("doc_id", *STATS, "base_failed", "rule_rejects", (~F.col("base_failed") & ~F.col("rule_rejects")).alias("kept"), *([row_col] if row_col else []))

@@ -61,3 +61,9 @@ def test_no_labels(spark):
     assert q.fit(docs, labels.limit(0)) == []
     assert all(r.kept for r in q.apply(docs.where("doc_id % 5 > 0"), []).collect())
     assert q.fit(docs.limit(0), labels) == []
+
+
+def test_filters_stay_above(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k", "x"), (2, "x " * 20_000, "y"), (3, None, "z")], "doc_id long, text string, kept string")
+    rows = q.apply(df, [], row_col="row").where("kept").select("row.*").collect()
+    assert [(r.doc_id, r.kept) for r in rows] == [(1, "x")]
