@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, mixing, quality_rules, token_counts, warc
+from ledgerlens.llm import decontamination, mixing, quality_rules, substring_dedup, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -33,9 +33,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op7_decontamination": op7_decontamination, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM win SEMI JOIN dup USING (h)),
+        word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS s FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_decontamination": r"""
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
