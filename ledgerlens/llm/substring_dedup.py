@@ -171,7 +171,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, batches: in
     index = FingerprintIndex(spark)
     for k in range(batches):
         index.append(blocks.where(F.pmod("id", F.lit(batches)) == k).select("fp", "block"))
-    met = written(blocks.join(index.repeated(), "fp"), "blocks-met")
+    repeated = written(index.repeated(), "repeated")  # on its own, so that a hot fingerprint can be split in the join
+    met = written(blocks.join(repeated, "fp"), "blocks-met")
 
     mixed = met.where("mixed")
     kinds = written(mixed.groupBy("fp", "block").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "start", "len")).alias("at")), "block-kinds")
