@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, warc
+from ledgerlens.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -41,7 +41,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), max_edits=2, min_chars=20).select("doc_id", "n_lines", "n_equal", "n_near", "kept_sha256")
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_ngram_jaccard": op6_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": r"""
@@ -50,8 +54,8 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
-        both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+        sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a) m USING (doc_id)""",
     "op5_substring_dedup": r"""
