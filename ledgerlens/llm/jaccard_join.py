@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. It is cut into ranges, the fragments, and every set
-into its segments by fragment. Two uses are made of fragments:
+into its segments by fragment. Uses of the fragments:
 
 * Candidates. With m fragments, two sets whose symmetric difference is at most d agree in at least m - d segments.
   Sets of about one size are cut into the same m, so that a segment holds a few n-grams, and each set is filed under
@@ -10,7 +10,8 @@ into its segments by fragment. Two uses are made of fragments:
   count is filed under all of its segments. Frequent n-grams do not make candidates unless whole segments agree.
 * Overlaps. Per pair, the common n-grams of each fragment are counted apart and summed.
 
-Equal sets are one node. In a group of nodes filed together, all are paired with one leader, never with each other;
+Equal sets are one node. In a group of nodes filed together, all are paired with one leader (the one that meets most
+others over all its keys), never with each other;
 pairs that components already join are not compared. Only groups that still hold several components afterwards have
 their remaining cross pairs compared, so no link between components is lost, and copies cost one comparison each.
 """
@@ -34,6 +35,8 @@ from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 FRAGMENTS, KEPT_BYTES = 16, 6
 #: Buckets that are broadcast at most to leave out rows before a shuffle.
 BUCKETS = 1 << 20
+#: Nodes under one key beyond which they are filed anew without frequent n-grams.
+HOT = 64
 SET_SCHEMA = "row long, id long, mark int, doc_id long, n_shingles long, sig binary, keys array<long>"
 
 
@@ -56,16 +59,19 @@ def _classes(percent: int, reach: int) -> list[int]:
     return out
 
 
-def _filed(u: np.ndarray, m: int, d: int, salt: int) -> np.ndarray:
-    """Keys of the segments under which a set is filed."""
+def _filed(u: np.ndarray, rare: np.ndarray, m: int, d: int, salt: int) -> np.ndarray:
+    """Keys of the segments under which a set is filed; rare: which n-grams are not frequent."""
     fragment = ((u >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     count = np.bincount(fragment.astype(np.int64), minlength=m)
     sums = np.zeros(m, np.uint64)
     with np.errstate(over="ignore"):
         np.add.at(sums, fragment.astype(np.int64), mixed(u))
-        good = np.flatnonzero(count >= 2)
+        any_rare = np.bincount(fragment.astype(np.int64), weights=rare, minlength=m) > 0
+        good = np.flatnonzero((count >= 2) & any_rare)
         if m - d - (m - len(good)) > 0:
             chosen = good[: d + 1]
+        elif m - d - int((~any_rare).sum()) > 0:
+            chosen = np.flatnonzero(any_rare)
         elif m - d - int((count == 0).sum()) > 0:
             chosen = np.flatnonzero(count)
         else:
@@ -74,17 +80,18 @@ def _filed(u: np.ndarray, m: int, d: int, salt: int) -> np.ndarray:
         return mixed(sums[chosen] + mixed(place) + count[chosen].astype(np.uint64)).view(np.int64)
 
 
-def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
+def keys_of(u: np.ndarray, percent: int, rare: np.ndarray | None = None) -> np.ndarray:
     """Candidate keys of a set: in its size class and, if it can be the larger side there, in the class below."""
     s, rest = len(u), 100 - percent
     if s * rest // percent == 0:
         return np.zeros(0, np.int64)
+    rare = np.ones(s, bool) if rare is None else rare
     edges = _classes(percent, 1 << max(20, s.bit_length()))
     k = int(np.searchsorted(edges, s, side="right")) - 1
     fragments = lambda k: max(-(-5 * ((edges[k + 1] - 1) * rest // percent) // 4), (edges[k + 1] - 1) * rest // percent + 2)
-    keys = [_filed(u, fragments(k), s * rest // percent, k)]
+    keys = [_filed(u, rare, fragments(k), s * rest // percent, k)]
     if k and s * percent <= 100 * (edges[k] - 1):
-        keys.append(_filed(u, fragments(k - 1), (s + edges[k] - 1) * rest // (100 + percent), k - 1))
+        keys.append(_filed(u, rare, fragments(k - 1), (s + edges[k] - 1) * rest // (100 + percent), k - 1))
     return np.concatenate(keys)
 
 
@@ -169,6 +176,39 @@ def _overlaps(joined: DataFrame) -> DataFrame:
     return joined.select("leader", "node", "n", "leader_n", "part", "leader_part").mapInArrow(run, schema)
 
 
+def _texts_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """places (id, mark, row, ...) with their text; only texts in the buckets of places are shuffled."""
+    bucket = F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS))
+    buckets = F.broadcast(places.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
+    near = texts.withColumn("_b", bucket).join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").drop("_b")
+    return near.join(places, ["id", "mark"]).dropDuplicates(["id", "mark", "row"])  # rows equal in id and text
+
+
+def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, node of the nodes in hot (row, id, mark), without their frequent n-grams."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(0)
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                u = shingles(text, size, powers).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), row)), pa.array(u)], names=["node", "gram"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for held in batch.column("held").to_pylist():
+                gram = np.array([x["gram"] for x in held], np.int64).view(np.uint64)
+                order = np.argsort(gram)
+                out.append(keys_of(gram[order], percent, np.array([x["rare"] for x in held])[order]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    held = written(_texts_at(texts, hot).select("row", "text").mapInArrow(grams, "node long, gram long"), "hot-grams")
+    often = written(held.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("often")), "frequent-grams")
+    held = held.join(often, "gram", "left").groupBy("node").agg(F.collect_list(F.struct("gram", F.col("often").isNull().alias("rare"))).alias("held"))
+    return held.mapInArrow(keys, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+
+
 class _Verifier:
     """Compares pairs of nodes (row numbers of sets) on their texts."""
 
@@ -186,10 +226,7 @@ class _Verifier:
         roles = pairs.select(F.col("node").alias("row"), F.col("leader").alias("x")).union(pairs.select(F.col("leader"), F.lit(None).cast("long")).distinct())
         roles = roles.groupBy("row").agg(F.collect_list("x").alias("leaders"), F.bool_or(F.col("x").isNull()).alias("leads"))
         roles = written(roles.join(self._places, "row").select("row", "id", "mark", "leaders", "leads"), "roles")
-        bucket = F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS))
-        buckets = F.broadcast(roles.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
-        texts = self._texts.withColumn("_b", bucket).join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").drop("_b")
-        rows = texts.join(roles, ["id", "mark"]).dropDuplicates(["id", "mark", "row"])  # rows equal in id and text
+        rows = _texts_at(self._texts, roles)
         parts = _segments(rows.select("row", "text", "leaders", "leads"), self._size)
         parts = written(parts, "segments")
         lead = parts.where("node is null").select("fragment", "leader", F.col("n").alias("leader_n"), F.col("part").alias("leader_part"))
@@ -198,6 +235,13 @@ class _Verifier:
         return written(sums.where(100 * F.col("i") >= p * (F.col("n") + F.col("m") - F.col("i"))).select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
 
 
+def _met(filed: DataFrame) -> DataFrame:
+    """key, node, n of filed nodes that meet others; n: nodes under the key."""
+    groups = filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    groups = written(groups.select("key", "n"), "groups")  # on its own, so that a hot key can be split in the join
+    return written(filed.join(groups, "key"), "met")
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, first (one row of each component has it true).
 
@@ -213,9 +257,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     copies = sets.select("row", "sig").join(nodes.where("copies > 1").select("sig", "node"), "sig").where("row <> node")
     copies = written(copies.select("row"), "copies")
     filed = _without(sets.select("row", "keys"), copies).select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    groups = filed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    groups = written(groups, "groups")  # on its own, so that a hot key can be split in the join
-    met = written(filed.join(groups, "key"), "met")
+    met = _met(filed)
+    hot = written(met.where(F.col("n") > HOT).select(F.col("node").alias("row")).distinct().join(sets.select("row", "id", "mark"), "row"), "hot")
+    again = _met(_filed_anew(texts.select("id", "mark", "text"), hot, size, percent))
+    met = written(met.where(F.col("n") <= HOT).unionByName(again), "met")
+    degree = written(met.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    leaders = met.select("key", "node").join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("x"))
+    met = written(met.select("key", "node").join(written(leaders.select("key", (-F.col("x.minus")).alias("leader")), "group-leaders"), "key"), "met-leaders")
 
     verify = _Verifier(texts, sets, size, percent)
     pairs = written(met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared")), "leaders")

@@ -85,3 +85,12 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.join(df).count() == 0
     assert len(j.shingles("A b", 4, Powers(0))) == 1
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_keys(spark, hot, monkeypatch):
+    monkeypatch.setattr(j, "HOT", hot)
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, 4, 85).collect()], key=str)
+    assert got == brute(rows, 4, 85)[0]
