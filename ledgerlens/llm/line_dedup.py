@@ -219,7 +219,7 @@ def near_lines(table: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     groups = written(groups.select("key", "n"), "line-groups")
     members = _some(keys, ["key"], groups).join(groups, "key").groupBy("key", "line").agg(F.max("n").alias("n"))
     members = written(members, "line-members")
-    at = table.select("id", "mark", F.explode("key_lines").alias("line"))
+    at = table.select("id", "mark", F.explode(F.array_distinct("key_lines")).alias("line"))
     wanted = written(members.select("line").distinct(), "lines-wanted")
     asked = _some(at, ["line"], wanted).join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "mark")).alias("at")).select("line", "at.id", "at.mark")
     contents = written(_texts_of(texts, asked), "line-texts")
