@@ -31,6 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Numbers that a pre-filter broadcasts at most.
+BUCKETS = 1 << 20
+
+
+def screened(rows: DataFrame, keys: list[str], other: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose keys may be (left_semi) or surely are not (left_anti) in other, which is a written table.
+
+    Compares hashes of the keys, taken modulo BUCKETS where other has more of them, so at most BUCKETS numbers are
+    broadcast. An exact join may follow; it then shuffles few rows.
+    """
+    mark = F.xxhash64(*keys)
+    marks = other.select(mark.alias("_mark")).distinct()
+    if marks.limit(BUCKETS + 1).count() > BUCKETS:
+        mark = F.pmod(mark, F.lit(BUCKETS))
+        marks = other.select(mark.alias("_mark")).distinct()
+    return rows.withColumn("_m", mark).join(F.broadcast(marks), F.col("_m") == F.col("_mark"), how).drop("_m")
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text by ASCII white space; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), lambda w: w != "")

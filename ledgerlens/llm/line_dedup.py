@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import screened, written
 
-BUCKETS = 1 << 20
 #: Lines of a block; a task holds two blocks of a group.
 BLOCK = 256
 BLANKS = " \t\n\x0b\x0c\r"
@@ -97,16 +96,18 @@ def _line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
     return docs.select(
+        *carry,
         F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), F.hash(F.col(text_col), F.col(id_col).isNull()).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
 
 
-def document_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """row, id, mark, doc_id, sha (of the text), lines (hash of each stripped line, null for blank ones), keys (hashed,
+def document_lines(docs: DataFrame, edits: int, min_chars: int, carry: list[str]) -> DataFrame:
+    """The columns to carry, row, id, mark, doc_id, sha (of the text), lines (hash of each stripped line, null for blank ones), keys (hashed,
     all of a text) and key_lines (the line of each key)."""
-    schema = "row long, id long, mark int, doc_id long, sha string, lines array<long>, keys array<long>, key_lines array<long>"
+    names = ["row", "id", "mark", "doc_id", "sha", "lines", "keys", "key_lines", *carry]
+    schema = ", ".join(["row long, id long, mark int, doc_id long, sha string, lines array<long>, keys array<long>, key_lines array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -135,22 +136,16 @@ def document_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 for col, v in zip(cols, (hashlib.sha256(text.encode()).hexdigest(), hashes, np.array(keys, np.uint64).view(np.int64), np.array(owners, np.int64))):
                     col.append(v)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(cols[0]), pa.array(cols[1], longs), pa.array(cols[2], longs), pa.array(cols[3], longs)], names=[f.split(" ")[0] for f in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(cols[0]), pa.array(cols[1], longs), pa.array(cols[2], longs), pa.array(cols[3], longs), *(batch.column(c) for c in carry)], names=names)
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return rows.select("row", "id", "mark", "doc_id", "text").mapInArrow(run, schema)
-
-
-def _some(rows: DataFrame, key: list[str], other: DataFrame) -> DataFrame:
-    """rows whose key may be in other: at most BUCKETS numbers are broadcast."""
-    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
-    return rows.withColumn("_b", bucket).join(F.broadcast(other.select(bucket.alias("_bucket")).distinct()), F.col("_b") == F.col("_bucket"), "left_semi").drop("_b")
+    return rows.select("row", "id", "mark", "doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def _texts_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """line (hash), content of each asked line; asked: id, mark, line."""
-    asked = asked.groupBy("id", "mark").agg(F.collect_set("line").alias("asked"))
-    rows = _some(texts.select("id", "mark", "text"), ["id", "mark"], asked).join(asked, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    asked = written(asked.groupBy("id", "mark").agg(F.collect_set("line").alias("asked")), "asked")
+    rows = screened(texts.select("id", "mark", "text"), ["id", "mark"], asked).join(asked, ["id", "mark"]).dropDuplicates(["id", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +212,11 @@ def near_lines(table: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     keys = table.select(F.inline(F.arrays_zip("keys", "key_lines"))).select(F.shiftright("keys", 1).alias("key"), F.col("keys").bitwiseAND(F.lit(1)).alias("own"), F.col("key_lines").alias("line"))
     groups = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("own"), F.count("*").alias("n")).where("low < high and own = 1")
     groups = written(groups.select("key", "n"), "line-groups")
-    members = _some(keys, ["key"], groups).join(groups, "key").groupBy("key", "line").agg(F.max("n").alias("n"))
+    members = screened(keys, ["key"], groups).join(groups, "key").groupBy("key", "line").agg(F.max("n").alias("n"))
     members = written(members, "line-members")
     at = table.select("id", "mark", F.explode(F.array_distinct("key_lines")).alias("line"))
     wanted = written(members.select("line").distinct(), "lines-wanted")
-    asked = _some(at, ["line"], wanted).join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "mark")).alias("at")).select("line", "at.id", "at.mark")
+    asked = screened(at, ["line"], wanted).join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "mark")).alias("at")).select("line", "at.id", "at.mark")
     contents = written(_texts_of(texts, asked), "line-texts")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("line"), blocks).cast("int")
@@ -231,9 +226,9 @@ def near_lines(table: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return components.roots(written(_links(spread.join(contents, "line"), edits).distinct(), "line-links"))
 
 
-def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_lines (not blank), n_equal and n_near (removed ones), kept_sha256, kept_text (null
-    where nothing goes), row.
+    where nothing goes, but for whole_text), row and the columns to carry (named unlike these).
 
     Lines are compared without the ASCII white space around them. A removed line leaves the text with its line break;
     blank lines stay. Of each class of equal and near lines the first stays, by doc_id (null first), row and place;
@@ -241,8 +236,9 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str
     equality (64-bit hashes). Null texts have no lines. Rows equal in id and text are documents of their own, of which
     the first keeps its lines. Very long lines are compared whole. Other columns are not read.
     """
+    carry = list(carry)
     texts = _keyed(docs, id_col, text_col)
-    table = written(document_lines(texts, max_edits, min_chars), "lines")
+    table = written(document_lines(_keyed(docs, id_col, text_col, carry), max_edits, min_chars, carry), "lines")
     roots = near_lines(table, texts, max_edits)
     found = table.select("row", "id", F.posexplode("lines").alias("at", "line")).where("line is not null")
     found = found.join(roots, F.col("line") == F.col("node"), "left").select("row", "id", "at", "line", F.coalesce("root", "line").alias("class"))
@@ -251,12 +247,15 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str
     gone = found.join(first, "class").where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     gone = written(gone.groupBy("row").agg(F.collect_list("at").alias("gone"), F.count_if(F.col("line") == F.col("first.line")).alias("n_equal"), F.count_if(F.col("line") != F.col("first.line")).alias("n_near")), "lines-gone")
 
-    facts = table.select("row", "id", "mark", "doc_id", "sha", F.size(F.array_compact("lines")).cast("long").alias("n_lines")).join(gone, "row", "left")
+    facts = table.select("row", "id", "mark", "doc_id", "sha", F.size(F.array_compact("lines")).cast("long").alias("n_lines"), *carry).join(gone, "row", "left")
     none = F.lit(0).cast("long")
-    same = facts.where("gone is null").select("doc_id", "n_lines", none.alias("n_equal"), none.alias("n_near"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), "row")
+    if whole_text:
+        facts = facts.withColumns({"gone": F.coalesce("gone", F.array().cast("array<int>")), "n_equal": F.coalesce("n_equal", none), "n_near": F.coalesce("n_near", none)})
+    same = facts.where("gone is null").select("doc_id", "n_lines", none.alias("n_equal"), none.alias("n_near"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), "row", *carry)
     changed = written(facts.where("gone is not null").drop("sha"), "lines-changed")
-    rows = _some(texts.select("id", "mark", "text"), ["id", "mark"], changed).dropDuplicates(["id", "mark"]).join(changed, ["id", "mark"])
-    schema = "doc_id long, n_lines long, n_equal long, n_near long, kept_sha256 string, kept_text string, row long"
+    rows = screened(texts.select("id", "mark", "text"), ["id", "mark"], changed).dropDuplicates(["id", "mark"]).join(changed, ["id", "mark"])
+    names = ["doc_id", "n_lines", "n_equal", "n_near", "kept_sha256", "kept_text", "row", *carry]
+    schema = ", ".join(["doc_id long, n_lines long, n_equal long, n_near long, kept_sha256 string, kept_text string, row long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +264,6 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str
                 out = set(out)
                 kept.append("\n".join([x for k, x in enumerate((text or "").split("\n")) if k not in out]))
             shas = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_lines", "n_equal", "n_near")), pa.array(shas), pa.array(kept, pa.string()), batch.column("row")], names=["doc_id", "n_lines", "n_equal", "n_near", "kept_sha256", "kept_text", "row"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_lines", "n_equal", "n_near")), pa.array(shas), pa.array(kept, pa.string()), batch.column("row"), *(batch.column(c) for c in carry)], names=names)
 
-    return rows.select("doc_id", "n_lines", "n_equal", "n_near", "text", "gone", "row").mapInArrow(run, schema).unionByName(same)
+    return rows.select("doc_id", "n_lines", "n_equal", "n_near", "text", "gone", "row", *carry).mapInArrow(run, schema).unionByName(same)

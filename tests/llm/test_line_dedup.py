@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -53,7 +54,7 @@ def brute(rows, edits, least):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if len(a) >= least and len(b) >= least and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if len(a) >= least and len(b) >= least and abs(len(a) - len(b)) <= edits and ((ca := Counter(a)) - (cb := Counter(b))).total() + (cb - ca).total() <= 2 * edits and distance(a, b) <= edits:
                 root[find(a)] = find(b)
     order = sorted(place, key=lambda p: (-1 if rows[p[0]][0] is None else rows[p[0]][0], p[0], p[1]))
     first, gone = {}, {}
