@@ -242,8 +242,25 @@ def _met(filed: DataFrame) -> DataFrame:
     return written(filed.join(groups, "key"), "met")
 
 
+def one_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each component does: the one with the smallest id."""
+    found = join(docs, size, percent, id_col, text_col)
+    gone = written(found.where(~F.col("first")).select("id", "mark"), "gone")
+    stay = found.where("first").select("id", "mark")
+    keyed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    keyed = keyed.select("_row", F.coalesce(F.col("_id"), F.lit(-1)).cast("long").alias("id"), F.hash("_text", F.col("_id").isNull()).alias("mark"))
+    # only texts in the buckets of rows that go are shuffled; of rows equal in id and text at most one is the first
+    bucket = F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS))
+    buckets = F.broadcast(gone.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
+    keyed = keyed.withColumn("_b", bucket)
+    clear = keyed.join(buckets, F.col("_b") == F.col("_bucket"), "left_anti")
+    near = keyed.join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").join(stay, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return clear.select("_row.*").unionByName(near.select("_row.*"))
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, first (one row of each component has it true).
+    """Per row of docs: doc_id, n_shingles, component_id, first (one row of each component has it true), id and mark
+    (of _keyed).
 
     Rows link when 100 * intersection >= percent * union of their sets of size-word shingles, lower-cased A-Z; percent
     is from 70 to 99. Fewer words make one shingle; null texts and texts without words have none and link with nothing.
@@ -293,5 +310,5 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     named = named.join(lows, "root").select("sig", "node", "component_id", "low", "first_node")
     firsts = sets.where("sig is not null").select("sig", "doc_id", "row").join(named, "sig").where("doc_id <=> component_id").groupBy("first_node").agg(F.min("row").alias("first_row"))
     named = written(named.join(firsts, "first_node").select("sig", "component_id", "first_row"), "components")
-    out = sets.select("row", "doc_id", "n_shingles", "sig").join(named, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("sig").isNull() | (F.col("row") == F.col("first_row"))).alias("first"), "row")
+    out = sets.select("row", "id", "mark", "doc_id", "n_shingles", "sig").join(named, "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("sig").isNull() | (F.col("row") == F.col("first_row"))).alias("first"), "id", "mark")
