@@ -122,3 +122,16 @@ def decontaminate(
     per = per.withColumn("n_hit", F.aggregate("spans", start, step, lambda a: a["n"]))
     per = per.withColumn("_", F.explode(F.sequence(F.lit(1), "copies")))
     return per.select("doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, buckets: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without any benchmark window. At most `buckets` numbers are broadcast, so that only rows that
+    share a bucket with a contaminated one are shuffled."""
+    found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    found = written(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "contaminated")
+    bucket = lambda i, k: F.pmod(F.xxhash64(i, k), F.lit(buckets))
+    hit = F.broadcast(found.select(bucket("_id", "_key").alias("_bucket")).distinct())
+    rows = docs.withColumn("_k", F.xxhash64(F.col(text_col))).withColumn("_b", bucket(id_col, "_k"))
+    clear = rows.join(hit, F.col("_b") == F.col("_bucket"), "left_anti")
+    near = rows.join(hit, F.col("_b") == F.col("_bucket"), "left_semi").join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
+    return clear.unionByName(near).drop("_k", "_b")

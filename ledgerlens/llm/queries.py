@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, html_extract, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, token_counts, warc
+from ledgerlens.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -49,7 +49,22 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_html_extraction": op2_html_extraction, "op4_line_dedup": op4_line_dedup, "op6_ngram_jaccard": op6_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_decontamination": op7_decontamination, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_source_mixing": op10_source_mixing, "op9_token_counts": op9_token_counts}
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
+    "op10_source_mixing": op10_source_mixing,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": r"""
