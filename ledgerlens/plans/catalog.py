@@ -1,4 +1,8 @@
 """All core queries and their SQL, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from ledgerlens.plans import audit, recordings, scalars
+
+QUERIES = {**recordings.QUERIES, **audit.QUERIES, **scalars.QUERIES}
+ORACLE_SQL = {**recordings.ORACLE_SQL, **audit.ORACLE_SQL, **scalars.ORACLE_SQL}
