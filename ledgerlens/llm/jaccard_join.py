@@ -7,7 +7,11 @@ into its segments by fragment. Uses of the fragments:
   Sets of about one size are cut into the same m, so that a segment holds a few n-grams, and each set is filed under
   the first d + 1 of its segments that hold two n-grams or more. A pair over the threshold meets in one of them: before
   its first equal such segment each side has at most d unequal ones. A set where small segments are too many for this
-  count is filed under all of its segments. Frequent n-grams do not make candidates unless whole segments agree.
+  count is filed under all of its segments.
+* Frequent n-grams. Where more than HOT sets meet under a key, they mostly share a passage. The n-grams of these sets
+  are counted, and each set is filed anew under the first d + 1 of those that at most HOT of them hold: two similar sets
+  of which one has more than d of these share one there. Sets that are frequent n-grams but for d stay under their hot
+  keys, among themselves.
 * Overlaps. Per pair, the common n-grams of each fragment are counted apart and summed.
 
 Equal sets are one node. In a group of nodes filed together, all are paired with one leader (the one that meets most
@@ -28,15 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import screened, written
 from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 
 #: Fragments for counting overlaps, and bytes kept of an n-gram's hash below the fragment's bits.
 FRAGMENTS, KEPT_BYTES = 16, 6
-#: Buckets that are broadcast at most to leave out rows before a shuffle.
-BUCKETS = 1 << 20
 #: Nodes under one key beyond which they are filed anew without frequent n-grams.
-HOT = 64
+HOT = 16
 SET_SCHEMA = "row long, id long, mark int, doc_id long, n_shingles long, sig binary, keys array<long>"
 
 
@@ -59,19 +61,16 @@ def _classes(percent: int, reach: int) -> list[int]:
     return out
 
 
-def _filed(u: np.ndarray, rare: np.ndarray, m: int, d: int, salt: int) -> np.ndarray:
-    """Keys of the segments under which a set is filed; rare: which n-grams are not frequent."""
+def _filed(u: np.ndarray, m: int, d: int, salt: int) -> np.ndarray:
+    """Keys of the segments under which a set is filed."""
     fragment = ((u >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     count = np.bincount(fragment.astype(np.int64), minlength=m)
     sums = np.zeros(m, np.uint64)
     with np.errstate(over="ignore"):
         np.add.at(sums, fragment.astype(np.int64), mixed(u))
-        any_rare = np.bincount(fragment.astype(np.int64), weights=rare, minlength=m) > 0
-        good = np.flatnonzero((count >= 2) & any_rare)
+        good = np.flatnonzero(count >= 2)
         if m - d - (m - len(good)) > 0:
             chosen = good[: d + 1]
-        elif m - d - int((~any_rare).sum()) > 0:
-            chosen = np.flatnonzero(any_rare)
         elif m - d - int((count == 0).sum()) > 0:
             chosen = np.flatnonzero(count)
         else:
@@ -80,18 +79,17 @@ def _filed(u: np.ndarray, rare: np.ndarray, m: int, d: int, salt: int) -> np.nda
         return mixed(sums[chosen] + mixed(place) + count[chosen].astype(np.uint64)).view(np.int64)
 
 
-def keys_of(u: np.ndarray, percent: int, rare: np.ndarray | None = None) -> np.ndarray:
+def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
     """Candidate keys of a set: in its size class and, if it can be the larger side there, in the class below."""
     s, rest = len(u), 100 - percent
     if s * rest // percent == 0:
         return np.zeros(0, np.int64)
-    rare = np.ones(s, bool) if rare is None else rare
     edges = _classes(percent, 1 << max(20, s.bit_length()))
     k = int(np.searchsorted(edges, s, side="right")) - 1
     fragments = lambda k: max(-(-5 * ((edges[k + 1] - 1) * rest // percent) // 4), (edges[k + 1] - 1) * rest // percent + 2)
-    keys = [_filed(u, rare, fragments(k), s * rest // percent, k)]
+    keys = [_filed(u, fragments(k), s * rest // percent, k)]
     if k and s * percent <= 100 * (edges[k] - 1):
-        keys.append(_filed(u, rare, fragments(k - 1), (s + edges[k] - 1) * rest // (100 + percent), k - 1))
+        keys.append(_filed(u, fragments(k - 1), (s + edges[k] - 1) * rest // (100 + percent), k - 1))
     return np.concatenate(keys)
 
 
@@ -120,13 +118,8 @@ def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows whose row number is not in gone; only those that share a bucket with gone rows are shuffled."""
-    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
-    buckets = F.broadcast(gone.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
-    rows = rows.withColumn("_b", bucket)
-    clear = rows.join(buckets, F.col("_b") == F.col("_bucket"), "left_anti")
-    other = rows.join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").join(gone.select("row"), "row", "left_anti")
-    return clear.unionByName(other).drop("_b")
+    """rows whose row number is not in gone; only those that may be in it are shuffled."""
+    return screened(rows, ["row"], gone, "left_anti").unionByName(screened(rows, ["row"], gone).join(gone.select("row"), "row", "left_anti"))
 
 
 def _segments(rows: DataFrame, size: int) -> DataFrame:
@@ -177,15 +170,13 @@ def _overlaps(joined: DataFrame) -> DataFrame:
 
 
 def _texts_at(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """places (id, mark, row, ...) with their text; only texts in the buckets of places are shuffled."""
-    bucket = F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS))
-    buckets = F.broadcast(places.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
-    near = texts.withColumn("_b", bucket).join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").drop("_b")
-    return near.join(places, ["id", "mark"]).dropDuplicates(["id", "mark", "row"])  # rows equal in id and text
+    """places (id, mark, row, ...; a written table) with their text; only texts that may be there are shuffled."""
+    return screened(texts, ["id", "mark"], places).join(places, ["id", "mark"]).dropDuplicates(["id", "mark", "row"])  # rows equal in id and text
 
 
 def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
-    """key, node of the nodes in hot (row, id, mark), without their frequent n-grams."""
+    """node, keys, short: the first d + 1 rare n-grams of the nodes in hot (row, id, mark, n_shingles); short: there
+    are no more than d, so that a similar node may share none."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0)
@@ -194,19 +185,12 @@ def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> Da
                 u = shingles(text, size, powers).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), row)), pa.array(u)], names=["node", "gram"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for held in batch.column("held").to_pylist():
-                gram = np.array([x["gram"] for x in held], np.int64).view(np.uint64)
-                order = np.argsort(gram)
-                out.append(keys_of(gram[order], percent, np.array([x["rare"] for x in held])[order]))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
-
     held = written(_texts_at(texts, hot).select("row", "text").mapInArrow(grams, "node long, gram long"), "hot-grams")
-    often = written(held.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("often")), "frequent-grams")
-    held = held.join(often, "gram", "left").groupBy("node").agg(F.collect_list(F.struct("gram", F.col("often").isNull().alias("rare"))).alias("held"))
-    return held.mapInArrow(keys, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+    often = written(held.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "frequent-grams")
+    rare = held.join(often, "gram", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("rare"))
+    rows = hot.select(F.col("row").alias("node"), F.floor(F.col("n_shingles") * (100 - percent) / percent).cast("int").alias("d")).join(rare, "node", "left")
+    rare = F.coalesce("rare", F.array().cast("array<long>"))
+    return rows.select("node", F.slice(rare, F.lit(1), F.col("d") + 1).alias("keys"), (F.size(rare) <= F.col("d")).alias("short"))
 
 
 class _Verifier:
@@ -249,13 +233,9 @@ def one_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     stay = found.where("first").select("id", "mark")
     keyed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     keyed = keyed.select("_row", F.coalesce(F.col("_id"), F.lit(-1)).cast("long").alias("id"), F.hash("_text", F.col("_id").isNull()).alias("mark"))
-    # only texts in the buckets of rows that go are shuffled; of rows equal in id and text at most one is the first
-    bucket = F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS))
-    buckets = F.broadcast(gone.select(bucket.alias("_bucket")).distinct())  # at most BUCKETS numbers
-    keyed = keyed.withColumn("_b", bucket)
-    clear = keyed.join(buckets, F.col("_b") == F.col("_bucket"), "left_anti")
-    near = keyed.join(buckets, F.col("_b") == F.col("_bucket"), "left_semi").join(stay, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
-    return clear.select("_row.*").unionByName(near.select("_row.*"))
+    # only rows that may go are shuffled; of rows equal in id and text at most one is the first
+    near = screened(keyed, ["id", "mark"], gone).join(stay, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return screened(keyed, ["id", "mark"], gone, "left_anti").select("_row.*").unionByName(near.select("_row.*"))
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,9 +255,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     copies = written(copies.select("row"), "copies")
     filed = _without(sets.select("row", "keys"), copies).select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     met = _met(filed)
-    hot = written(met.where(F.col("n") > HOT).select(F.col("node").alias("row")).distinct().join(sets.select("row", "id", "mark"), "row"), "hot")
-    again = _met(_filed_anew(texts.select("id", "mark", "text"), hot, size, percent))
-    met = written(met.where(F.col("n") <= HOT).unionByName(again), "met")
+    hot = written(met.where(F.col("n") > HOT).select(F.col("node").alias("row")).distinct().join(sets.select("row", "id", "mark", "n_shingles"), "row"), "hot")
+    anew = written(_filed_anew(texts.select("id", "mark", "text"), hot, size, percent), "filed-anew")
+    rare = _met(anew.select(F.explode("keys").alias("key"), "node"))
+    common = _met(met.where(F.col("n") > HOT).select("key", "node").join(anew.where("short").select("node"), "node", "left_semi"))
+    met = written(met.where(F.col("n") <= HOT).unionByName(rare).unionByName(common), "met")
     degree = written(met.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     leaders = met.select("key", "node").join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("x"))
     met = written(met.select("key", "node").join(written(leaders.select("key", (-F.col("x.minus")).alias("leader")), "group-leaders"), "key"), "met-leaders")
