@@ -132,16 +132,18 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
         low = np.uint64(64 - FRAGMENTS.bit_length() + 1 - 8 * KEPT_BYTES)
         for batch in batches:
             out: list[tuple] = []
+            weight = 0
             for row, text, leaders, leads in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "leaders", "leads"))):
                 u = shingles(text, size, powers)
                 ends = np.searchsorted((u >> shift).astype(np.int64), np.arange(FRAGMENTS + 1))
                 packed = np.ascontiguousarray((u >> low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes()
                 parts = [packed[KEPT_BYTES * a : KEPT_BYTES * b] for a, b in zip(ends[:-1], ends[1:])]
-                roles = [(x, row) for x in leaders or ()] + ([(row, None)] if leads else [])
-                out += [(f, leader, node, len(u), part) for leader, node in roles for f, part in enumerate(parts)]
-                if len(out) > 20_000:
-                    yield _packed(out)
-                    out = []
+                for leader, node in [*((x, row) for x in leaders or ()), *([(row, None)] if leads else ())]:
+                    out += [(f, leader, node, len(u), part) for f, part in enumerate(parts)]
+                    weight += len(packed)
+                    if len(out) > 20_000 or weight > 8 << 20:  # one node may have many leaders, and one text be very long
+                        yield _packed(out)
+                        out, weight = [], 0
             if out:
                 yield _packed(out)
 
