@@ -12,6 +12,7 @@ into its segments by fragment. Uses of the fragments:
   are counted, and each set is filed anew under the first d + 1 of those that at most HOT of them hold: two similar sets
   of which one has more than d of these share one there. Sets that are frequent n-grams but for d stay under their hot
   keys, among themselves.
+* Filters. Before two sets are compared, their sizes and the sizes of their fragments must allow the threshold.
 * Overlaps. Per pair, the common n-grams of each fragment are counted apart and summed.
 
 Equal sets are one node. In a group of nodes filed together, all are paired with one leader (the one that meets most
@@ -28,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
@@ -39,7 +40,7 @@ from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 FRAGMENTS, KEPT_BYTES = 16, 6
 #: Nodes under one key beyond which they are filed anew without frequent n-grams.
 HOT = 16
-SET_SCHEMA = "row long, id long, mark int, doc_id long, n_shingles long, sig binary, keys array<long>"
+SET_SCHEMA = "row long, id long, mark int, doc_id long, n_shingles long, sig binary, keys array<long>, sketch array<long>"
 
 
 def shingles(text: str | None, size: int, powers: Powers) -> np.ndarray:
@@ -93,6 +94,22 @@ def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def sketch(u: np.ndarray) -> np.ndarray:
+    """Sizes of 32 fragments of a set, up to 255 each, eight to a long."""
+    return np.minimum(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).view("<i8")
+
+
+def may_link(a: str, a_sketch: str, b: str, b_sketch: str, percent: int) -> Column:
+    """Length filter on two set sizes, and difference filter: fragment sizes differ by no more than the sets may."""
+    n, m = F.col(a), F.col(b)
+    part = lambda c, k, j: F.shiftrightunsigned(F.get(F.col(c), F.lit(k)), 8 * j).bitwiseAND(F.lit(255))
+    gap = F.lit(0).cast("long")
+    for k in range(4):
+        for j in range(8):
+            gap = gap + F.abs(part(a_sketch, k, j) - part(b_sketch, k, j))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (gap * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), F.hash(F.col(text_col), F.col(id_col).isNull()).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
@@ -105,13 +122,14 @@ def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0)
         for batch in batches:
-            n, sigs, keys = [], [], []
+            n, sigs, keys, sketches = [], [], [], []
             for text in batch.column(4):
                 u = shingles(text.as_py(), size, powers)
                 n.append(len(u))
                 sigs.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
                 keys.append(keys_of(u, percent))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[f.split(" ")[0] for f in SET_SCHEMA.split(", ")])
+                sketches.append(sketch(u))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=[f.split(" ")[0] for f in SET_SCHEMA.split(", ")])
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     return rows.select("row", "id", "mark", "doc_id", "text").mapInArrow(run, SET_SCHEMA)
@@ -200,15 +218,16 @@ class _Verifier:
 
     def __init__(self, texts: DataFrame, sets: DataFrame, size: int, percent: int):
         self._texts = texts.select("id", "mark", "text")
-        self._places = sets.select("row", "id", "mark", "n_shingles")
+        self._places = sets.select("row", "id", "mark")
+        self._sizes = sets.select("row", "n_shingles", "sketch")
         self._size, self._percent = size, percent
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs (node, leader) over the threshold."""
         p = self._percent
-        n = lambda c: self._places.select(F.col("row").alias(c), F.col("n_shingles").alias(f"_{c}"))
+        n = lambda c: self._sizes.select(F.col("row").alias(c), F.col("n_shingles").alias(f"_{c}"), F.col("sketch").alias(f"_{c}_s"))
         pairs = pairs.select("node", "leader").join(n("node"), "node").join(n("leader"), "leader")
-        pairs = written(pairs.where(100 * F.least("_node", "_leader") >= p * F.greatest("_node", "_leader")).select("node", "leader"), "pairs")
+        pairs = written(pairs.where(may_link("_node", "_node_s", "_leader", "_leader_s", p)).select("node", "leader"), "pairs")
         roles = pairs.select(F.col("node").alias("row"), F.col("leader").alias("x")).union(pairs.select(F.col("leader"), F.lit(None).cast("long")).distinct())
         roles = roles.groupBy("row").agg(F.collect_list("x").alias("leaders"), F.bool_or(F.col("x").isNull()).alias("leads"))
         roles = written(roles.join(self._places, "row").select("row", "id", "mark", "leaders", "leads"), "roles")
@@ -281,9 +300,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     # Groups that still hold several components: their cross pairs, but for those with the leader.
     rooted = met.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-keys")
-    rooted = written(rooted.where("node <> leader").join(split, "key").select("key", "node", "root"), "split-groups")
-    other = rooted.select("key", F.col("node").alias("leader"), F.col("root").alias("_s"))
-    cross = written(rooted.join(other, "key").where((F.col("node") > F.col("leader")) & (F.col("root") != F.col("_s"))).groupBy("node", "leader").agg(F.min("root").alias("_r"), F.min("_s").alias("_s")), "cross")
+    size_of = sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    rooted = written(rooted.where("node <> leader").join(split, "key").join(size_of, "node").select("key", "node", "root", "n", "sketch"), "split-groups")
+    other = rooted.select("key", F.col("node").alias("leader"), F.col("root").alias("_s"), F.col("n").alias("m"), F.col("sketch").alias("m_sketch"))
+    cross = written(rooted.join(other, "key").where((F.col("node") > F.col("leader")) & (F.col("root") != F.col("_s")) & may_link("n", "sketch", "m", "m_sketch", percent)).groupBy("node", "leader").agg(F.min("root").alias("_r"), F.min("_s").alias("_s")), "cross")
     one = cross.groupBy(F.least("_r", "_s").alias("x"), F.greatest("_r", "_s").alias("y")).agg(F.min(F.struct("node", "leader")).alias("p")).select("p.node", "p.leader")
     one = written(one, "cross-first")
     labels = components.merged(labels, verify.linked(one))
