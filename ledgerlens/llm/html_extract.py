@@ -5,7 +5,8 @@ groups, and pages of one host are aligned one after another: children are matche
 one side has becomes optional, texts that differ become slots. The outcome is a union-free regular expression over
 tags and texts, the host's wrapper. Alignment is a fold: every task folds its own pages of a host, and the partial
 wrappers, as many as tasks at most, are folded again, so a host with a third of all pages is spread over all tasks.
-The wrapper decides once per host which of its parts carry the main text; pages are then read through it.
+The wrapper decides once per host which of its parts carry the main text; pages are then read through it: a page with
+text in a main part by these parts, any other page of the host by what is neither menu nor fixed.
 """
 
 from __future__ import annotations
@@ -202,10 +203,14 @@ def expression(node: dict) -> str:
     return f"({body})?" if node["o"] else body
 
 
-def decide(wrapper: dict, least_pages: int = 4) -> dict[str, bool]:
-    """Path -> whether its own text is kept. Where the wrapper has an article or main part, only text inside it is;
-    else all text is, but for menus (repeated groups mostly of links) and texts constant over least_pages pages of a
-    host whose other texts vary. Parts that name themselves as something beside the text never are."""
+#: Of a path: its text is kept on pages that have text in an article or main part, and on pages that have none.
+WITH_MAIN, WITHOUT_MAIN = 1, 2
+
+
+def decide(wrapper: dict, least_pages: int = 4) -> dict[str, int]:
+    """Path -> on which pages its own text is kept. WITH_MAIN: it is inside an article or main part. WITHOUT_MAIN: all
+    text, but for menus (repeated groups mostly of links) and texts constant over least_pages pages of a host whose
+    other texts vary. Parts that name themselves as something beside the text never are."""
     is_main = lambda label: bool(MAIN_WORDS & set(label.rstrip("!").split("."))) and not label.endswith("!")
     nodes: list[tuple[str, dict, bool, bool, bool]] = []
 
@@ -221,13 +226,12 @@ def decide(wrapper: dict, least_pages: int = 4) -> dict[str, bool]:
             visit(kid, path, chrome, main, menu)
 
     visit(wrapper, "", False, False, False)
-    has_main = any(main and not chrome for _, _, chrome, main, _ in nodes)
     varied = any(node["t"] == "#" and not chrome for _, node, chrome, _, _ in nodes)
-    out: dict[str, bool] = {}
+    out: dict[str, int] = {}
     for path, node, chrome, main, menu in nodes:
         fixed = varied and node["t"].startswith("=") and node["n"] >= least_pages and not node["r"]
-        keep = not chrome and (main if has_main else not menu and not fixed)
-        out[path] = out.get(path, False) or keep
+        keep = 0 if chrome else WITH_MAIN * main | WITHOUT_MAIN * (not menu and not fixed)
+        out[path] = out.get(path, 0) | keep
     return out
 
 
@@ -239,9 +243,9 @@ def _sums(node: dict) -> tuple[int, int]:
     return chars, links
 
 
-def main_text(page: str, keep: dict[str, bool]) -> str:
+def main_text(page: str, keep: dict[str, int]) -> str:
     """Blocks of the kept paths, decoded, white space as one space, trimmed, joined by line breaks."""
-    blocks: list[str] = []
+    blocks: list[tuple[int, str]] = []
     paths, parts = [""], []
 
     def end() -> None:
@@ -249,7 +253,7 @@ def main_text(page: str, keep: dict[str, bool]) -> str:
             block = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             block = " ".join(block.split())
             if block:
-                blocks.append(block)
+                blocks.append((keep[paths[-1]], block))
             parts.clear()
 
     def enter(label: str) -> None:
@@ -261,12 +265,13 @@ def main_text(page: str, keep: dict[str, bool]) -> str:
         paths.pop()
 
     def text(chars: str, in_link: bool) -> None:
-        if keep.get(paths[-1], False):
+        if keep.get(paths[-1]):
             parts.append(chars)
 
     walk(page, enter, leave, text)
     end()
-    return "\n".join(blocks)
+    kind = WITH_MAIN if any(k & WITH_MAIN for k, _ in blocks) else WITHOUT_MAIN
+    return "\n".join([block for k, block in blocks if k & kind])
 
 
 def host_of(url: Column) -> Column:
@@ -314,7 +319,7 @@ def extract(pages: DataFrame, max_broadcast_bytes: int = 16 << 20) -> DataFrame:
     rows = rows.join(F.broadcast(found) if size <= max_broadcast_bytes else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, bool]] = {}
+        known: dict[str, dict[str, int]] = {}
         for batch in batches:
             texts = []
             for page, host, parts in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("parts")):

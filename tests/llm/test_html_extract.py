@@ -39,6 +39,24 @@ def test_wrapper_expression():
     assert x.expression(w) == "<dl>(<dt>#</><dd>#</>)+</>"
 
 
+def texts(pages):
+    """The text of each page of one host, by page number."""
+    wrapper = x.page_tree(pages[0])
+    for page in pages[1:]:
+        wrapper = x.merge(wrapper, x.page_tree(page))
+    keep = x.decide(wrapper)
+    return [x.main_text(page, keep) for page in pages]
+
+
+def test_two_templates_on_a_host(spark):
+    teasers = "<body><div>Top {k}</div><article><p>Teaser {k}</p></article></body>"
+    story = '<body><ul><li><a>l1</a></li><li><a>l2</a></li></ul><div class="content"><h1>Story {k}</h1><p>Body {k}</p></div><div class="z">Always the same</div></body>'
+    for url in ("http://two.org/{k}", None):
+        rows = [(k, url and url.format(k=k), (story if k % 3 else teasers).format(k=k)) for k in range(12)] + [(12, url, "<main></main><p>beside an empty part</p>")]
+        got = {r.page_id: r.text for r in x.extract(frame(spark, rows).repartition(3)).collect()}
+        assert got == {k: f"Story {k}\nBody {k}" if k % 3 else f"Teaser {k}" for k in range(12)} | {12: "beside an empty part"}
+
+
 def brute(page):
     """Independent reading of the test pages' one template."""
     m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
