@@ -24,7 +24,7 @@ from ledgerlens.llm.common import written
 
 # HTML element names and the words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|noembed|noframes|xmp"
+RAW = "script|style|noscript|template|textarea|title|iframe|select|object|canvas|noembed|noframes|xmp"
 BLOCKS = frozenset(
     "html body head address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -34,32 +34,42 @@ CHROME_WORDS = frozenset(
     "ad ads advert advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation topbar breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager copyright disclaimer".split()
 )
 MAIN_WORDS = frozenset("article main".split())
+WHOLE = frozenset("html body article main".split())  # never named as beside the text by class or id
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"html", "body", "head"}
 #: What an opening tag ends, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: svg and math reach to their end tag; they close at once where they close themselves or have none.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>(?:.*?</\1\s*>)?)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its classes (numbers aside), and whether the element names itself as something beside the text."""
-    chrome, classes = tag in CHROME_TAGS, []
+def _label(tag: str, attributes: str) -> str:
+    """Tag with its classes (numbers aside), and "!" if the element names itself as something beside the text, or these
+    words of its id and "?" if only that does and may be the slug of a section: of one so tagged or classed, or with
+    other words in it."""
+    chrome, slug, classes, ids = tag in CHROME_TAGS, "", [], []
     if attributes and "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            value = next((v for v in values if v), "").lower()
-            if name.lower() == "role":
+            value, name = next((v for v in values if v), "").lower(), name.lower()
+            if name == "role":
                 chrome = chrome or value in CHROME_ROLES
                 if value == "main":
                     classes.append("main")
                 continue
             words = value.split()
-            if tag not in ("html", "body", "article", "main"):
-                chrome = chrome or any(part in CHROME_WORDS for w in words for part in re.split(r"[-_]+", w))
-            if name.lower() == "class":
+            parts = [part for w in words for part in re.split(r"[-_]+", w)]
+            if name == "class":
                 classes += [re.sub(r"\d+", "0", w) for w in words]
-    return ".".join([tag, *sorted(set(classes))]) + ("!" if chrome else ""), chrome
+                chrome = chrome or tag not in WHOLE and any(part in CHROME_WORDS for part in parts)
+            elif tag not in HEADINGS:
+                ids += [part for part in parts if part and not part.isdigit()]
+        if tag not in WHOLE and (named := CHROME_WORDS & set(ids)):
+            slug = f"#{'-'.join(sorted(named))}?"
+            chrome = chrome or tag != "section" and "section" not in classes and named == set(ids)
+    return ".".join([tag, *sorted(set(classes))]) + ("!" if chrome else slug)
 
 
 def walk(page: str, enter, leave, text) -> None:
@@ -76,10 +86,10 @@ def walk(page: str, enter, leave, text) -> None:
         if m.start() > at:
             text(page[at : m.start()], links > 0)
         at = m.end()
-        if not m[3]:
+        if not m[4]:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        tag = m[4].lower()
+        if m[3]:
             if tag == "a":
                 links = 0
             elif tag in stack:
@@ -101,7 +111,7 @@ def walk(page: str, enter, leave, text) -> None:
                         close(i)
                         break
             stack.append(tag)
-            enter(_label(tag, m[4])[0])
+            enter(_label(tag, m[5]))
             if tag in VOID:
                 close(len(stack) - 1)
     if at < len(page):
@@ -197,7 +207,7 @@ def align(x: list[dict], y: list[dict], pages: bool) -> list[dict]:
 def expression(node: dict) -> str:
     """The wrapper as a union-free regular expression."""
     inner = ("#" if node["t"] == "#" else node["t"][1:]) + "".join(map(expression, node["k"]))
-    body = inner if node["l"][:1] in ("", "*") else f"<{node['l'].rstrip('!')}>{inner}</>"
+    body = inner if node["l"][:1] in ("", "*") else f"<{node['l'].rstrip('!?')}>{inner}</>"
     if node["r"]:
         body = f"({body})+"
     return f"({body})?" if node["o"] else body
@@ -210,16 +220,18 @@ WITH_MAIN, WITHOUT_MAIN = 1, 2
 def decide(wrapper: dict, least_pages: int = 4) -> dict[str, int]:
     """Path -> on which pages its own text is kept. WITH_MAIN: it is inside an article or main part. WITHOUT_MAIN: all
     text, but for menus (repeated groups mostly of links) and texts constant over least_pages pages of a host whose
-    other texts vary. Parts that name themselves as something beside the text never are."""
-    is_main = lambda label: bool(MAIN_WORDS & set(label.rstrip("!").split("."))) and not label.endswith("!")
+    other texts vary. Parts that name themselves as something beside the text never are; those that only have an id like
+    a slug are inside a main part, unless they are mostly links or constant over least_pages pages."""
+    is_main = lambda label: bool(MAIN_WORDS & set(label.split("."))) and label[-1:] not in ("!", "?")
+    constant = lambda node: node["t"].startswith("=") and node["n"] >= least_pages
     nodes: list[tuple[str, dict, bool, bool, bool]] = []
 
     def visit(node: dict, path: str, chrome: bool, main: bool, menu: bool) -> None:
+        chars, links = _sums(node)
         if node["l"] and not node["l"].startswith("*"):
             path = f"{path}/{node['l']}"
-            chrome = chrome or node["l"].endswith("!")
+            chrome = chrome or node["l"].endswith("!") or node["l"].endswith("?") and (not main or links > 0.6 * chars or all(map(constant, _with_text(node))))
             main = main or is_main(node["l"])
-        chars, links = _sums(node)
         menu = menu or (node["r"] or node["l"].split(".")[0] in ("ul", "ol")) and chars > 0 and links > 0.6 * chars
         nodes.append((path, node, chrome, main, menu))
         for kid in node["k"]:
@@ -229,12 +241,16 @@ def decide(wrapper: dict, least_pages: int = 4) -> dict[str, int]:
     varied = any(node["t"] == "#" and not chrome for _, node, chrome, _, _ in nodes)
     out: dict[str, int] = {}
     for path, node, chrome, main, menu in nodes:
-        fixed = varied and node["t"].startswith("=") and node["n"] >= least_pages and not node["r"]
+        fixed = varied and constant(node) and not node["r"]
         keep = 0 if chrome else WITH_MAIN * main | WITHOUT_MAIN * (not menu and not fixed)
         out[path] = out.get(path, 0) | keep
     return out
 
 
+def _with_text(node: dict) -> list[dict]:
+    return [node] * bool(node["t"]) + [x for kid in node["k"] for x in _with_text(kid)]
+
+
 def _sums(node: dict) -> tuple[int, int]:
     chars, links = node["c"], node["a"]
     for kid in node["k"]:

@@ -57,6 +57,21 @@ def test_two_templates_on_a_host(spark):
         assert got == {k: f"Story {k}\nBody {k}" if k % 3 else f"Teaser {k}" for k in range(12)} | {12: "beside an empty part"}
 
 
+def test_foreign_elements():
+    for image in ('<svg class="i"/>', "<MATH />", "<svg><title>t</title><path d='/>'/></svg >", "<svg-icon></svg-icon>", "<svg>"):
+        assert texts([f"<article><p>one {image} two</p><p>three</p></article>"]) == ["one two\nthree"], image
+
+
+def test_slug_ids():
+    page = (
+        '<body><div id="search-box">Find {k}</div><section id="related-work">Off {k}</section><article><h2 id="search-algorithms">Head {k}</h2><section id="related-work"><p>Work {k}</p></section><div id="search-impact"><p>Impact {k}</p></div>'
+        '<section id="menu"><h3 id="promotion">Food {k}</h3></section><section class="share">Share {k}</section><div id="comments-2">Says {k}</div><p>x</p><section id="newsletter">Join us</section><p>y {k}</p><section id="social"><a>Other {k}</a></section></article></body>'
+    )
+    # one page cannot show what is fixed
+    for n in (1, 6):
+        assert texts([page.format(k=k) for k in range(n)]) == [f"Head {k}\nWork {k}\nImpact {k}\nFood {k}\nx\n" + "Join us\n" * (n == 1) + f"y {k}" for k in range(n)]
+
+
 def brute(page):
     """Independent reading of the test pages' one template."""
     m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
