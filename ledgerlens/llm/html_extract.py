@@ -15,8 +15,10 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,23 +121,37 @@ def walk(page: str, enter, leave, text) -> None:
     close(0)
 
 
-# A wrapper node: label, children, repeated, optional, text ("" none, "=..." constant, "#" slot), chars, link chars, pages.
+#: Page contents that a node holds at most, and over which a text must be constant to be fixed.
+LEAST_PAGES = 4
+
+
+# A wrapper node: label, children, repeated, optional, text ("" none, "=..." constant, "~..." length and hash of a long
+# constant, "#" slot), chars, link chars, hashes of the first LEAST_PAGES different pages that have a text here.
 def _node(label: str) -> dict:
-    return {"l": label, "k": [], "r": False, "o": False, "t": "", "c": 0, "a": 0, "n": 1}
+    return {"l": label, "k": [], "r": False, "o": False, "t": "", "c": 0, "a": 0, "n": []}
 
 
 def page_tree(page: str) -> dict:
     root = _node("")
     stack, texts = [root], [[]]
+    this_page, content, beside = [0], xxhash.xxh3_64(), 0  # pages that differ beside the text only are copies
 
     def enter(label: str) -> None:
+        nonlocal beside
         stack.append(_node(label))
         texts.append([])
+        beside += label[-1] in "!?"
 
     def leave() -> None:
+        nonlocal beside
         node, own = stack.pop(), texts.pop()
         chars = _SPACE.sub(" ", "".join(own)).strip()
-        node["t"] = f"={chars}" if 0 < len(chars) <= 120 else "#" if chars else ""
+        if chars:
+            node["n"] = this_page
+            node["t"] = f"={chars}" if len(chars) <= 120 else f"~{len(chars)}:{xxhash.xxh3_64_hexdigest(chars.encode('utf-8', 'surrogatepass'))}"
+            if not beside:
+                content.update(f"{len(chars)}:{chars}".encode("utf-8", "surrogatepass"))
+        beside -= node["l"][-1] in "!?"
         node["c"] = len(chars)
         node["k"] = collapse(node["k"])
         stack[-1]["k"].append(node)
@@ -147,9 +163,16 @@ def page_tree(page: str) -> dict:
 
     walk(page, enter, leave, text)
     root["k"] = collapse(root["k"])
+    this_page[0] = content.intdigest()
     return root
 
 
+def _pages(a: list[int], b: list[int]) -> list[int]:
+    if not b or len(a) >= LEAST_PAGES or a == b:
+        return a
+    return sorted({*a, *b})[:LEAST_PAGES] if a else b
+
+
 def collapse(kids: list[dict]) -> list[dict]:
     """Neighbouring runs of equal labels, up to three long, as repeated groups."""
     for size in (1, 2, 3):
@@ -160,7 +183,7 @@ def collapse(kids: list[dict]) -> list[dict]:
             labels = [x["l"] for x in run]
             j = i + size
             while len(run) == size and [x["l"] for x in kids[j : j + size]] == labels:
-                run = [merge(a, b, False) for a, b in zip(run, kids[j : j + size])]
+                run = [merge(a, b) for a, b in zip(run, kids[j : j + size])]
                 j += size
             if j == i + size:
                 out.append(kids[i])
@@ -169,23 +192,23 @@ def collapse(kids: list[dict]) -> list[dict]:
             if size == 1:
                 out.append(run[0] | {"r": True})
             else:
-                out.append(_node("*") | {"l": "*" + "+".join(labels), "k": run, "r": True, "n": max(x["n"] for x in run)})
+                out.append(_node("*") | {"l": "*" + "+".join(labels), "k": run, "r": True, "n": reduce(_pages, (x["n"] for x in run))})
             i = j
         kids = out
     return kids
 
 
-def merge(a: dict, b: dict, pages: bool = True) -> dict:
-    """The least wrapper of two of one label; pages: they come from different pages, else from one."""
+def merge(a: dict, b: dict) -> dict:
+    """The least wrapper of two of one label."""
     text = a["t"] if a["t"] == b["t"] else b["t"] if not a["t"] else a["t"] if not b["t"] else "#"
-    return {"l": a["l"], "k": align(a["k"], b["k"], pages), "r": a["r"] or b["r"], "o": a["o"] or b["o"], "t": text, "c": a["c"] + b["c"], "a": a["a"] + b["a"], "n": a["n"] + b["n"] if pages else max(a["n"], b["n"])}
+    return {"l": a["l"], "k": align(a["k"], b["k"]), "r": a["r"] or b["r"], "o": a["o"] or b["o"], "t": text, "c": a["c"] + b["c"], "a": a["a"] + b["a"], "n": _pages(a["n"], b["n"])}
 
 
-def align(x: list[dict], y: list[dict], pages: bool) -> list[dict]:
+def align(x: list[dict], y: list[dict]) -> list[dict]:
     """Children matched in order by label; what is left over becomes optional."""
     lx, ly = [k["l"] for k in x], [k["l"] for k in y]
     if lx == ly:
-        return [merge(a, b, pages) for a, b in zip(x, y)]
+        return [merge(a, b) for a, b in zip(x, y)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -193,7 +216,7 @@ def align(x: list[dict], y: list[dict], pages: bool) -> list[dict]:
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and lx[i] == ly[j]:
-            out.append(merge(x[i], y[j], pages))
+            out.append(merge(x[i], y[j]))
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
             out.append(x[i] | {"o": True})
@@ -206,7 +229,7 @@ def align(x: list[dict], y: list[dict], pages: bool) -> list[dict]:
 
 def expression(node: dict) -> str:
     """The wrapper as a union-free regular expression."""
-    inner = ("#" if node["t"] == "#" else node["t"][1:]) + "".join(map(expression, node["k"]))
+    inner = (node["t"] if node["t"][:1] in "#~" else node["t"][1:]) + "".join(map(expression, node["k"]))
     body = inner if node["l"][:1] in ("", "*") else f"<{node['l'].rstrip('!?')}>{inner}</>"
     if node["r"]:
         body = f"({body})+"
@@ -217,13 +240,13 @@ def expression(node: dict) -> str:
 WITH_MAIN, WITHOUT_MAIN = 1, 2
 
 
-def decide(wrapper: dict, least_pages: int = 4) -> dict[str, int]:
+def decide(wrapper: dict, least_pages: int = LEAST_PAGES) -> dict[str, int]:
     """Path -> on which pages its own text is kept. WITH_MAIN: it is inside an article or main part. WITHOUT_MAIN: all
-    text, but for menus (repeated groups mostly of links) and texts constant over least_pages pages of a host whose
-    other texts vary. Parts that name themselves as something beside the text never are; those that only have an id like
-    a slug are inside a main part, unless they are mostly links or constant over least_pages pages."""
+    text, but for menus (repeated groups mostly of links) and texts constant over least_pages different pages (LEAST_PAGES
+    at most) of a host whose other texts vary. Parts that name themselves as something beside the text never are; those that only have an id like
+    a slug are inside a main part, unless they are mostly links or constant over as many pages."""
     is_main = lambda label: bool(MAIN_WORDS & set(label.split("."))) and label[-1:] not in ("!", "?")
-    constant = lambda node: node["t"].startswith("=") and node["n"] >= least_pages
+    constant = lambda node: node["t"][:1] in ("=", "~") and len(node["n"]) >= least_pages
     nodes: list[tuple[str, dict, bool, bool, bool]] = []
 
     def visit(node: dict, path: str, chrome: bool, main: bool, menu: bool) -> None:

@@ -72,6 +72,19 @@ def test_slug_ids():
         assert texts([page.format(k=k) for k in range(n)]) == [f"Head {k}\nWork {k}\nImpact {k}\nFood {k}\nx\n" + "Join us\n" * (n == 1) + f"y {k}" for k in range(n)]
 
 
+def test_long_texts():
+    notice = "All rights to this text are with its writers, and nobody may print it without asking them first. " * 2
+    assert texts([f"<body><h2>Title {k}</h2><p>Body {k}</p><div>{notice}</div></body>" for k in range(6)]) == [f"Title {k}\nBody {k}" for k in range(6)]
+    # a text that one page has and others leave empty is not fixed
+    assert texts([f"<body><h2>Title {k}</h2><div>{notice * (k == 3)}</div></body>" for k in range(6)]) == [f"Title {k}" + f"\n{notice.strip()}" * (k == 3) for k in range(6)]
+
+
+def test_copies_of_one_article():
+    page = "<body><nav>Visit {k}</nav><h1>Title</h1><div>" + "Long words. " * 20 + "</div><ul><li>a</li><li>b</li></ul></body>"
+    for n in (3, 4, 9):
+        assert texts([page.format(k=k) for k in range(n)]) == ["Title\n" + ("Long words. " * 20).strip() + "\na\nb"] * n
+
+
 def brute(page):
     """Independent reading of the test pages' one template."""
     m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
