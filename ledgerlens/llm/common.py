@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def mark_of(text: Column, id_: Column) -> Column:
+    """16 bytes that tell rows of one id, or of none, apart by their text: two 64-bit hashes of different seeds."""
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), text, id_.isNull())), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
 #: Rows of an Arrow batch while tables are written: texts may be long, and a batch is held several times over.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 

@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
-from ledgerlens.llm.common import screened, written
+from ledgerlens.llm.common import mark_of, screened, written
 from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 
 #: Fragments for counting overlaps, and bytes kept of an n-gram's hash below the fragment's bits.
 FRAGMENTS, KEPT_BYTES = 16, 6
 #: Nodes under one key beyond which they are filed anew without frequent n-grams.
 HOT = 16
-SET_SCHEMA = "row long, id long, mark int, doc_id long, n_shingles long, sig binary, keys array<long>, sketch array<long>"
+SET_SCHEMA = "row long, id long, mark binary, doc_id long, n_shingles long, sig binary, keys array<long>, sketch array<long>"
 
 
 def shingles(text: str | None, size: int, powers: Powers) -> np.ndarray:
@@ -112,7 +112,7 @@ def may_link(a: str, a_sketch: str, b: str, b_sketch: str, percent: int) -> Colu
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), F.hash(F.col(text_col), F.col(id_col).isNull()).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), mark_of(F.col(text_col), F.col(id_col)).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
 
 
@@ -253,7 +253,7 @@ def one_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     gone = written(found.where(~F.col("first")).select("id", "mark"), "gone")
     stay = found.where("first").select("id", "mark")
     keyed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    keyed = keyed.select("_row", F.coalesce(F.col("_id"), F.lit(-1)).cast("long").alias("id"), F.hash("_text", F.col("_id").isNull()).alias("mark"))
+    keyed = keyed.select("_row", F.coalesce(F.col("_id"), F.lit(-1)).cast("long").alias("id"), mark_of(F.col("_text"), F.col("_id")).alias("mark"))
     # only rows that may go are shuffled; of rows equal in id and text at most one is the first
     near = screened(keyed, ["id", "mark"], gone).join(stay, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
     return screened(keyed, ["id", "mark"], gone, "left_anti").select("_row.*").unionByName(near.select("_row.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
-from ledgerlens.llm.common import screened, written
+from ledgerlens.llm.common import mark_of, screened, written
 
 #: Lines of a block; a task holds two blocks of a group.
 BLOCK = 256
@@ -99,7 +99,7 @@ def _line_hash(line: str) -> int:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
     return docs.select(
         *carry,
-        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), F.hash(F.col(text_col), F.col(id_col).isNull()).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), mark_of(F.col(text_col), F.col(id_col)).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
 
 
@@ -107,7 +107,7 @@ def document_lines(docs: DataFrame, edits: int, min_chars: int, carry: list[str]
     """The columns to carry, row, id, mark, doc_id, sha (of the text), lines (hash of each stripped line, null for blank ones), keys (hashed,
     all of a text) and key_lines (the line of each key)."""
     names = ["row", "id", "mark", "doc_id", "sha", "lines", "keys", "key_lines", *carry]
-    schema = ", ".join(["row long, id long, mark int, doc_id long, sha string, lines array<long>, keys array<long>, key_lines array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    schema = ", ".join(["row long, id long, mark binary, doc_id long, sha string, lines array<long>, keys array<long>, key_lines array<long>", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_dir, written
+from ledgerlens.llm.common import mark_of, shared_dir, written
 from ledgerlens.llm.hashing import Powers, Rolling, word_hashes
 
 #: Doc buckets that a semi-join broadcasts at most, to leave out texts without work before they are shuffled.
 BUCKETS = 1 << 20
-BLOCK_SCHEMA = "id long, mark int, doc_id long, n_words long, sha string, fps array<long>, blocks array<long>, starts array<int>, lens array<int>"
+BLOCK_SCHEMA = "id long, mark binary, doc_id long, n_words long, sha string, fps array<long>, blocks array<long>, starts array<int>, lens array<int>"
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def blocks_of(words: list[bytes], window: int, gram: int, powers: tuple[Powers,
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and mark name a row's id and text: rows equal in both have equal results."""
     return docs.select(
-        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), F.hash(F.col(text_col), F.col(id_col).isNull()).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("id"), mark_of(F.col(text_col), F.col(id_col)).alias("mark"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
 
 
@@ -120,7 +120,7 @@ def _with_work(docs: DataFrame, work: DataFrame) -> DataFrame:
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
     """fp, hash, id, mark, start, single of every window in the blocks listed with a text."""
-    schema = "fp long, hash long, id long, mark int, start int, single boolean"
+    schema = "fp long, hash long, id long, mark binary, start int, single boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(1)
@@ -133,7 +133,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 hashes = _signed(rolling.ranges(start, start + window))
                 n = len(start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread("fp", np.int64)), pa.array(hashes), pa.array(np.full(n, id_)), pa.array(np.full(n, mark, np.int32)), pa.array(start.astype(np.int32)), pa.array(spread("single", bool))],
+                    [pa.array(spread("fp", np.int64)), pa.array(hashes), pa.array(np.full(n, id_)), pa.array([mark] * n, pa.binary()), pa.array(start.astype(np.int32)), pa.array(spread("single", bool))],
                     names=["fp", "hash", "id", "mark", "start", "single"],
                 )
 

@@ -94,3 +94,13 @@ def test_hot_keys(spark, hot, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, 4, 85).collect()], key=str)
     assert got == brute(rows, 4, 85)[0]
+
+
+def test_texts_of_equal_short_hash(spark):
+    # "0000348d..." and "55 99 11..." have one 32-bit hash, whatever follows
+    a, b = (f"{own} s1 s2 s3 s4 s5 s6 s7 s8" for own in ("0000348d", "55 99 11"))
+    rows = [(None, a), (None, b), (3, f"{a} e"), (4, f"{b} e")]
+    got = j.join(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == [(0, 6, 3), (0, 8, 4), (3, 7, 3), (4, 9, 4)]
+    left = j.one_each(spark.createDataFrame([(None, a), (None, b), (None, b)], "doc_id long, text string"), size=4, percent=85)
+    assert sorted(r.text for r in left.collect()) == [a, b]

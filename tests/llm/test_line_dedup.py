@@ -101,3 +101,11 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((str(x.doc_id), x.n_equal, x.kept_text) for x in q.dedup(df).collect())
     assert got == [("1", 1, "other"), ("1", 2, ""), ("None", 0, None)]
     assert q.dedup(df.limit(0)).count() == 0
+
+
+def test_texts_of_equal_short_hash(spark):
+    # "0000348d..." and "55 99 11..." have one 32-bit hash, whatever follows
+    same = "a line of over twenty characters"
+    rows = [(None, f"0000348d\n{same}\nx"), (None, f"55 99 11\n{same}\nx")]
+    got = q.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), whole_text=True).collect()
+    assert sorted(r.kept_text for r in got) == [rows[0][1], "55 99 11"]

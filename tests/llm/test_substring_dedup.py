@@ -62,3 +62,11 @@ def test_index_compacts(spark):
         index.append(spark.createDataFrame([(k, 1), (7, k % 2), (8, 3)], "fp long, block long"))
     assert [len(x) for x in index.levels] == [1, 0, 1]
     assert sorted((r.fp, r.mixed) for r in index.repeated().collect()) == [(7, True), (8, False)]
+
+
+def test_texts_of_equal_short_hash(spark):
+    # "0000348d..." and "55 99 11..." have one 32-bit hash, whatever follows
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, f"{own} {passage} the end") for own in ("0000348d", "55 99 11")]
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept_text) for r in got) == [(43, 42, "0000348d"), (45, 42, "55 99 11")]
