@@ -203,23 +203,21 @@ def parse(pieces: DataFrame, model: Model, id_col: str = "conv_id", order_col: s
     return rows.mapInArrow(render, f"id {key}, chunk long, n_lines long, roles string, n_turns long, rendered string")
 
 
-def as_transcript(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, text of labelled turns as raw transcripts write them: four styles of markers by conversation, one
+def as_transcript(turns: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """conv_id, turn, text and the columns to carry of labelled turns as raw transcripts write them: four styles of markers by conversation, one
     of them none but a blank line, and every ninth marker missing."""
     user = F.element_at(F.array(*map(F.lit, ("User: ", "Human - ", "Q: "))), F.col("_s") + 1)
     other = F.element_at(F.array(*map(F.lit, ("Assistant: ", "AI - ", "A: "))), F.col("_s") + 1)
     mark = F.when(F.col("role") == "user", user).when(F.col("role") == "system", F.lit("[system] ")).otherwise(other)
     styled = turns.withColumn("_s", F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int"))
     lost = (F.col("_s") == 3) | (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(9)) == 0)
-    return styled.select("conv_id", "turn", F.concat(F.lit("\n"), F.when(lost, F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))).alias("text"))
+    return styled.select("conv_id", "turn", F.concat(F.lit("\n"), F.when(lost, F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))).alias("text"), *carry)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Per conversation: conv_id, n_lines, n_turns, roles, rendered_sha256 (over the chunks' digests, in order)."""
-    labelled = turns.select("conv_id", "turn", "role")
-    raw = as_transcript(turns)
-    styled = raw.join(labelled, (raw["conv_id"].eqNullSafe(labelled["conv_id"])) & (raw["turn"].eqNullSafe(labelled["turn"]))).select(raw["conv_id"], raw["turn"], "role", "text")
-    parts = parse(raw, fit(styled))
+    raw = as_transcript(turns, ("role",))
+    parts = parse(raw, fit(raw))
     whole = parts.groupBy(F.col("id").alias("conv_id")).agg(
         F.sum("n_lines").alias("n_lines"), F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("chunk", "roles", F.sha2("rendered", 256).alias("sha")))).alias("parts")
     )

@@ -84,3 +84,11 @@ def test_held_out_accuracy(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert c.format_chats(df).count() == 0
+
+
+def test_rows_of_equal_keys_train_once(spark, monkeypatch):
+    rows = [(None, None, role, f"{role} {k}") for k in range(20) for role in ("user", "assistant")]
+    seen = []
+    monkeypatch.setattr(c, "fit", lambda pieces: seen.extend(pieces.select("role", "text").collect()) or model(3))
+    c.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(seen) == len(rows) and all(r.role in r.text for r in seen)
