@@ -12,7 +12,8 @@ into its segments by fragment. Uses of the fragments:
   are counted, and each set is filed anew under the first d + 1 of those that at most HOT of them hold: two similar sets
   of which one has more than d of these share one there. Sets that are frequent n-grams but for d stay under their hot
   keys, among themselves.
-* Filters. Before two sets are compared, their sizes and the sizes of their fragments must allow the threshold.
+* Filters. Before two sets are compared, their sizes and the parities of their n-grams by bucket, which bound the number
+  of n-grams that only one of them has, must allow the threshold.
 * Overlaps. Per pair, the common n-grams of each fragment are counted apart and summed.
 
 Equal sets are one node. In a group of nodes filed together, all are paired with one leader (the one that meets most
@@ -95,18 +96,20 @@ def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
-    """Sizes of 32 fragments of a set, up to 255 each, eight to a long."""
-    return np.minimum(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).view("<i8")
+    """Parity of the number of n-grams in each of 128 to 8,192 buckets (a power of two, twice the set's size or more if
+    that fits), 64 to a long. Buckets are the lowest bits, so that halves of a sketch fold by exclusive or."""
+    bits = 1 << min(max((2 * len(u)).bit_length(), 7), 13)
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def may_link(a: str, a_sketch: str, b: str, b_sketch: str, percent: int) -> Column:
-    """Length filter on two set sizes, and difference filter: fragment sizes differ by no more than the sets may."""
-    n, m = F.col(a), F.col(b)
-    part = lambda c, k, j: F.shiftrightunsigned(F.get(F.col(c), F.lit(k)), 8 * j).bitwiseAND(F.lit(255))
-    gap = F.lit(0).cast("long")
-    for k in range(4):
-        for j in range(8):
-            gap = gap + F.abs(part(a_sketch, k, j) - part(b_sketch, k, j))
+    """Length filter on two set sizes, and parity filter: each n-gram that only one of the sets has turns one bit, so the
+    sketches differ in no more bits than the sets in n-grams. Sizes that pass the first differ by one folding at most."""
+    n, m, x, y = F.col(a), F.col(b), F.col(a_sketch), F.col(b_sketch)
+    half = F.least(F.size(x), F.size(y))
+    fold = lambda s: F.when(F.size(s) == half, s).otherwise(F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda v, w: v.bitwiseXOR(w)))
+    gap = F.aggregate(F.zip_with(fold(x), fold(y), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (gap * (100 + percent) <= (n + m) * (100 - percent))
 
 
