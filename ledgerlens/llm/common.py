@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,41 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the cluster names none (local runs and tests), a temporary folder is set for the session.
+    Local runs that name none get a temporary folder for the session; on a cluster it must be named, since executors
+    do not see each other's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders given out by shared_dir and not removed yet.
+_made: list[str] = []
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in the shared store; those that are gone already are passed over."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables written inside when it ends; what is still needed must be outside them by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        removed(spark, _made[before:])
 
 
 def mark_of(text: Column, id_: Column) -> Column:
@@ -30,19 +60,17 @@ def mark_of(text: Column, id_: Column) -> Column:
     return F.unhex(F.concat(half(1), half(2)))
 
 
-#: Rows of an Arrow batch while tables are written: texts may be long, and a batch is held several times over.
-BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts may be long, and a batch is held several times over.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path, before = shared_dir(spark, name), spark.conf.get(BATCH_KEY)
-    spark.conf.set(BATCH_KEY, BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_KEY, before)
+    path = shared_dir(spark, name)
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)  # once a session, so that parallel stages do not undo each other's setting
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines of at least min_chars characters are near if their edit distance is at most t = max_edits. A line is cut into
-t + 1 even segments; of two near lines one holds a segment of the other unchanged, at a place that its index and the
-lengths bound. Each distinct line files its own segments under (length, index, content) and probes, for every shorter
+Two lines are near if their edit distance is at most t: one edit for every chars_per_edit characters of the shorter line,
+max_edits at most (lines too short for an edit are near only if equal). A line is cut into t + 1 even segments; of two
+near lines the longer holds a segment of the shorter unchanged, at a place that its index and the lengths bound. Each distinct line files its own segments under (length, index, content) and probes, for every shorter
 length in reach, the few substrings at which such a segment can stand (only shifted ones for its own length, where
 unshifted segments meet in the index). Groups of one key hold the candidates: groups are cut into blocks whose pairs
 of blocks are compared in separate tasks, with length and character counts first and a banded bit-parallel edit
@@ -40,18 +40,26 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def filed(line: str, edits: int) -> list[tuple[int, int, str]]:
+def allowed(length: int, edits: int, per_edit: int) -> int:
+    """Edits up to which a line of this length is near to one of its length or more."""
+    return min(edits, length // per_edit)
+
+
+def filed(line: str, edits: int, per_edit: int) -> list[tuple[int, int, str]]:
     """(length, index, content) of a line's own segments."""
-    return [(len(line), i, line[a : a + n]) for i, (a, n) in enumerate(segments(len(line), edits + 1))]
+    t = allowed(len(line), edits, per_edit)
+    return [(len(line), i, line[a : a + n]) for i, (a, n) in enumerate(segments(len(line), t + 1))] if t else []
 
 
-def probes(line: str, edits: int, least: int) -> list[tuple[int, int, str]]:
+def probes(line: str, edits: int, per_edit: int) -> list[tuple[int, int, str]]:
     """What a line looks up: substrings at which a segment of a line of its length or less can stand in it."""
     out = []
-    for length in range(max(least, len(line) - edits), len(line) + 1):
-        d = len(line) - length
-        for i, (a, n) in enumerate(segments(length, edits + 1)):
-            for at in range(max(a - i, a + d - (edits - i), 0), min(a + i, a + d + edits - i, len(line) - n) + 1):
+    for length in range(max(per_edit, len(line) - edits), len(line) + 1):
+        d, t = len(line) - length, allowed(length, edits, per_edit)
+        if d > t:
+            continue
+        for i, (a, n) in enumerate(segments(length, t + 1)):
+            for at in range(max(a - i, a + d - (t - i), 0), min(a + i, a + d + t - i, len(line) - n) + 1):
                 if d or at != a:
                     out.append((length, i, line[at : at + n]))
     return out
@@ -103,7 +111,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = []) -
     )
 
 
-def document_lines(docs: DataFrame, edits: int, min_chars: int, carry: list[str]) -> DataFrame:
+def document_lines(docs: DataFrame, edits: int, per_edit: int, carry: list[str]) -> DataFrame:
     """The columns to carry, row, id, mark, doc_id, sha (of the text), lines (hash of each stripped line, null for blank ones), keys (hashed,
     all of a text) and key_lines (the line of each key)."""
     names = ["row", "id", "mark", "doc_id", "sha", "lines", "keys", "key_lines", *carry]
@@ -124,13 +132,13 @@ def document_lines(docs: DataFrame, edits: int, min_chars: int, carry: list[str]
                         continue
                     h = _line_hash(line)
                     hashes.append(h)
-                    if len(line) >= min_chars and h not in seen:
+                    if len(line) >= per_edit and h not in seen:
                         if len(seen) >= 500_000:
                             seen.clear()
                         seen.add(h)
                         # the lowest bit tells filed segments (1) from probes (0)
-                        own = [digest(f"{n},{i},{s}") | 1 for n, i, s in filed(line, edits)]
-                        own += [(digest(f"{n},{i},{s}") | 1) - 1 for n, i, s in probes(line, edits, min_chars)]
+                        own = [digest(f"{n},{i},{s}") | 1 for n, i, s in filed(line, edits, per_edit)]
+                        own += [(digest(f"{n},{i},{s}") | 1) - 1 for n, i, s in probes(line, edits, per_edit)]
                         keys += own
                         owners += [h] * len(own)
                 for col, v in zip(cols, (hashlib.sha256(text.encode()).hexdigest(), hashes, np.array(keys, np.uint64).view(np.int64), np.array(owners, np.int64))):
@@ -161,8 +169,8 @@ def _texts_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select("text", "asked").mapInArrow(run, "line long, content string").dropDuplicates(["line"])
 
 
-def near_in(lines: list[tuple[int, int, str]], edits: int) -> list[tuple[int, int]]:
-    """Spanning links among lines (hash, block, content): pairs within edits, first by length and character counts."""
+def near_in(lines: list[tuple[int, int, str]], edits: int, per_edit: int) -> list[tuple[int, int]]:
+    """Spanning links among lines (hash, block, content): near pairs, first by length and character counts."""
     if len(lines) < 2:
         return []
     lengths = np.array([len(x[2]) for x in lines])
@@ -177,20 +185,21 @@ def near_in(lines: list[tuple[int, int, str]], edits: int) -> list[tuple[int, in
 
     out = []
     for k in range(1, len(lines)):
-        close = (np.abs(lengths[:k] - lengths[k]) <= edits) & (np.abs(bags[:k] - bags[k]).sum(axis=1) <= 2 * edits)
+        most = np.minimum(edits, np.minimum(lengths[:k], lengths[k]) // per_edit)
+        close = (np.abs(lengths[:k] - lengths[k]) <= most) & (np.abs(bags[:k] - bags[k]).sum(axis=1) <= 2 * most)
         for m in np.flatnonzero(close):
-            if find(int(m)) != find(k) and within(lines[k][2], lines[m][2], edits):
+            if find(int(m)) != find(k) and within(lines[k][2], lines[m][2], int(most[m])):
                 root[find(k)] = find(int(m))
                 out.append((lines[k][0], lines[m][0]))
     return out
 
 
-def _links(groups: DataFrame, edits: int) -> DataFrame:
+def _links(groups: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """a, b of near lines in groups of (key, i, j, line, content); rows of a group are compared in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            links = near_in(held, edits)
+            links = near_in(held, edits, per_edit)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
         held, last = [], None
@@ -207,7 +216,7 @@ def _links(groups: DataFrame, edits: int) -> DataFrame:
     return groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "line").mapInArrow(run, "a long, b long")
 
 
-def near_lines(table: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def near_lines(table: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """node, root of every line that is not the smallest hash of its class of near lines."""
     keys = table.select(F.inline(F.arrays_zip("keys", "key_lines"))).select(F.shiftright("keys", 1).alias("key"), F.col("keys").bitwiseAND(F.lit(1)).alias("own"), F.col("key_lines").alias("line"))
     groups = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("own"), F.count("*").alias("n")).where("low < high and own = 1")
@@ -223,23 +232,23 @@ def near_lines(table: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     # a line goes to every pair of blocks that holds its own
     spread = members.select("key", "line", own.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
     spread = spread.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "line")
-    return components.roots(written(_links(spread.join(contents, "line"), edits).distinct(), "line-links"))
+    return components.roots(written(_links(spread.join(contents, "line"), edits, per_edit).distinct(), "line-links"))
 
 
-def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 2, chars_per_edit: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), whole_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_lines (not blank), n_equal and n_near (removed ones), kept_sha256, kept_text (null
     where nothing goes, but for whole_text), row and the columns to carry (named unlike these).
 
     Lines are compared without the ASCII white space around them. A removed line leaves the text with its line break;
     blank lines stay. Of each class of equal and near lines the first stays, by doc_id (null first), row and place;
-    n_near counts removed lines that differ from the one that stays. Lines under min_chars are only compared for
-    equality (64-bit hashes). Null texts have no lines. Rows equal in id and text are documents of their own, of which
+    n_near counts removed lines that differ from the one that stays. Equality is that of
+    64-bit hashes. Null texts have no lines. Rows equal in id and text are documents of their own, of which
     the first keeps its lines. Very long lines are compared whole. Other columns are not read.
     """
     carry = list(carry)
     texts = _keyed(docs, id_col, text_col)
-    table = written(document_lines(_keyed(docs, id_col, text_col, carry), max_edits, min_chars, carry), "lines")
-    roots = near_lines(table, texts, max_edits)
+    table = written(document_lines(_keyed(docs, id_col, text_col, carry), max_edits, chars_per_edit, carry), "lines")
+    roots = near_lines(table, texts, max_edits, chars_per_edit)
     found = table.select("row", "id", F.posexplode("lines").alias("at", "line")).where("line is not null")
     found = found.join(roots, F.col("line") == F.col("node"), "left").select("row", "id", "at", "line", F.coalesce("root", "line").alias("class"))
     first = found.groupBy("class").agg(F.min(F.struct("id", "row", "at", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")

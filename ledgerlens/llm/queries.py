@@ -42,7 +42,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents"), max_edits=2, min_chars=20).select("doc_id", "n_lines", "n_equal", "n_near", "kept_sha256")
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), max_edits=2, chars_per_edit=10).select("doc_id", "n_lines", "n_equal", "n_near", "kept_sha256")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from ledgerlens.llm import line_dedup as q
 
 
 def distance(a, b):
+    if a.startswith(b) or b.startswith(a):
+        return abs(len(a) - len(b))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row, before = [i], row
@@ -25,20 +27,19 @@ def test_within(a, b, edits):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab", min_size=6, max_size=20), st.integers(1, 3), st.randoms())
-def test_near_lines_meet(a, edits, r):
+@given(st.text("ab", min_size=6, max_size=20), st.integers(1, 3), st.integers(2, 7), st.randoms())
+def test_near_lines_meet(a, edits, per_edit, r):
     b = list(a)
     for _ in range(r.randrange(edits + 1)):
         k = r.randrange(len(b)) if b else 0
         b[k : k + 1] = r.choice([[], [r.choice("ab")], [r.choice("ab"), "b"]])
     b = "".join(b)
-    if len(b) < 6:
-        return
     low, high = sorted((a, b), key=len)
-    assert set(q.filed(low, edits)) & set(q.filed(high, edits) + q.probes(high, edits, 6))
+    if low != high and distance(a, b) <= min(edits, len(low) // per_edit):
+        assert set(q.filed(low, edits, per_edit)) & set(q.filed(high, edits, per_edit) + q.probes(high, edits, per_edit))
 
 
-def brute(rows, edits, least):
+def brute(rows, edits, per_edit):
     place = []
     for k, (doc_id, text) in enumerate(rows):
         for at, line in enumerate((text or "").split("\n")):
@@ -54,7 +55,8 @@ def brute(rows, edits, least):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if len(a) >= least and len(b) >= least and abs(len(a) - len(b)) <= edits and ((ca := Counter(a)) - (cb := Counter(b))).total() + (cb - ca).total() <= 2 * edits and distance(a, b) <= edits:
+            t = min(edits, min(len(a), len(b)) // per_edit)
+            if abs(len(a) - len(b)) <= t and ((ca := Counter(a)) - (cb := Counter(b))).total() + (cb - ca).total() <= 2 * t and distance(a, b) <= t:
                 root[find(a)] = find(b)
     order = sorted(place, key=lambda p: (-1 if rows[p[0]][0] is None else rows[p[0]][0], p[0], p[1]))
     first, gone = {}, {}
@@ -77,7 +79,7 @@ def brute(rows, edits, least):
 def test_against_brute_force(spark, edits, monkeypatch):
     r = random.Random(edits)
     say = lambda n: "".join(r.choice("abcdé ") for _ in range(n)).strip() + "x"
-    bases = [say(n) for n in (12, 19, 25, 25, 40, 41, 60)]
+    bases = [say(n) for n in (6, 9, 10, 12, 18, 19, 25, 25, 40, 41, 60)]
     rows = []
     for i in range(70):
         lines = []
@@ -93,7 +95,7 @@ def test_against_brute_force(spark, edits, monkeypatch):
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, row string").coalesce(1)
     monkeypatch.setattr(q, "BLOCK", 4)
     got = sorted((tuple(x)[:5] for x in q.dedup(df, edits).collect()), key=str)
-    assert got == brute(rows, edits, 20)
+    assert got == brute(rows, edits, 10)
 
 
 def test_repeated_rows_and_empty(spark):
