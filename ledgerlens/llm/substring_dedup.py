@@ -2,9 +2,10 @@
 
 A window is a run of window_words words. Each window is filed under its anchor: the gram with the smallest hash in it
 (the first, on ties), so equal windows have equal anchors at equal places. Neighbouring windows of one anchor form a
-block, and a text has only about one block per (window_words - gram) / 2 words. A batch adds one sorted immutable run of
-(fingerprint of the anchor, hash of the block, occurrences) to the index; runs of a level are compacted into one of the
-next when they are fan_out. All runs are then merge-joined with the blocks of the texts:
+block, and a text has only about one block per (window_words - gram) / 2 words. The texts come in batches. Each becomes
+one sorted immutable run of fingerprints with their counts, is merge-joined with the runs of the batches before it, and
+what repeats within it or over them is noted as its hits; runs of a level are compacted into one of the next when they
+are fan_out. Of all batches' hits, verified once:
 
 * a fingerprint that occurs once has only windows that occur once;
 * where all blocks of a fingerprint are equal, all their windows repeat;
@@ -16,18 +17,22 @@ Hot passages therefore cost one row per occurrence, never pairs.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import mark_of, shared_dir, written
+from ledgerlens.llm.common import mark_of, removed, shared_dir, written
 from ledgerlens.llm.hashing import Powers, Rolling, word_hashes
 
 #: Doc buckets that a semi-join broadcasts at most, to leave out texts without work before they are shuffled.
 BUCKETS = 1 << 20
+#: Fingerprints of a bucket of the index, before equal ones are counted.
+BUCKET_ROWS = 2_000_000
 BLOCK_SCHEMA = "id long, mark binary, doc_id long, n_words long, sha string, fps array<long>, blocks array<long>, starts array<int>, lens array<int>"
 
 
@@ -78,37 +83,80 @@ def document_blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of (fp, block, n), sorted by fp and never changed; levels[k] lists the runs of about fan_out**k batches."""
+    """Immutable runs of (fp, n, low, high), one row a fingerprint: its occurrences, least and greatest block hash.
 
-    def __init__(self, spark: SparkSession, fan_out: int = 4):
-        self._spark, self._fan_out = spark, fan_out
-        self.levels: list[list[str]] = []
+    Runs are bucketed and sorted by fp, in one number of buckets, so that a batch meets a run in a merge join without a
+    shuffle. levels[k] lists the runs of about fan_out**k batches; compaction drops the runs it replaces. A manifest of
+    each version is written below root, from which opened() goes on. One writer at a time.
+    """
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = shared_dir(self._spark, f"fingerprint-run-{level}")
-        counts.sortWithinPartitions("fp", "block").write.parquet(path)
+    RUN = "fp long, n long, low long, high long"
+    HIT = "fp long, mixed boolean"
+
+    def __init__(self, spark: SparkSession, fan_out: int = 4, buckets: int = 8, root: str = ""):
+        self._spark, self._fan_out, self._buckets = spark, fan_out, buckets
+        self.root = root or shared_dir(spark, "fingerprint-index")
+        self.levels: list[list[str]] = []
+        self.hits: list[str] = []
+        self._version = 0
+
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index below root as its last manifest has it."""
+        last = spark.read.schema("version int, fan_out int, buckets int, levels array<array<string>>, hits array<string>").json(f"{root}/manifest/*").orderBy(F.desc("version")).first()
+        index = cls(spark, last["fan_out"], last["buckets"], root)
+        index.levels, index.hits, index._version = [list(x) for x in last["levels"]], list(last["hits"]), last["version"]
+        for name in (x for level in index.levels for x in level):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, n BIGINT, low BIGINT, high BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index._buckets} BUCKETS LOCATION '{root}/{name}'")
+        return index
+
+    def _write(self, counts: DataFrame, level: int) -> str:
+        name = f"fingerprint_run_{uuid.uuid4().hex}"
+        # dealt out as the buckets are, so that each is one file
+        counts.repartition(self._buckets, "fp").write.format("parquet").bucketBy(self._buckets, "fp").sortBy("fp").option("path", f"{self.root}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self._spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self._spark, [f"{self.root}/{name}" for name in names])
 
     def append(self, blocks: DataFrame) -> None:
-        """Add a batch of (fp, block) rows as one run, then compact what is due."""
-        self._write(blocks.groupBy("fp", "block").agg(F.count("*").alias("n")), 0)
-        level = 0
+        """Add a batch of (fp, block) rows: as one sorted run, merge-joined with each run before it; then compact what is due."""
+        before = [x for level in self.levels for x in level]
+        run = self._spark.table(self._write(blocks.groupBy("fp").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")), 0))
+        met = run.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
+        for name in before:
+            old = self._spark.table(name).select("fp", F.col("low").alias("old_low"), F.col("high").alias("old_high"))
+            both = run.hint("merge").join(old, "fp")
+            met = met.unionByName(both.select("fp", (F.least("low", "old_low") != F.greatest("high", "old_high")).alias("mixed")))
+        self.hits.append(f"{self.root}/hits-{uuid.uuid4().hex}")
+        met.groupBy("fp").agg(F.bool_or("mixed").alias("mixed")).write.parquet(self.hits[-1])
+        gone, level = [], 0
         while level < len(self.levels) and len(self.levels[level]) >= self._fan_out:
             due, self.levels[level] = self.levels[level], []
-            self._write(self._read(due).groupBy("fp", "block").agg(F.sum("n").alias("n")), level + 1)
-            level += 1
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "fp long, block long, n long"
-        return self._spark.read.schema(schema).parquet(*paths) if paths else self._spark.createDataFrame([], schema)
+            runs = reduce(DataFrame.unionByName, map(self._spark.table, due))
+            self._write(runs.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), level + 1)
+            gone, level = gone + due, level + 1
+        self._version += 1
+        state = [(self._version, self._fan_out, self._buckets, self.levels, self.hits)]
+        state = self._spark.createDataFrame(state, "version int, fan_out int, buckets int, levels array<array<string>>, hits array<string>")
+        state.coalesce(1).write.json(f"{self.root}/manifest/{self._version}")
+        self._drop(gone)  # only now, so that the last manifest always names what is there
 
     def repeated(self) -> DataFrame:
-        """fp, mixed of each fingerprint with two occurrences or more over all runs; mixed: its blocks differ."""
-        runs = self._read([p for level in self.levels for p in level])
-        merged = runs.groupBy("fp").agg(F.sum("n").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
-        return merged.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
+        """fp, mixed of each fingerprint with two occurrences or more over all batches; mixed: its blocks differ."""
+        hits = self._spark.read.schema(self.HIT).parquet(*self.hits) if self.hits else self._spark.createDataFrame([], self.HIT)
+        return hits.groupBy("fp").agg(F.bool_or("mixed").alias("mixed"))
+
+    def drop(self) -> None:
+        """Remove the index from the catalog and the store."""
+        self._drop([x for level in self.levels for x in level])
+        removed(self._spark, [self.root])
+        self.levels, self.hits = [], []
 
 
 def _with_work(docs: DataFrame, work: DataFrame) -> DataFrame:
@@ -162,16 +210,18 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(document table, id/mark/spans): where windows repeat, as (start, end) words from 0; only texts that have any."""
     spark = docs.sparkSession
     texts = _keyed(docs, id_col, text_col)
     table = written(document_blocks(texts, window, gram), "blocks")
     blocks = table.select("id", "mark", F.inline(F.arrays_zip("fps", "blocks", "starts", "lens"))).select("id", "mark", F.col("fps").alias("fp"), F.col("blocks").alias("block"), F.col("starts").alias("start"), F.col("lens").alias("len"))
-    index = FingerprintIndex(spark)
+    size = table.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0)).alias("n")).first()["n"]
+    index = FingerprintIndex(spark, buckets=min(max(8, size // BUCKET_ROWS), 100_000))
     for k in range(batches):
-        index.append(blocks.where(F.pmod("id", F.lit(batches)) == k).select("fp", "block"))
+        index.append(blocks.where(F.pmod(F.xxhash64("id", "mark"), F.lit(batches)) == k).select("fp", "block"))
     repeated = written(index.repeated(), "repeated")  # on its own, so that a hot fingerprint can be split in the join
+    index.drop()
     met = written(blocks.join(repeated, "fp"), "blocks-met")
 
     mixed = met.where("mixed")
@@ -192,7 +242,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 8, batches: in
     return table, written(spans, "spans")
 
 
-def dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing goes).
 
     A word goes if a window over it has a word sequence that also starts elsewhere, in the same text or another; windows

@@ -1,8 +1,10 @@
 import hashlib
 import random
 from collections import Counter
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 
 from ledgerlens.llm.substring_dedup import FingerprintIndex, dedup
 
@@ -56,12 +58,23 @@ def test_kept_text_and_empty(spark):
     assert dedup(df.limit(0)).count() == 0
 
 
-def test_index_compacts(spark):
-    index = FingerprintIndex(spark, fan_out=2)
+def test_index_compacts_and_opens_again(spark):
+    batch = lambda k: spark.createDataFrame([(k, 1), (7, k % 2), (8, 3), (20 + k // 2, 5)] + [(30, 1)] * (k == 3), "fp long, block long")
+    index = FingerprintIndex(spark, fan_out=2, buckets=3)
     for k in range(5):
-        index.append(spark.createDataFrame([(k, 1), (7, k % 2), (8, 3)], "fp long, block long"))
+        index.append(batch(k))
+        if k == 2:
+            index = FingerprintIndex.opened(spark, index.root)
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    assert sorted((r.fp, r.mixed) for r in index.repeated().collect()) == [(7, True), (8, False)]
+    at_once = FingerprintIndex(spark)
+    at_once.append(reduce(DataFrame.union, map(batch, range(5))))
+    want = sorted((r.fp, r.mixed) for r in at_once.repeated().collect())
+    assert sorted((r.fp, r.mixed) for r in index.repeated().collect()) == want == [(7, True), (8, False), (20, False), (21, False)]
+    names = [x for level in index.levels for x in level]
+    plan = spark.table(names[0]).hint("merge").join(spark.table(names[1]), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
+    assert not any(spark.catalog.tableExists(x) for x in names)
 
 
 def test_texts_of_equal_short_hash(spark):
