@@ -61,9 +61,10 @@ def path_under(c: Column, root: str) -> Column:
 
 
 def ancestors(c: Column) -> Column:
-    """Every slash-ended prefix of a path, and the path itself slash-ended."""
+    """Every slash-ended prefix of a path, and the path itself slash-ended; a scheme alone is no place, so those of a URL start at its host."""
     parts = F.split(F.rtrim(c, F.lit("/")), "/", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    first = F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]+://[^/]"), 3).otherwise(1)
+    return F.transform(F.sequence(first, F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
 
 
 def sanitized_error(c: Column, longest: int = 2048) -> Column:
@@ -109,6 +110,68 @@ def contract_hash(*fields: Column) -> Column:
 
 
 def tagged_hash(**fields: Column) -> Column:
-    """SHA-256 of name=length:value lines, so that no two field lists run together."""
-    lines = [F.concat(F.lit(f"{n}="), F.length(c).cast("string"), F.lit(":"), c, F.lit("\n")) for n, c in fields.items()]
+    """SHA-256 of name=length:value lines, lengths in UTF-16 units, so that no two field lists run together."""
+    units = lambda c: F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("string")
+    lines = [F.concat(F.lit(f"{n}="), units(c), F.lit(":"), c, F.lit("\n")) for n, c in fields.items()]
     return F.sha2(F.concat(*lines), 256)
+
+
+def workspace_problem(c: Column) -> Column:
+    """Why a folder cannot hold a workspace, or null: blank, not absolute, or the root of a drive, share or file system."""
+    path = F.trim(c)
+    root = path.rlike(r"^(/+|[A-Za-z]:[\\/]*|[\\/]{2}[^\\/]+[\\/]+[^\\/]+[\\/]*)\z")
+    return F.when(c.isNull() | (path == ""), "select a folder").when(~path.rlike(r"^(/|[A-Za-z]:[\\/]|\\\\)"), "not absolute").when(root, "a root")
+
+
+def asset_dir(label: Column, source: Column, id_: Column) -> Column:
+    """label_source_shortid, each part a safe name."""
+    stem = F.when(source.isNull() | (F.trim(source) == ""), "media").otherwise(file_stem(source))
+    return F.concat_ws("_", safe_name(label, "recording"), safe_name(stem, "media"), short_id(id_))
+
+
+def job_path(id_: Column, created: Column) -> Column:
+    """Processing/<UTC time to 100 ns>_local-media_<short id>; the session's time zone must be UTC. The seventh digit is 0."""
+    return F.concat(F.lit("Processing/"), F.date_format(created, "yyyyMMdd'T'HHmmssSSSSSS"), F.lit("0Z_local-media_"), short_id(id_))
+
+
+def prepared_path(directory: Column, contract: Column, leaf: Column) -> Column:
+    """<directory>/Prepared/v1_<first 12 of the contract hash>/<leaf>"""
+    return F.concat_ws("/", directory, F.lit("Prepared"), F.concat(F.lit("v1_"), F.substring(contract, 1, 12)), leaf)
+
+
+#: Phrases by which a decoder says that it lacks a codec.
+NO_CODEC = ("decoder not found", "no decoder found", "unknown decoder", "unsupported codec", "decoding requested, but no decoder")
+
+
+def codec_missing(log: Column) -> Column:
+    """A log names a missing decoder, in any case; null is none."""
+    return F.coalesce(F.lower(log).rlike("|".join(NO_CODEC)), F.lit(False))
+
+
+def shown(c: Column, names: dict[str, str]) -> Column:
+    """Display text of a state; one that is not named stays as it is."""
+    out = c
+    for value, name in names.items():
+        out = F.when(c == value, name).otherwise(out)
+    return out
+
+
+#: States of readiness in which a job runs or a repair is due, and those that a job can go on from.
+BUSY = ("IngestingMedia", "ValidatingMedia", "PreprocessingMedia", "ExtractingAudioObservations", "MediaIntegrityFailed")
+RESUMABLE = ("MediaIngestedAwaitingProbe", "MediaValidationFailed", "MediaValidated", "MediaPreprocessingFailed", "MediaPrepared", "AudioObservationFailed")
+
+
+def can_process(readiness: Column, pending: Column) -> Column:
+    """No job runs, no repair is due, and something is pending or can go on; a null readiness is no state, a null count is 0."""
+    state = F.coalesce(readiness, F.lit(""))
+    return ~state.isin(*BUSY) & ((F.coalesce(pending, F.lit(0)) > 0) | state.isin(*RESUMABLE))
+
+
+def major_brand(c: Column) -> Column:
+    """Exactly four printable ASCII characters, else null."""
+    return F.when(c.rlike(r"^[ -~]{4}\z"), c)
+
+
+def banner_value(log: Column, prefix: str) -> Column:
+    """Rest of the first line of a tool's banner with this prefix, trimmed; null without one."""
+    return F.nullif(F.trim(F.regexp_extract(log, rf"(?m)^\Q{prefix}\E[ \t]*([^\r\n]*)", 1)), F.lit(""))

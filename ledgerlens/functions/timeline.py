@@ -49,7 +49,17 @@ def mapped_time(target: Column, duration: Column, origin: Column) -> Column:
 
 def format_timeline(us: Column) -> Column:
     """Signed HH:MM:SS.mmm, hours unbounded, cut to milliseconds."""
-    ms = F.floor(F.abs(us) / F.lit(1000)).cast("long")
+    ms = F.floor(F.abs(us.cast("decimal(20,0)")) / F.lit(1000)).cast("long")  # the smallest long has no positive one
     part = lambda unit, base: F.floor(ms / unit) % base if base else F.floor(ms / unit)
     text = F.format_string("%02d:%02d:%02d.%03d", part(3_600_000, 0), part(60_000, 60), part(1_000, 60), ms % 1000)
     return F.concat(F.when(us < 0, F.lit("-")).otherwise(F.lit("")), text)
+
+
+def origin_us(video: Column, audio: Column) -> Column:
+    """The earlier of the first times of two streams; null if either is unknown."""
+    return F.when(video.isNotNull() & audio.isNotNull(), F.least(video, audio))
+
+
+def mapped_duration_us(proxy: Column, audio: Column) -> Column:
+    """The longer of two durations; null if either is unknown."""
+    return F.when(proxy.isNotNull() & audio.isNotNull(), F.greatest(proxy, audio))

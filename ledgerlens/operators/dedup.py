@@ -24,5 +24,5 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def first_seen_labels(rows: DataFrame, by: str, label: str, order: list[str], blank: str) -> DataFrame:
     """Distinct labels per key in the order of their first row; blank or missing ones under the given name."""
     named = F.when(F.trim(F.col(label)) != "", F.col(label)).otherwise(F.lit(blank))
-    listed = F.array_sort(F.collect_list(F.struct(*order, named.alias("_l"))))
-    return rows.groupBy(by).agg(F.array_distinct(F.transform(listed, lambda x: x["_l"])).alias("labels"))
+    firsts = rows.groupBy(by, named.alias("_l")).agg(F.min(F.struct(*order)).alias("_at"))  # one row a label before any list
+    return firsts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_l"))), lambda x: x["_l"]).alias("labels"))

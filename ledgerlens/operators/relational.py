@@ -74,3 +74,53 @@ def changed_immutable(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Keys whose row differs between two versions of a table that must not change."""
     pack = lambda d, n: d.select(F.col(key), F.struct(*sorted(c for c in d.columns if c != key)).alias(n))
     return pack(old, "a").join(pack(new, "b"), key).where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+
+
+def bridged(children: DataFrame, bridge: DataFrame, child_key: str, bridge_child: str) -> DataFrame:
+    """Children with the rows of a bridge table that name them; a bridge row that names none is left out."""
+    return bridge.join(children, F.col(bridge_child) == F.col(child_key), "inner")
+
+
+def looked_up(rows: DataFrame, build: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with a table whose key must be unique: a key it has twice, or has as null, fails the job.
+
+    Checked where the build side is grouped for the join, so it is read once. Rows of a null key find nothing.
+    """
+    rest = [c for c in build.columns if c != key]
+    once = build.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_b"))
+    checked = F.when((F.col("_n") > 1) | F.col(key).isNull(), F.raise_error(F.format_string("key %s is not unique", F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col("_b"))
+    return rows.join(once.select(key, checked.alias("_b")), key, how).select(*rows.columns, *[F.col("_b")[c].alias(c) for c in rest])
+
+
+def exists_update(rows: DataFrame, results: DataFrame, key: str, failure: str, proposed: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows after, affected count): the proposed failure is taken where it is null and a result exists, or is not null
+    and none does; other rows keep theirs."""
+    known = results.select(F.col(key).alias("_k")).distinct()
+    joined = rows.join(known, F.col(key) == F.col("_k"), "left").withColumn("_ok", proposed.isNull() == F.col("_k").isNotNull())
+    after = joined.withColumn(failure, F.when(F.col("_ok"), proposed).otherwise(F.col(failure)))
+    return after.drop("_k", "_ok"), joined.agg(F.count_if("_ok").alias("affected"))
+
+
+def insert_faults(new: DataFrame, old: DataFrame, key: str, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """key, rule of rows that cannot be added: a key given twice or taken already, or a parent (not null) that is not there."""
+    twice = new.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit("given_twice").alias("rule"))
+    taken = new.select(key).distinct().join(old.select(key), key, "left_semi").select(key, F.lit("taken").alias("rule"))
+    known = parents.select(F.col(parent_key).alias("_p"))
+    orphan = new.where(F.col(child_key).isNotNull()).join(known, F.col(child_key) == F.col("_p"), "left_anti").select(key, F.lit("no_parent").alias("rule"))
+    return twice.unionByName(taken).unionByName(orphan)
+
+
+def inserted(new: DataFrame, old: DataFrame, key: str, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """old and the new rows without faults."""
+    bad = insert_faults(new, old, key, parents, child_key, parent_key).select(key)
+    return old.unionByName(new.join(bad, key, "left_anti").select(*old.columns))
+
+
+def first_and_more(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """by, the value of the first row in the order, and whether there are more."""
+    return rows.groupBy(by).agg(F.min_by(value, F.struct(*order)).alias(value), (F.count("*") > 1).alias("more"))
+
+
+def groups_by_least(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """by, its least order, n: groups in the order of their first member, then of their key."""
+    return rows.groupBy(by).agg(F.min(order).alias("first_order"), F.count("*").alias("n")).orderBy("first_order", by)

@@ -25,7 +25,7 @@ def _samples(spark, sf_dir):
            count_if(x = 0) AS zero, count_if(x = 32767) AS full_high, count_if(x = -32768) AS full_low, count_if(sign(p) * sign(x) < 0) AS crossings,
            CAST(sum(CAST(x AS HUGEINT)) AS VARCHAR) AS total, CAST(sum(CAST(x AS HUGEINT) * x) AS VARCHAR) AS total_squares FROM s GROUP BY event_type""")
 def pcm_facts(spark, sf_dir):
-    return sequence.facts(_samples(spark, sf_dir), ["event_type"], ["ts", "event_id"], "sample")
+    return sequence.facts(_samples(spark, sf_dir), ["event_type"], ["ts", "event_id"], "sample", chunk=F.date_trunc("hour", "ts"))
 
 
 @R.query(f"SELECT user_id, count_if(sign(p) * sign(x) < 0) AS crossings FROM (SELECT user_id, {_SAMPLE} AS x, lag({_SAMPLE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY user_id")
@@ -33,8 +33,10 @@ def sign_crossing(spark, sf_dir):
     return sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample").select("user_id", "crossings")
 
 
-@R.query(f"""WITH s AS (SELECT user_id, {_SAMPLE} AS x, lag({_SAMPLE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), f AS (SELECT user_id, count(*) AS n, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1)
-    SELECT CAST(0 AS BIGINT) AS broken, count(*) AS sequences FROM f""")
+@R.query(f"""WITH s AS (SELECT user_id, {_SAMPLE} AS x, lag({_SAMPLE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+    f AS (SELECT user_id, count(x) AS n, min(x) AS lo, max(x) AS hi, count_if(x > 0) AS pos, count_if(x < 0) AS neg, count_if(x = 0) AS zero, count_if(sign(p) * sign(x) < 0) AS crossings, sum(x) AS total, sum(x * x) AS squares FROM s GROUP BY 1)
+    SELECT count_if(NOT (lo >= -32768 AND lo <= hi AND hi <= 32767 AND pos + neg + zero = n AND (pos = 0) = (hi <= 0) AND (neg = 0) = (lo >= 0) AND crossings < n AND total BETWEEN lo * n AND hi * n
+           AND squares BETWEEN greatest(lo * lo, hi * hi) AND greatest(lo * lo, hi * hi) * n)) AS broken, count(*) AS sequences FROM f""")
 def dq_sample_facts(spark, sf_dir):
     rows = sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample")
     broken = sequence.violations(rows).groupBy("user_id").agg(F.count("*").alias("b"))
@@ -54,8 +56,9 @@ def latest_state(spark, sf_dir):
 @R.query("SELECT user_id, count(*) AS beats FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
 def stale_active(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    newest = events.agg(F.max("ts").alias("newest")).first()["newest"]
-    return events.groupBy("user_id").agg(F.count("*").alias("beats"), F.max("ts").alias("last")).where(F.col("last") < F.lit(newest) - F.expr("INTERVAL 2 DAYS")).select("user_id", "beats")
+    newest = events.agg(F.max("ts").alias("newest"))  # one row
+    last = events.groupBy("user_id").agg(F.count("*").alias("beats"), F.max("ts").alias("last"))
+    return last.join(F.broadcast(newest), F.col("last") < F.col("newest") - F.expr("INTERVAL 2 DAYS"), "left_semi").select("user_id", "beats")
 
 
 @R.query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders")

@@ -45,11 +45,8 @@ def condition_conflict(spark, sf_dir):
     (SELECT count(*) FROM (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1)) AS conflicts FROM documents""")
 def group_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("asset"), F.col("source").alias("grp"))
-    pairs = rows.groupBy("asset", "grp").agg(F.count("*").alias("n"))
-    per = pairs.groupBy("asset").agg(F.count("grp").alias("groups"), F.sum(F.when(F.col("grp").isNull(), F.col("n")).otherwise(0)).alias("none"), F.collect_set("grp").alias("names"))
-    return per.agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("names")))).cast("long").alias("assigned_groups"), F.sum("none").alias("unassigned"), F.count_if(F.col("groups") > 1).alias("conflicts")
-    )
+    per = rows.groupBy("asset").agg(F.countDistinct("grp").alias("groups"))
+    return rows.agg(F.countDistinct("grp").alias("assigned_groups"), F.count_if(F.col("grp").isNull()).alias("unassigned")).join(F.broadcast(per.agg(F.count_if(F.col("groups") > 1).alias("conflicts"))))  # one row each
 
 
 @R.query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

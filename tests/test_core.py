@@ -1,5 +1,6 @@
 """Fixed cases of functions, sources and operators."""
 
+import hashlib
 import json
 import struct
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
 from ledgerlens.functions import timeline
-from ledgerlens.operators import dedup, quality, readiness, reconcile, relational, sequence
+from ledgerlens.operators import dedup, draft, quality, readiness, reconcile, relational, sequence
 from ledgerlens.sources import probe, wave
 from ledgerlens.streaming import heartbeat
 
@@ -137,3 +138,55 @@ def test_heartbeat_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.beats for r in spark.table("beats").collect()) == [1, 2]
+
+
+def test_lookup_fails_on_a_repeated_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    build = spark.createDataFrame([(1, "x"), (3, "y")], "k long, w string")
+    assert sorted((r.v, r.w) for r in relational.looked_up(rows, build, "k").collect()) == [("a", "x"), ("b", None), ("c", None)]
+    with pytest.raises(Exception, match="not unique"):
+        relational.looked_up(rows, build.union(build), "k").collect()
+    assert relational.looked_up(rows.limit(0), build, "k").count() == 0
+
+
+def test_inserts_and_exists_update(spark):
+    old = spark.createDataFrame([(1, 10)], "k long, p long")
+    new = spark.createDataFrame([(1, 10), (2, 10), (2, 10), (3, 99), (4, None), (5, 11)], "k long, p long")
+    parents = spark.createDataFrame([(10,), (11,)], "p_id long")
+    assert sorted(tuple(r) for r in relational.insert_faults(new, old, "k", parents, "p", "p_id").collect()) == [(1, "taken"), (2, "given_twice"), (3, "no_parent")]
+    assert sorted(tuple(r) for r in relational.inserted(new, old, "k", parents, "p", "p_id").collect()) == [(1, 10), (4, None), (5, 11)]
+    rows = spark.createDataFrame([(1, "f", None), (2, "f", None), (3, None, "g"), (4, None, "g")], "k long, failure string, new string")
+    after, n = relational.exists_update(rows, spark.createDataFrame([(1,), (1,), (3,)], "k long"), "k", "failure", F.col("new"))
+    assert sorted((r.k, r.failure) for r in after.collect()) == [(1, None), (2, "f"), (3, None), (4, "g")] and n.first().affected == 2
+
+
+def test_chunked_facts_equal_whole_ones(spark):
+    values = [3, -1, 0, -2, None, 5, -5, 5, 0, 0, 7, -32768, 32767, None, None, 1]
+    df = spark.createDataFrame([(k % 2, k, v) for k, v in enumerate(values * 2)], "g long, k long, x int")
+    whole = sorted(tuple(r) for r in sequence.facts(df, ["g"], ["k"], "x").collect())
+    for size in (1, 3, 7):
+        assert sorted(tuple(r) for r in sequence.facts(df, ["g"], ["k"], "x", chunk=F.floor(F.col("k") / size)).collect()) == whole
+    assert sequence.facts(df.limit(0), ["g"], ["k"], "x").count() == 0
+
+
+def test_first_seen_labels_of_repeats(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 4, " "), ("b", 1, None)], "k string, o long, l string")
+    assert {r.k: r.labels for r in dedup.first_seen_labels(df, "k", "l", ["o"], "none").collect()} == {"a": ["y", "x", "none"], "b": ["none"]}
+
+
+def test_record_texts(spark):
+    df = spark.createDataFrame([("/data/x",), ("/",), ("C:\\",), ("C:\\w",), ("\\\\host\\share\\",), ("rel/x",), (" ",), (None,)], "c string")
+    assert [r[0] for r in df.select(t.workspace_problem(F.col("c"))).collect()] == [None, "a root", "a root", None, "a root", "not absolute", "select a folder", "select a folder"]
+    banner = "tool version 7.1 Copyright\nbuilt with gcc 13\nconfiguration: --a --b\n"
+    row = spark.createDataFrame([(banner, "a\U0001F600")], "b string, e string")
+    assert row.select(t.banner_value(F.col("b"), "built with"), t.banner_value(F.col("b"), "nothing")).first() == ("gcc 13", None)
+    assert row.select(t.tagged_hash(e=F.col("e"))).first()[0] == hashlib.sha256("e=3:a\U0001F600\n".encode()).hexdigest()
+    low = spark.createDataFrame([(-(1 << 63),)], "us long")
+    assert low.select(timeline.format_timeline(F.col("us"))).first()[0] == "-2562047788:00:54.775"
+
+
+def test_draft_issues_on_empty_tables(spark):
+    drafts = spark.createDataFrame([(1, "n", "/w/x", None, "m.vwpkg"), (2, None, "/w/y", " ", None)], "draft long, name string, workspace string, staging string, package string")
+    items = spark.createDataFrame([], "draft long, item long, path string, archived boolean, found boolean, grp string")
+    groups = spark.createDataFrame([], "draft long, grp_item long, grp string, grp_name string")
+    assert sorted((r.draft, r.code) for r in draft.issues(drafts, items, groups).collect()) == [(2, "Input.Required"), (2, "ProfileName.Required")]
