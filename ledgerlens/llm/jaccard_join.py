@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import components
-from ledgerlens.llm.common import mark_of, screened, written
+from ledgerlens.llm.common import BUCKETS, mark_of, screened, written
 from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 
 #: Fragments for counting overlaps, and bytes kept of an n-gram's hash below the fragment's bits.
@@ -198,22 +198,33 @@ def _texts_at(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, keys, short: the first d + 1 rare n-grams of the nodes in hot (row, id, mark, n_shingles); short: there
-    are no more than d, so that a similar node may share none."""
+    """node, keys, short: the first d + 1 rare n-grams of the nodes in hot (row, id, mark); short: there are no more than
+    d, so that a similar node may share none. Up to BUCKETS frequent n-grams are sent to the tasks, more are joined."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 u = shingles(text, size, powers).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), row)), pa.array(u)], names=["node", "gram"])
-
-    held = written(_texts_at(texts, hot).select("row", "text").mapInArrow(grams, "node long, gram long"), "hot-grams")
-    often = written(held.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "frequent-grams")
-    rare = held.join(often, "gram", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("rare"))
-    rows = hot.select(F.col("row").alias("node"), F.floor(F.col("n_shingles") * (100 - percent) / percent).cast("int").alias("d")).join(rare, "node", "left")
-    rare = F.coalesce("rare", F.array().cast("array<long>"))
-    return rows.select("node", F.slice(rare, F.lit(1), F.col("d") + 1).alias("keys"), (F.size(rare) <= F.col("d")).alias("short"))
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([u], pa.list_(pa.int64())), pa.array([len(u) * (100 - percent) // percent], pa.int32())], names=["node", "grams", "d"])
+
+    held = written(_texts_at(texts, hot).select("row", "text").mapInArrow(grams, "node long, grams array<long>, d int"), "hot-grams")
+    often = held.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    often = written(often.select("gram"), "frequent-grams")
+    if often.limit(BUCKETS + 1).count() > BUCKETS:
+        rare = held.select("node", F.explode("grams").alias("gram")).join(often, "gram", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("rare"))
+        rows = held.select("node", "d").join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<long>")))
+        return rows.select("node", F.slice("rare", F.lit(1), F.col("d") + 1).alias("keys"), (F.size("rare") <= F.col("d")).alias("short"))
+    sent = texts.sparkSession.sparkContext.broadcast(often.toArrow().column("gram").to_numpy())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rares = [np.sort(u[~np.isin(u, sent.value)]) for u in map(np.array, batch.column("grams").to_pylist())]
+            ds = batch.column("d").to_pylist()
+            lists = pa.array([r[: d + 1] for r, d in zip(rares, ds)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array([len(r) <= d for r, d in zip(rares, ds)])], names=["node", "keys", "short"])
+
+    return held.mapInArrow(keep, "node long, keys array<long>, short boolean")
 
 
 class _Verifier:

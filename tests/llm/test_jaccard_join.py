@@ -87,9 +87,10 @@ def test_empty(spark):
     assert len(j.shingles("A b", 4, Powers(0))) == 1
 
 
-@pytest.mark.parametrize("hot", [2, 5])
-def test_hot_keys(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot,sent", [(2, 1 << 20), (5, 0)])
+def test_hot_keys(spark, hot, sent, monkeypatch):
     monkeypatch.setattr(j, "HOT", hot)
+    monkeypatch.setattr(j, "BUCKETS", sent)
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, 4, 85).collect()], key=str)
