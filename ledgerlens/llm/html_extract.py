@@ -14,8 +14,9 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import xxhash
@@ -42,17 +43,23 @@ CLOSES_P = BLOCKS - {"html", "body", "head"}
 #: What an opening tag ends, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 
-#: svg and math reach to their end tag; they close at once where they close themselves or have none.
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>(?:.*?</\1\s*>)?)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is no text, up to their end tag; svg and math close at once where they close themselves or have none.
+_RAW = frozenset(RAW.split("|"))
+_FOREIGN = frozenset(("svg", "math"))
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+#: Words that say nothing of a part beside a telling one: "cookie-box" names itself a notice, "cookie-recipes" does not.
+NEUTRAL = frozenset("area bar block box button buttons container content items left link links list main panel posts right section slot thread top bottom unit wrap wrapper".split())
+#: Depth of nesting up to which elements are told apart; deeper ones are read as neighbours there, so no depth can exhaust a stack.
+DEEP = 100
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 
 def _label(tag: str, attributes: str) -> str:
-    """Tag with its classes (numbers aside), and "!" if the element names itself as something beside the text, or these
-    words of its id and "?" if only that does and may be the slug of a section: of one so tagged or classed, or with
-    other words in it."""
-    chrome, slug, classes, ids = tag in CHROME_TAGS, "", [], []
+    """Tag with its classes (numbers aside), and "!" if the element names itself as something beside the text. "?" and
+    the words that say so if they may as well name what the text is about: among other words of a class or an id."""
+    chrome, slug, classes, named, weak = tag in CHROME_TAGS, "", [], False, set()
     if attributes and "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), "").lower(), name.lower()
@@ -62,62 +69,153 @@ def _label(tag: str, attributes: str) -> str:
                     classes.append("main")
                 continue
             words = value.split()
-            parts = [part for w in words for part in re.split(r"[-_]+", w)]
             if name == "class":
                 classes += [re.sub(r"\d+", "0", w) for w in words]
-                chrome = chrome or tag not in WHOLE and any(part in CHROME_WORDS for part in parts)
-            elif tag not in HEADINGS:
-                ids += [part for part in parts if part and not part.isdigit()]
-        if tag not in WHOLE and (named := CHROME_WORDS & set(ids)):
-            slug = f"#{'-'.join(sorted(named))}?"
-            chrome = chrome or tag != "section" and "section" not in classes and named == set(ids)
+            elif tag in HEADINGS:
+                continue
+            for w in words:
+                parts = {x for x in re.split(r"[-_\d]+", w) if x}
+                if found := parts & CHROME_WORDS:
+                    whole = parts <= CHROME_WORDS | NEUTRAL and (name == "class" or tag != "section" and "section" not in classes)
+                    named = named or whole
+                    weak |= found
+        if tag not in WHOLE and weak:
+            chrome = chrome or named
+            slug = f"#{'-'.join(sorted(weak))}?"
     return ".".join([tag, *sorted(set(classes))]) + ("!" if chrome else slug)
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """start, end, "/" of an end tag, name ("" for what is no element) and attributes, in one pass over the page.
+
+    What is known to be missing ahead (a ">", a quote, the end of an element) is not looked for again, so the work is
+    in proportion to the page, whatever it leaves open.
+    """
+    at, size = 0, len(page)
+    last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    quotes = True
+    endless: set[str] = set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if start > last_end:
+            return  # cut-off tags are text
+        m = _NAME.match(page, start)
+        if not m:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+                yield start, at, "", "", ""
+            else:
+                at = start + 1
+            continue
+        end = -1
+        if quotes:
+            i = m.end()
+            while q := _QUOTE_OR_END.search(page, i):
+                if q[0] == ">":
+                    end = q.start()
+                    break
+                i = page.index(q[0], q.end()) + 1 if last_quote[q[0]] >= q.end() else q.end()
+            quotes = end >= 0  # else no ">" outside quotes from here on
+        if end < 0:
+            end = page.find(">", m.end())
+        name, attributes, at = m[2].lower(), page[m.end() : end], end + 1
+        if not m[1] and (name in _RAW or name in _FOREIGN and not attributes.endswith("/")):
+            close = None if name in endless else _end_of(name).search(page, at)
+            if close:
+                at = close.end()
+            elif name in _RAW:
+                at = size
+            else:
+                endless.add(name)
+            yield start, at, "", "", ""
+        else:
+            yield start, at, m[1], name, attributes
+
+
+@lru_cache(maxsize=None)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
 def walk(page: str, enter, leave, text) -> None:
-    """Calls enter(label), leave() of block elements and text(chars, in_link) in page order."""
+    """Calls enter(label), leave() of block elements and text(chars, in_link) in page order, at most DEEP + 1 deep.
+
+    A deeper element comes as a child of its ancestor at DEEP, open while it has the text; what is in one that names
+    itself beside the text names itself so too.
+    """
     stack: list[str] = []
-    links, at = 0, 0
+    labels: list[str] = []
+    count: Counter[str] = Counter()
+    links, at, shown = 0, 0, False
 
     def close(upto: int) -> None:
+        nonlocal shown
         while len(stack) > upto:
-            stack.pop()
-            leave()
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()], links > 0)
-        at = m.end()
-        if not m[4]:
+            if len(stack) <= DEEP:
+                leave()
+            elif shown:
+                leave()
+                shown = False
+            count[stack.pop()] -= 1
+            labels.pop()
+
+    def chars(part: str, in_link: bool) -> None:
+        nonlocal shown
+        if len(stack) > DEEP and not shown:
+            enter(labels[-1])
+            shown = True
+        text(part, in_link)
+
+    def down(to: str) -> int:
+        k = len(stack) - 1
+        while stack[k] != to:
+            k -= 1
+        return k
+
+    for start, end, closing, tag, attributes in _tokens(page):
+        if start > at:
+            chars(page[at:start], links > 0)
+        at = end
+        if not tag:
             continue
-        tag = m[4].lower()
-        if m[3]:
+        if closing:
             if tag == "a":
                 links = 0
-            elif tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
+            elif count[tag]:
+                close(down(tag))
         elif tag == "a":
             links = 1
         elif tag == "br":
-            text(" ", False)
+            chars(" ", False)
         elif tag in BLOCKS or tag in CHROME_TAGS:
-            if tag in CLOSES_P and "p" in stack:
-                close(len(stack) - 1 - stack[::-1].index("p"))
-            if tag in IMPLIED:
+            if tag in CLOSES_P and count["p"]:
+                close(down("p"))
+            if tag in IMPLIED and any(count[x] for x in IMPLIED[tag][0]):
                 ended, fence = IMPLIED[tag]
-                k = len(stack)
-                while k and stack[k - 1] not in fence:
+                k, lowest = len(stack) - 1, len(stack)
+                while k >= 0 and stack[k] not in fence:
+                    if stack[k] in ended:
+                        lowest = k
                     k -= 1
-                for i in range(k, len(stack)):
-                    if stack[i] in ended:
-                        close(i)
-                        break
+                close(lowest)
+            label = _label(tag, attributes)
+            if len(stack) >= DEEP and labels[-1][-1] == "!" and label[-1] != "!":
+                label = label.rstrip("?") + "!"
+            if shown:
+                leave()
             stack.append(tag)
-            enter(_label(tag, m[5]))
+            labels.append(label)
+            count[tag] += 1
+            shown = len(stack) > DEEP
+            enter(label)
             if tag in VOID:
                 close(len(stack) - 1)
     if at < len(page):
-        text(page[at:], links > 0)
+        chars(page[at:], links > 0)
     close(0)
 
 
@@ -209,24 +307,58 @@ def align(x: list[dict], y: list[dict]) -> list[dict]:
     lx, ly = [k["l"] for k in x], [k["l"] for k in y]
     if lx == ly:
         return [merge(a, b) for a, b in zip(x, y)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if lx[i] == ly[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and lx[i] == ly[j]:
-            out.append(merge(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(x[i] | {"o": True})
-            i += 1
-        else:
-            out.append(y[j] | {"o": True})
-            j += 1
+    for m, n in [*_matches(lx, ly), (len(x), len(y))]:
+        out += [k | {"o": True} for k in (*x[i:m], *y[j:n])]
+        if m < len(x):
+            out.append(merge(x[m], y[n]))
+        i, j = m + 1, n + 1
     return collapse(out)
 
 
+#: Cells of a matching table; wider neighbourhoods are matched first come, first served.
+TABLE = 1 << 18
+
+
+def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of labels matched in order, as many as can be."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    u, v = x[head : len(x) - tail], y[head : len(y) - tail]
+    middle: list[tuple[int, int]] = []
+    if len(u) * len(v) <= TABLE:
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i in range(len(u) - 1, -1, -1):
+            for j in range(len(v) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if u[i] == v[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(u) and j < len(v):
+            if u[i] == v[j]:
+                middle.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, deque[int]] = {}
+        for j, label in enumerate(v):
+            places.setdefault(label, deque()).append(j)
+        last = -1
+        for i, label in enumerate(u):
+            free = places.get(label, ())
+            while free and free[0] <= last:
+                free.popleft()
+            if free:
+                last = free.popleft()
+                middle.append((i, last))
+    return [*((k, k) for k in range(head)), *((head + i, head + j) for i, j in middle), *((len(x) - k, len(y) - k) for k in range(tail, 0, -1))]
+
+
 def expression(node: dict) -> str:
     """The wrapper as a union-free regular expression."""
     inner = (node["t"] if node["t"][:1] in "#~" else node["t"][1:]) + "".join(map(expression, node["k"]))
@@ -243,17 +375,20 @@ WITH_MAIN, WITHOUT_MAIN = 1, 2
 def decide(wrapper: dict, least_pages: int = LEAST_PAGES) -> dict[str, int]:
     """Path -> on which pages its own text is kept. WITH_MAIN: it is inside an article or main part. WITHOUT_MAIN: all
     text, but for menus (repeated groups mostly of links) and texts constant over least_pages different pages (LEAST_PAGES
-    at most) of a host whose other texts vary. Parts that name themselves as something beside the text never are; those that only have an id like
-    a slug are inside a main part, unless they are mostly links or constant over as many pages."""
+    at most) of a host whose other texts vary. Parts that name themselves as something beside the text never are; those that
+    may as well name what the text is about are, unless they are mostly links, constant over as many pages, or not in a
+    main part and repeated or on some pages only."""
     is_main = lambda label: bool(MAIN_WORDS & set(label.split("."))) and label[-1:] not in ("!", "?")
     constant = lambda node: node["t"][:1] in ("=", "~") and len(node["n"]) >= least_pages
     nodes: list[tuple[str, dict, bool, bool, bool]] = []
 
+    sums = _sums(wrapper, {})
+
     def visit(node: dict, path: str, chrome: bool, main: bool, menu: bool) -> None:
-        chars, links = _sums(node)
+        chars, links = sums[id(node)]
         if node["l"] and not node["l"].startswith("*"):
             path = f"{path}/{node['l']}"
-            chrome = chrome or node["l"].endswith("!") or node["l"].endswith("?") and (not main or links > 0.6 * chars or all(map(constant, _with_text(node))))
+            chrome = chrome or node["l"].endswith("!") or node["l"].endswith("?") and (links > 0.6 * chars or all(map(constant, _with_text(node))) or not main and (node["r"] or node["o"]))
             main = main or is_main(node["l"])
         menu = menu or (node["r"] or node["l"].split(".")[0] in ("ul", "ol")) and chars > 0 and links > 0.6 * chars
         nodes.append((path, node, chrome, main, menu))
@@ -274,12 +409,13 @@ def _with_text(node: dict) -> list[dict]:
     return [node] * bool(node["t"]) + [x for kid in node["k"] for x in _with_text(kid)]
 
 
-def _sums(node: dict) -> tuple[int, int]:
-    chars, links = node["c"], node["a"]
+def _sums(node: dict, out: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Characters, and those in links, of each node with all below it."""
+    own = [(node["c"], node["a"])]
     for kid in node["k"]:
-        c, a = _sums(kid)
-        chars, links = chars + c, links + a
-    return chars, links
+        own.append(_sums(kid, out)[id(kid)])
+    out[id(node)] = (sum(c for c, _ in own), sum(a for _, a in own))
+    return out
 
 
 def main_text(page: str, keep: dict[str, int]) -> str:
@@ -292,7 +428,7 @@ def main_text(page: str, keep: dict[str, int]) -> str:
             block = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             block = " ".join(block.split())
             if block:
-                blocks.append((keep[paths[-1]], block))
+                blocks.append((keep.get(paths[-1], 0), block))
             parts.clear()
 
     def enter(label: str) -> None:
@@ -318,7 +454,7 @@ def host_of(url: Column) -> Column:
 
 
 def _fold(rows: Iterator[pa.RecordBatch], tree, most_hosts: int) -> Iterator[pa.RecordBatch]:
-    """host, wrapper: of the rows met, folded per host; flushed when most_hosts hosts are open."""
+    """host, wrapper: of the rows met, folded per host; when one more host than most_hosts comes, those held are flushed."""
     held: dict[str, dict] = {}
 
     def out() -> pa.RecordBatch:
@@ -328,10 +464,10 @@ def _fold(rows: Iterator[pa.RecordBatch], tree, most_hosts: int) -> Iterator[pa.
 
     for batch in rows:
         for host, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if host not in held and len(held) >= most_hosts:
+                yield out()
             own = tree(value or "")
             held[host] = merge(held[host], own) if host in held else own
-            if len(held) > most_hosts:
-                yield out()
     if held:
         yield out()
 
@@ -341,7 +477,19 @@ def wrappers(pages: DataFrame, most_hosts: int = 2_000) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), "html")
     parts = written(rows.mapInArrow(lambda b: _fold(b, page_tree, most_hosts), "host string, wrapper string"), "wrapper-parts")
     whole = parts.repartition("host").sortWithinPartitions("host", "wrapper")
-    return written(whole.mapInArrow(lambda b: _fold(b, json.loads, 0), "host string, wrapper string").groupBy("host").agg(F.collect_list("wrapper").alias("parts")), "wrappers")
+    return written(whole.mapInArrow(lambda b: _fold(b, json.loads, 1), "host string, wrapper string"), "wrappers")
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """host, paths (those kept on some pages, see decide) of each wrapper."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, wrapper in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
+                keep = {path: k for path, k in decide(json.loads(wrapper)).items() if k}
+                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(keep)], pa.string())], names=["host", "paths"])
+
+    return written(found.mapInArrow(run, "host string, paths string"), "wrapper-paths")
 
 
 def extract(pages: DataFrame, max_broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -349,11 +497,11 @@ def extract(pages: DataFrame, max_broadcast_bytes: int = 16 << 20) -> DataFrame:
 
     A null page or one without main text gives the empty string; a null or odd url belongs to the host ''. Cut-off
     tags, comments and references are read as far as they go. Rows that repeat are pages of their own. Very long pages
-    are read whole. The wrappers are broadcast if they have max_broadcast_bytes at most, else the join shuffles pages.
-    Other columns are not read.
+    are read whole, and elements more than DEEP deep as neighbours. The paths to keep are broadcast if they have
+    max_broadcast_bytes at most, else the join shuffles pages. Other columns are not read.
     """
-    found = wrappers(pages)
-    size = found.agg(F.coalesce(F.sum(F.length(F.array_join("parts", ""))), F.lit(0)).alias("n")).first()["n"]
+    found = decided(wrappers(pages))
+    size = found.agg(F.coalesce(F.sum(F.length("paths")), F.lit(0)).alias("n")).first()["n"]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(found) if size <= max_broadcast_bytes else found, "host", "left")
 
@@ -361,16 +509,13 @@ def extract(pages: DataFrame, max_broadcast_bytes: int = 16 << 20) -> DataFrame:
         known: dict[str, dict[str, int]] = {}
         for batch in batches:
             texts = []
-            for page, host, parts in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("parts")):
+            for page, host, paths in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("paths")):
                 if host not in known:
                     if len(known) >= 2_000:
                         known.clear()
-                    whole = None
-                    for part in parts.as_py() or ():
-                        whole = merge(whole, json.loads(part)) if whole else json.loads(part)
-                    known[host] = decide(whole) if whole else {}
+                    known[host] = json.loads(paths.as_py() or "{}")
                 texts.append(main_text(page.as_py() or "", known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "host", "parts").mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")

@@ -64,7 +64,7 @@ def test_foreign_elements():
 
 def test_slug_ids():
     page = (
-        '<body><div id="search-box">Find {k}</div><section id="related-work">Off {k}</section><article><h2 id="search-algorithms">Head {k}</h2><section id="related-work"><p>Work {k}</p></section><div id="search-impact"><p>Impact {k}</p></div>'
+        '<body><div id="search-box">Find {k}</div><section id="related-work"><a href=1>Off {k}</a></section><article><h2 id="search-algorithms">Head {k}</h2><section id="related-work"><p>Work {k}</p></section><div id="search-impact"><p>Impact {k}</p></div>'
         '<section id="menu"><h3 id="promotion">Food {k}</h3></section><section class="share">Share {k}</section><div id="comments-2">Says {k}</div><p>x</p><section id="newsletter">Join us</section><p>y {k}</p><section id="social"><a>Other {k}</a></section></article></body>'
     )
     # one page cannot show what is fixed
@@ -98,3 +98,32 @@ def test_whole_table(spark):
     want = {r.page_id: brute(r.html) for r in pages.collect()}
     got = {r.page_id: r.text for r in x.extract(pages).collect()}
     assert got == want
+
+
+def test_left_open_and_deep(spark):
+    assert texts(["<p title=\"x>first</p><p>second"]) == ["first\nsecond"]
+    for n in (20_000, 100_000):
+        for left in ("<a ", "<a '\"", "<svg>", "<svg ", "<div>", "<p", "<!--", "</", "<li><div>", '<p title="'):
+            x.main_text(left * n, x.decide(x.page_tree(left * n + ">")))
+    deep = "<nav>N{k}" * 150 + "<div>still menu" + "</div></nav>" * 150
+    page = "<main>" + "<div>d{k}" * 5_000 + "<p>bottom {k}</p>tail" + "</div>" * 5_000 + deep + "<p>end</p></main>"
+    rows = [(k, "http://deep.org", page.format(k=k)) for k in range(3)] + [(9, "http://left.org", "<article>" + "<a " * 100_000)]
+    got = {r.page_id: r.text for r in x.extract(frame(spark, rows)).collect()}
+    assert got[1] == "\n".join(["d1"] * 5_000 + ["bottom 1", "tail", "end"])
+
+
+def test_the_wrapper_decides(spark):
+    page = '<body><div class="top">{own}</div><div class="t"><p>Body {k}</p></div><div class="z">Always</div></body>'
+    pages = [page.format(k=k, own="Mine" if k == 2 else "Ours") for k in range(6)]
+    alone = [x.main_text(p, x.decide(x.page_tree(p))) for p in pages]
+    assert alone[2] == "Mine\nBody 2\nAlways"  # one page shows nothing that is fixed
+    rows = [(k, "http://one.org", p) for k, p in enumerate(pages)]
+    for parts in (1, 2, 5):
+        got = {r.page_id: r.text for r in x.extract(frame(spark, rows).repartition(parts)).collect()}
+        assert got == {k: ("Mine" if k == 2 else "Ours") + f"\nBody {k}" for k in range(6)}
+    assert x.wrappers(frame(spark, rows).repartition(5)).count() == 1
+
+
+def test_class_words():
+    page = '<article><p>a {k}</p><div class="related-work">W {k}</div><div class="social-history">S {k}</div><div class="cookie-notice">C {k}</div><div class="ad-slot-3">A {k}</div><div class="related-reads"><a>R {k}</a></div></article>'
+    assert texts([page.format(k=k) for k in range(5)]) == [f"a {k}\nW {k}\nS {k}" for k in range(5)]
