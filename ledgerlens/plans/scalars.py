@@ -52,9 +52,9 @@ def samples_to_us(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", timeline.samples_to_us(F.col("o_orderkey")).alias("us"))
 
 
-@R.query("SELECT l_orderkey, l_partkey, l_orderkey // gcd(l_orderkey, l_partkey) AS num, l_partkey // gcd(l_orderkey, l_partkey) AS den FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey > 0 AND l_partkey > 0)")
+@R.query("SELECT l_orderkey, l_partkey, l_orderkey // gcd(l_orderkey, l_partkey) AS num, l_partkey // gcd(l_orderkey, l_partkey) AS den FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey > 0 AND l_partkey > 0)")
 def rational_reduced(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey > 0 and l_partkey > 0").select("l_orderkey", "l_partkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey > 0 and l_partkey > 0").select("l_orderkey", "l_partkey").distinct()
     r = timeline.reduced(F.col("l_orderkey"), F.col("l_partkey"))
     return rows.select("l_orderkey", "l_partkey", r["num"].alias("num"), r["den"].alias("den"))
 
