@@ -1,35 +1,42 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages get a shard by key range (equal ranges of page_id between the smallest and the largest, as many as the payload
-needs) and are shuffled once, by shard, and sorted by key within it. A task streams its records through gzip, one
-member per record with a fixed time stamp, and rolls to a new file when the compressed size reaches the limit. Files
-are written under temporary names that hold the attempt; a Spark-committed manifest names the attempt that counts, and
-a second job gives its files their final names. A lost executor only leaves temporary files that no manifest names.
+Records are ordered by (page_id, payload digest). Running sums of bytes over that order, in two levels, cut it into
+shards of equal size, whatever the ids are; a page finds its shard by bisection in the first keys of the shards. Pages
+are shuffled once, by shard, and sorted by key within it. A task streams its records through gzip, one member per
+record with a fixed time stamp, and rolls to a new file when the compressed size reaches the limit. Files are written
+under temporary names that hold the attempt; a Spark-committed manifest names the attempt that counts, and a second
+job gives its files their final names. What lost attempts leave goes with the temporary folder at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_dir
+from ledgerlens.llm.common import shared_dir, written
 
 #: Record ids are name-based on this namespace, so equal records have equal ids in every run.
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "shard long, roll int, temp string, final string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 SAFE = {c: f"%{c:02X}" for c in [*range(0x21), 0x7F]}
+TEMPORARY = "_temporary"
+#: About what the heads of a record take, so that small payloads fill a shard too.
+HEAD_BYTES = 512
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    """The file system of a path; Hadoop's names of the S3 scheme stand for the plain one."""
+    scheme, gap, rest = path.partition("://")
+    return fs.FileSystem.from_uri("s3" + gap + rest if gap and scheme in ("s3a", "s3n") else path)
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -74,7 +81,7 @@ class _Roller:
             self._shard, self._roll = shard, 0
         if self._file is None:
             self._final = f"shard-{shard:06d}-{self._roll:05d}.warc.gz"
-            self._temp = f"_temporary-{self._attempt}-{self._final}"
+            self._temp = f"{TEMPORARY}/{self._attempt}-{self._final}"
             self._file = self._fs.open_output_stream(f"{self._dir}/{self._temp}", compression=None)
             self._hash, self._bytes, self._records = hashlib.sha256(), 0, 0
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -94,35 +101,61 @@ class _Roller:
             self.done.append((self._shard, self._roll, self._temp, self._final, self._records, self._bytes, self._hash.hexdigest()))
 
 
+def _keys(facts: DataFrame) -> DataFrame:
+    """A row per (page_id, digest), written: n, weight (bytes of all its rows), copies, and part, which rises with the key."""
+    keys = facts.groupBy("page_id", "digest").agg(F.first("n").alias("n"), F.sum(F.col("n") + HEAD_BYTES).alias("weight"), F.count("*").alias("copies"))
+    return written(keys.repartitionByRange("page_id", "digest").withColumn("part", F.spark_partition_id()), "warc-keys")
+
+
+def _borders(keys: DataFrame, shard_bytes: int) -> list[list]:
+    """The least (page_id, digest) of each shard, in order. A shard holds the keys whose running weight begins in one span
+    of shard_bytes. There are as many as spans, so the list grows with the number of shards, not of pages."""
+    before = lambda w: F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = keys.groupBy("part").agg(F.sum("weight").alias("weight"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("offset"))  # a row per partition
+    at = F.floor((F.col("offset") + before(Window.partitionBy("part").orderBy("page_id", "digest"))) / F.lit(shard_bytes))
+    placed = keys.join(F.broadcast(parts), "part").select(at.alias("at"), F.struct("page_id", "digest").alias("key"))
+    firsts = placed.groupBy("at").agg(F.min("key").alias("key"))
+    return [[r["key"]["page_id"], r["key"]["digest"]] for r in sorted(firsts.collect(), key=lambda r: r["at"])]
+
+
+def _shard(borders: list[list], page_id: Column, digest: Column) -> Column:
+    """Index of the last border that is not above the key, by bisection; null ids sort first."""
+    held = json.dumps([{"page_id": p, "digest": d} for p, d in borders])
+    held, key = F.from_json(F.lit(held), "array<struct<page_id: bigint, digest: string>>"), F.struct(page_id.alias("page_id"), digest.alias("digest"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))), F.lit(0))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step) <= key, at + step).otherwise(at))
+
+
 def write(pages: DataFrame, out_dir: str, shard_bytes: int = 1 << 30, roll_bytes: int = 1 << 28, least_revisit: int = 100, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write page_id, url, html (UTF-8 payload, null: empty) as WARC files in out_dir; return the manifest.
 
     Of records with equal payloads of at least least_revisit bytes the one with the smallest page_id is the response,
-    the others revisit it; rows equal in page_id and payload follow their first as revisits. A null page_id goes to the
-    first shard and is never referred to: a payload that only has null ids stays a response each time. The archive
-    depends on the rows alone: reruns, other partitionings and retried tasks give equal bytes. White space and control
-    characters in a URL are percent-encoded. An empty table gives an empty manifest. Other columns are not read.
+    the others revisit it; rows equal in page_id and payload follow their first as revisits, in one shard. A null page_id
+    sorts before all, by digest, and is never referred to: a payload that only has null ids stays a response each time.
+    page_id is read as a long. The archive depends on the rows alone: reruns, other partitionings and retried tasks give
+    equal bytes. White space and control characters in a URL are percent-encoded. An empty table gives an empty manifest.
+    Other columns are not read.
     """
     spark = pages.sparkSession
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
-    facts = rows.select("page_id", F.sha2(F.col("html"), 256).alias("digest"), F.octet_length("html").cast("long").alias("n"))
-    span = facts.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum("n").alias("n")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    shards = max(1, -(-(span["n"] or 0) // shard_bytes))
-    width = -(-(high - low + 1) // shards)
-    shard = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long")
-
-    first = facts.where(F.col("n") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
-    later = facts.where(F.col("n") >= least_revisit).join(first, "digest").where("not page_id <=> first_id").select("page_id", "digest", "first_id").distinct()
     digest = F.sha2(F.col("html"), 256)
-    both = rows.select(shard.alias("shard"), "page_id", digest.alias("digest"), F.lit(None).cast("long").alias("first_id"), "url", "html").unionByName(
-        later.select(shard.alias("shard"), "page_id", "digest", "first_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    keys = _keys(rows.select("page_id", digest.alias("digest"), F.octet_length("html").cast("long").alias("n")))
+    borders = _borders(keys, shard_bytes)
+    shards = max(1, len(borders))
+
+    known = keys.where(F.col("n") >= least_revisit)
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.sum("copies").alias("copies")).where("copies > 1 and first_id is not null")
+    later = known.select("page_id", "digest").join(first.drop("copies"), "digest").where("not page_id <=> first_id")
+    both = rows.select("page_id", digest.alias("digest"), F.lit(None).cast("long").alias("first_id"), "url", "html").unionByName(
+        later.select("page_id", "digest", "first_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     )
-    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("first_id").desc_nulls_last(), F.col("url").asc_nulls_first())
+    both = both.select(_shard(borders, F.col("page_id"), F.col("digest")).alias("shard"), "*")
+    both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.col("first_id").desc_nulls_last(), F.col("url").asc_nulls_first())
 
     files, base = _open(out_dir)
-    files.create_dir(base, recursive=True)
+    files.create_dir(f"{base}/{TEMPORARY}", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, hint, before = _Roller(out_dir, roll_bytes), (None, None, None), None
@@ -155,6 +188,7 @@ def write(pages: DataFrame, out_dir: str, shard_bytes: int = 1 << 30, roll_bytes
 
     manifest = f"{out_dir}/_manifest"
     spark.read.schema(MANIFEST).parquet(staged).mapInArrow(publish, MANIFEST).write.parquet(manifest)
+    files.delete_dir(f"{base}/{TEMPORARY}")
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
@@ -215,7 +249,8 @@ def read(spark: SparkSession, out_dir: str, with_html: bool = True, batch_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.types)], names=names)
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{out_dir}/_manifest")
-    files = manifest.select("final").repartition("final")
+    files = manifest.select("final")
+    files = files.repartition(max(1, files.count()))  # a file a task, which executors deal among themselves
     return files.mapInArrow(run, RECORD)
 
 

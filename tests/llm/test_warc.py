@@ -2,6 +2,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import warc
 
@@ -56,6 +57,23 @@ def test_round_trip(spark, tmp_path):
     assert files(a) == files(b) and len(files(a)) > 3
 
 
+@pytest.mark.parametrize("ids", [[*range(1, 400), 10**15], [None] * 400, [-(2**63), *([5] * 398), 2**63 - 1]])
+def test_shards_are_even(spark, tmp_path, ids):
+    rows = [(p, "u", f"<p>{k}</p>" + "x" * (900 + k % 7), "") for k, p in enumerate(ids)]
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    manifest = warc.write(frame(spark, rows), a, shard_bytes=20 * 1400, roll_bytes=1 << 20)
+    sizes = [r["n"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 20 and max(sizes) <= 22
+    assert sorted(r.payload_digest for r in warc.read(spark, a).collect()) == sorted(hashlib.sha256(r[2].encode()).hexdigest() for r in rows)
+    warc.write(frame(spark, rows[::-1]).repartition(7), b, shard_bytes=20 * 1400, roll_bytes=1 << 20)
+    assert files(a) == files(b) and not os.path.exists(f"{a}/_temporary")
+
+
+def test_shard_names_by_scheme():
+    path = warc._open("file:///tmp/x")[1]
+    assert path == warc._open("/tmp/x")[1] == "/tmp/x"
+
+
 def test_empty(spark, tmp_path):
     warc.write(frame(spark).limit(0), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
