@@ -3,7 +3,7 @@
 A transcript is a sequence of pieces (id, order, text) of one line or more. Each line shows a speaker marker or none,
 whether a blank line stands before it, its length and whether it asks. The roles are hidden states; their start,
 transition (apart for lines that open something and lines that go on) and feature probabilities are counted over all
-labelled pieces. The best path is found by Viterbi in the (max, +) algebra: pieces form chunks by order, each chunk is
+labelled pieces. The best path is found by Viterbi in the (max, +) algebra: pieces form chunks by position, each chunk is
 multiplied into one matrix by itself, the matrices of a transcript give the roles at its chunk borders, and chunks are
 then decoded apart between these. So one transcript of any length is spread over many tasks.
 """
@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
@@ -27,6 +29,13 @@ MARKERS = {"system": 1, "instructions": 1, "user": 2, "human": 2, "customer": 2,
 _MARKER = re.compile(r"\s*(?:[#*>\[<|]+\s*)?([A-Za-z][\w ]{0,24}?)\s*(?:[\]>|*]*\s*[:>]|[\]|*]+|\s-)(?:\s+|$)")
 SIZES = (5, 4, 6, 2)  # values of: marker (none, three classes, unknown name), break before, length, question
 PIECES = 256
+#: Copies of a repeated piece that one row expands to at a time.
+COPIES = 1 << 12
+#: Characters by which pieces of one order are sorted before their digests are.
+HEAD = 64
+FOLDS = 2
+#: Lines of each role with its own markers that are taken as seen before any are counted.
+PRIOR = 8
 
 
 def features(line: str, after_blank: bool) -> tuple[tuple[int, int, int, int], str]:
@@ -68,12 +77,13 @@ class Model:
 
 
 def fit(pieces: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Model:
-    """Counts over all labelled pieces, plus one; pieces of other or null roles are not counted.
+    """Counts over all labelled pieces, plus one, plus PRIOR for each role's own markers; pieces of other or null roles
+    are not counted. Without labelled pieces markers alone tell the roles.
 
-    The role before a piece is that of the piece of the order before it.
+    The role before a piece is that of the piece of the order before it, of several the first by name.
     """
     rows = pieces.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("at"), F.lower(F.col(role_col)).alias("role"), F.col(text_col).alias("text")).where(F.col("role").isin(*ROLES))
-    before = rows.select(F.col("id").alias("_id"), (F.col("at") + 1).alias("_at"), F.col("role").alias("last")).distinct()
+    before = rows.groupBy(F.col("id").alias("_id"), (F.col("at") + 1).alias("_at")).agg(F.min("role").alias("last"))
     rows = rows.join(before, F.col("id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")), "left").select("role", "last", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +101,7 @@ def fit(pieces: DataFrame, id_col: str = "conv_id", order_col: str = "turn", rol
     counts = rows.mapInArrow(run, "kind int, x int, y int, role int, n long").groupBy("kind", "x", "y", "role").agg(F.sum("n").alias("n")).collect()  # as many as there are parameters
     s = len(ROLES)
     start, move, shows = np.ones(s), np.ones((2, s, s)), [np.ones((s, n)) for n in SIZES]
+    shows[0][range(s), range(1, s + 1)] += PRIOR
     for c in counts:
         if c["kind"] >= 0:
             shows[c["kind"]][c["role"], c["x"]] += c["n"]
@@ -133,19 +144,48 @@ def _start(model: Model, values: list[tuple[int, int, int, int]]) -> np.ndarray:
     return steps
 
 
+def _placed(pieces: DataFrame, key: str) -> DataFrame:
+    """Pieces (id, at, text) with their position among those of their id, for groups of any size and any number of ties.
+
+    Equal rows are counted, then spread out again, so that all rows differ and a range sort splits whatever is frequent.
+    A sorted partition is numbered by id; ids that go on over partitions (two for each of these at most) get an offset.
+    """
+    rows = pieces.groupBy("id", "at", "text").agg(F.count("*").alias("n"))
+    rows = rows.select("id", "at", "text", "n", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("from"))
+    rows = rows.select("id", "at", "text", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + COPIES) - 1)).alias("copy"))
+    order = ["id", "at", F.substring("text", 1, HEAD), F.sha2("text", 256), "copy"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            ranks = []
+            for id_ in batch.column("id").to_pylist():
+                n, held = (n + 1 if id_ == held else 0), id_
+                ranks.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(ranks), pa.int32()), pa.array(ranks, pa.int64())], names=["id", "text", "part", "rank"])
+
+    rows = written(rows.mapInArrow(number, f"id {key}, text string, part int, rank long"), "chat-pieces")
+    sizes = rows.groupBy("id", "part").agg(F.count("*").alias("n"))
+    by_id = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("id").alias("_id"), F.col("part").alias("_part"), F.sum("n").over(by_id).alias("offset")).where("offset is not null")
+    rows = rows.join(F.broadcast(offsets), F.col("id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")), "left")
+    return rows.select("id", (F.col("rank") + F.coalesce("offset", F.lit(0))).alias("position"), "text")
+
+
 def parse(pieces: DataFrame, model: Model, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Per chunk of a transcript: id, chunk, n_lines, roles (of its turns, comma-joined), n_turns, rendered.
 
     Turns start where the role changes or a known marker stands. rendered holds <|role|>, the lines without markers and
     <|end|> for each turn; a turn that goes on over a border has its head in the chunk before and its end in the chunk
-    after. Rendered chunks joined in order give the transcript. Pieces equal in all of id, order and text count once;
-    of pieces that only share id and order the smaller text comes first; a null order comes before all. Null ids are
-    one transcript. Texts without lines add nothing; transcripts without lines give no row. Other columns are not read.
+    after. Rendered chunks joined in order give the transcript. A chunk holds PIECES pieces, whatever their orders are.
+    Equal pieces all count. Of pieces that share id and order the smaller text comes first, by HEAD characters and then
+    by digest; a null order comes before all. Null ids are one transcript. Texts without lines add nothing; transcripts
+    without lines give no row. Other columns are not read.
     """
     key = pieces.schema[id_col].dataType.simpleString()
-    order = F.coalesce(F.col(order_col).cast("long"), F.lit(-1))
-    rows = pieces.select(F.col(id_col).alias("id"), order.alias("at"), F.col(text_col).alias("text")).where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) != "").distinct()
-    rows = rows.withColumn("chunk", F.floor(F.col("at") / PIECES)).groupBy("id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    rows = pieces.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("at"), F.col(text_col).alias("text")).where(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) != "")
+    rows = _placed(rows, key).withColumn("chunk", F.floor(F.col("position") / PIECES)).groupBy("id", "chunk").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("parts"))
     rows = written(rows.select("id", "chunk", F.transform("parts", lambda p: p["text"]).alias("parts")), "chat-chunks")
     first = rows.groupBy("id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"))
     rows = rows.join(first.select(F.col("id").alias("_id"), "first", "last"), F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
@@ -215,9 +255,14 @@ def as_transcript(turns: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Per conversation: conv_id, n_lines, n_turns, roles, rendered_sha256 (over the chunks' digests, in order)."""
-    raw = as_transcript(turns, ("role",))
-    parts = parse(raw, fit(raw))
+    """Per conversation: conv_id, n_lines, n_turns, roles, rendered_sha256 (over the chunks' digests, in order).
+
+    Conversations fall into FOLDS by a hash of their ids; each is decoded by a model of the other folds' labels. All rows
+    are decoded, repeated ones too, and all labelled ones counted. Null ids are one conversation.
+    """
+    raw = as_transcript(turns, ("role",)).withColumn("_fold", F.pmod(F.xxhash64(F.lit(1), "conv_id"), F.lit(FOLDS)))
+    halves = [parse(raw.where(F.col("_fold") == k), fit(raw.where(F.col("_fold") != k))) for k in range(FOLDS)]
+    parts = reduce(DataFrame.unionByName, halves)
     whole = parts.groupBy(F.col("id").alias("conv_id")).agg(
         F.sum("n_lines").alias("n_lines"), F.sum("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("chunk", "roles", F.sha2("rendered", 256).alias("sha")))).alias("parts")
     )

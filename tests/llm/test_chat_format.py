@@ -1,8 +1,10 @@
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import chat_format as c
 
@@ -92,3 +94,66 @@ def test_rows_of_equal_keys_train_once(spark, monkeypatch):
     monkeypatch.setattr(c, "fit", lambda pieces: seen.extend(pieces.select("role", "text").collect()) or model(3))
     c.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(seen) == len(rows) and all(r.role in r.text for r in seen)
+
+
+def plain_viterbi(m, values):
+    """Roles of lines by the textbook recursion, one line and one pair of roles at a time."""
+    show = lambda v, r: sum(m.shows[f][r][x] for f, x in enumerate(v))
+    best, back = [m.start[r] + show(values[0], r) for r in range(3)], []
+    for v in values[1:]:
+        came = [max(range(3), key=lambda q: best[q] + m.move[int(v[1] > 0)][q][r]) for r in range(3)]
+        best = [best[came[r]] + m.move[int(v[1] > 0)][came[r]][r] + show(v, r) for r in range(3)]
+        back.append(came)
+    path = [max(range(3), key=lambda r: best[r])]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+def plain_format(rows, m, pieces):
+    """conv_id: n_lines, n_turns, roles, digest of rows (conv_id, turn, text)."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == conv and r[2].strip()]
+        mine.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2][: c.HEAD], hashlib.sha256(r[2].encode()).hexdigest()))
+        lines = [(k // pieces, *x) for k, r in enumerate(mine) for x in c.lines_of(r[2])]
+        if not lines:
+            continue
+        texts, roles, last = {}, [], None
+        for (chunk, v, t), r in zip(lines, plain_viterbi(m, [x[1] for x in lines])):
+            if r != last or v[0] in (1, 2, 3):
+                texts[chunk] = texts.get(chunk, "") + ("" if last is None else "<|end|>\n") + f"<|{c.ROLES[r]}|>\n"
+                roles.append(c.ROLES[r])
+            last = r
+            texts[chunk] = texts.get(chunk, "") + t + "\n"
+        texts[max(texts)] += "<|end|>\n"
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        out[conv] = (len(lines), len(roles), [x for x in roles], sha(",".join(sha(texts[k]) for k in sorted(texts))))
+    return out
+
+
+def test_format_against_plain_reading(spark, monkeypatch):
+    monkeypatch.setattr(c, "PIECES", 3)
+    monkeypatch.setattr(c, "COPIES", 4)
+    rows = turns(40) + [(None, 0, "user", "null id"), (99, None, "user", "no order"), (99, -5, "user", "below"), (99, None, "assistant", "no order either"), (98, 0, "user", None), (97, 0, "user", " \n")]
+    rows += [(3, 0, "user", "second")] * 11 + [(50, None, "user", f"tie {k % 7}") for k in range(30)] + [(51, 1, "assistant", "x" * 70 + str(k)) for k in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    raw = c.as_transcript(df, ("role",)).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "conv_id"), F.lit(c.FOLDS)))
+    want = {}
+    for k in range(c.FOLDS):
+        mine = [(r.conv_id, r.turn, r.text) for r in raw.where(F.col("fold") == k).collect()]
+        want |= plain_format(mine, c.fit(raw.where(F.col("fold") != k)), 3)
+    got = {r.conv_id: (r.n_lines, r.n_turns, r.roles.split(","), r.rendered_sha256) for r in c.format_chats(df).collect()}
+    assert got == want and got[50][0] == 30
+
+
+def test_many_equal_rows_all_count(spark):
+    rows = [(1, 2, "user", "again")] * 3000 + [(None, None, "user", "no id")] * 700
+    got = {r.conv_id: r.n_lines for r in c.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: 3000, None: 700}
+
+
+def test_markers_tell_roles_without_labels(spark):
+    rows = [(1, 0, None, "User: hi"), (1, 1, None, "\nAssistant: yes")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [r.roles for r in c.parse(df, c.fit(df)).collect()] == ["user,assistant"]
