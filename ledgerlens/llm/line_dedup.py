@@ -2,12 +2,14 @@
 
 Two lines are near if their edit distance is at most t: one edit for every chars_per_edit characters of the shorter line,
 max_edits at most (lines too short for an edit are near only if equal). A line is cut into t + 1 even segments; of two
-near lines the longer holds a segment of the shorter unchanged, at a place that its index and the lengths bound. Each distinct line files its own segments under (length, index, content) and probes, for every shorter
-length in reach, the few substrings at which such a segment can stand (only shifted ones for its own length, where
-unshifted segments meet in the index). Groups of one key hold the candidates: groups are cut into blocks whose pairs
-of blocks are compared in separate tasks, with length and character counts first and a banded bit-parallel edit
-distance after; of what is near, only spanning links leave a task. Classes are the components of near and equal lines;
-the first line of each class, in the order of doc_id, row and line, stays.
+near lines the longer holds a segment of the shorter unchanged, at a place that its index and the lengths bound. Each
+distinct line files its own segments under (length, index, content) and probes, for every shorter length in reach, the
+few substrings at which such a segment can stand (only shifted ones for its own length, where unshifted segments meet in
+the index). Groups of one key hold the candidates. What is left of two near lines without the segment they share is as
+near as they are, so large groups (a common beginning, say) are divided by the same partition of these rests, twice.
+Groups are cut into blocks whose pairs of blocks are compared in separate tasks, with length and character counts first
+and a banded bit-parallel edit distance after; of what is near, only spanning links leave a task. Classes are the
+components of near and equal lines; the first line of each class, in the order of doc_id, row and line, stays.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from ledgerlens.llm.common import mark_of, screened, written
 
 #: Lines of a block; a task holds two blocks of a group.
 BLOCK = 256
+#: Filings of a key beyond which its group is divided by second and third segments, DIVISIONS times at most.
+LARGE = 4096
+DIVISIONS = 2
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -51,20 +56,49 @@ def filed(line: str, edits: int, per_edit: int) -> list[tuple[int, int, str]]:
     return [(len(line), i, line[a : a + n]) for i, (a, n) in enumerate(segments(len(line), t + 1))] if t else []
 
 
+def stands(length: int, longer: int, t: int) -> Iterator[tuple[int, int, int, int]]:
+    """(index, own start, start, size) of the substrings of a line of longer characters at which a segment of one of length can stand."""
+    d = longer - length
+    for i, (a, n) in enumerate(segments(length, t + 1)):
+        for at in range(max(a - i, a + d - (t - i), 0), min(a + i, a + d + t - i, longer - n) + 1):
+            yield i, a, at, n
+
+
 def probes(line: str, edits: int, per_edit: int) -> list[tuple[int, int, str]]:
     """What a line looks up: substrings at which a segment of a line of its length or less can stand in it."""
     out = []
     for length in range(max(per_edit, len(line) - edits), len(line) + 1):
         d, t = len(line) - length, allowed(length, edits, per_edit)
-        if d > t:
-            continue
-        for i, (a, n) in enumerate(segments(length, t + 1)):
-            for at in range(max(a - i, a + d - (t - i), 0), min(a + i, a + d + t - i, len(line) - n) + 1):
-                if d or at != a:
-                    out.append((length, i, line[at : at + n]))
+        if d <= t:
+            out += [(length, i, line[at : at + n]) for i, a, at, n in stands(length, len(line), t) if d or at != a]
+    return out
+
+
+def _key(label: str) -> int:
+    """A filing's key as tables hold it, without the lowest bit."""
+    h = xxhash.xxh3_64_intdigest(label)
+    return (h - (1 << 64) if h >> 63 else h) >> 1
+
+
+def rests(key: int, line: str, edits: int, per_edit: int) -> set[tuple[bool, int, int, str]]:
+    """(own, length, edits, rest) of each way in which a line files (own) or probes a key: what is left of the line without
+    the segment, and the length that is left of a line of the key's length."""
+    out = set()
+    for length in range(max(per_edit, len(line) - edits), len(line) + 1):
+        t = allowed(length, edits, per_edit)
+        if t and len(line) - length <= t:
+            for i, a, at, n in stands(length, len(line), t):
+                if _key(f"{length},{i},{line[at : at + n]}") == key:
+                    out.add((length == len(line) and at == a, length - n, t, line[:at] + line[at + n :]))
     return out
 
 
+def divided(key: int, own: bool, length: int, t: int, rest: str) -> Iterator[tuple[int, bool, int, int, str]]:
+    """(key, own, length, edits, rest) by the segments of a rest, each below its key."""
+    for i, a, at, n in stands(length, len(rest), t):
+        yield _key(f"{key},{i},{rest[at : at + n]}"), own and at == a, length - n, t, rest[:at] + rest[at + n :]
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Edit distance at most edits, on a diagonal band of bit vectors (one column of the band per character of b)."""
     if abs(len(a) - len(b)) > edits:
@@ -216,6 +250,55 @@ def _links(groups: DataFrame, edits: int, per_edit: int) -> DataFrame:
     return groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "line").mapInArrow(run, "a long, b long")
 
 
+REST_SCHEMA = "key long, line long, own boolean, length int, edits int, rest string"
+
+
+def _rests(members: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """REST_SCHEMA of members (key, line, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, h, *x) for k, h, line in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "content"))) for x in sorted(rests(k, line, edits, per_edit))]
+            yield _rest_batch(rows)
+
+    return members.select("key", "line", "content").mapInArrow(run, REST_SCHEMA)
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    """REST_SCHEMA of the keys below those of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rest_batch([(key, h, own, *x) for k, h, *row in zip(*(c.to_pylist() for c in batch.columns)) for key, own, *x in divided(k, *row)])
+
+    return rows.mapInArrow(run, REST_SCHEMA)
+
+
+def _rest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "line", "own", "length", "edits", "rest"])
+
+
+def _small_groups(members: DataFrame, contents: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """key, line, n (filings of the key) of members, with the groups of more than LARGE filings divided."""
+    groups, large = members.where(F.col("n") <= LARGE), members.where(F.col("n") > LARGE)
+    if large.isEmpty():
+        return members
+    rows = _rests(large.join(contents, "line"), edits, per_edit)
+    for _ in range(DIVISIONS):
+        rows = written(_divided(rows).distinct(), "line-rests")
+        counts = rows.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.bool_or("own").alias("own"), F.count("*").alias("n")).where("low < high and own")
+        counts = written(counts.select("key", "n"), "line-rest-groups")
+        rows = screened(rows, ["key"], counts).join(counts, "key")
+        groups = groups.unionByName(rows.where(F.col("n") <= LARGE).select("key", "line", "n").distinct())
+        large = rows.where(F.col("n") > LARGE)
+        rows = large.drop("n").select("key", "line", "own", "length", "edits", "rest")
+        if counts.where(F.col("n") > LARGE).isEmpty():
+            return groups
+    return groups.unionByName(large.select("key", "line", "n").distinct())
+
+
 def near_lines(table: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """node, root of every line that is not the smallest hash of its class of near lines."""
     keys = table.select(F.inline(F.arrays_zip("keys", "key_lines"))).select(F.shiftright("keys", 1).alias("key"), F.col("keys").bitwiseAND(F.lit(1)).alias("own"), F.col("key_lines").alias("line"))
@@ -227,6 +310,7 @@ def near_lines(table: DataFrame, texts: DataFrame, edits: int, per_edit: int) ->
     wanted = written(members.select("line").distinct(), "lines-wanted")
     asked = screened(at, ["line"], wanted).join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "mark")).alias("at")).select("line", "at.id", "at.mark")
     contents = written(_texts_of(texts, asked), "line-texts")
+    members = _small_groups(members, contents, edits, per_edit)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("line"), blocks).cast("int")
     # a line goes to every pair of blocks that holds its own

@@ -39,6 +39,23 @@ def test_near_lines_meet(a, edits, per_edit, r):
         assert set(q.filed(low, edits, per_edit)) & set(q.filed(high, edits, per_edit) + q.probes(high, edits, per_edit))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", min_size=10, max_size=30), st.integers(1, 3), st.integers(3, 7), st.randoms())
+def test_near_rests_meet(a, edits, per_edit, r):
+    b = list(a)
+    for _ in range(r.randrange(edits + 1)):
+        k = r.randrange(len(b)) if b else 0
+        b[k : k + 1] = r.choice([[], [r.choice("ab")], [r.choice("ab"), "b"]])
+    low, high = sorted((a, "".join(b)), key=len)
+    if low == high or distance(low, high) > min(edits, len(low) // per_edit):
+        return
+    rows = {x: {(q._key(f"{n},{i},{s}"), *y) for n, i, s in q.filed(x, edits, per_edit) + q.probes(x, edits, per_edit) for y in q.rests(q._key(f"{n},{i},{s}"), x, edits, per_edit)} for x in (low, high)}
+    for _ in range(3):
+        owned = {k for x in rows.values() for k, own, *_ in x if own}
+        assert owned & {x[0] for x in rows[low]} & {x[0] for x in rows[high]}
+        rows = {x: {z for y in rows[x] for z in q.divided(*y)} for x in rows}
+
+
 def brute(rows, edits, per_edit):
     place = []
     for k, (doc_id, text) in enumerate(rows):
@@ -98,6 +115,27 @@ def test_against_brute_force(spark, edits, monkeypatch):
     assert got == brute(rows, edits, 10)
 
 
+@pytest.mark.parametrize("divisions", [1, 2])
+def test_large_groups_are_divided(spark, divisions, monkeypatch):
+    r = random.Random(divisions)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)) + "x"
+    head, tail, rows = "in the beginning there was ", " and so it ended", []
+    for i in range(60):
+        w = list(head + say(r.choice([20, 20, 21])) + r.choice(["", tail]))
+        rows.append((i, "".join(w)))
+        for k in r.sample(range(len(w)), r.randrange(3)):
+            w[k] = r.choice(["z", "", "q" + w[k]])
+        rows.append((i + 100, "".join(w)))
+    rows += [(300, "ab" * 20), (301, "ba" * 20), (302, "ab" * 19 + "a"), (303, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(q, "BLOCK", 4)
+    monkeypatch.setattr(q, "LARGE", 6)
+    monkeypatch.setattr(q, "DIVISIONS", divisions)
+    got = sorted((tuple(x)[:5] for x in q.dedup(df).collect()), key=str)
+    assert got == brute(rows, 2, 10)
+    assert sum(x[3] for x in got) > 20
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a line\nother"), (1, "a line\nother"), (None, "a line")], "doc_id long, text string").coalesce(1)
     got = sorted((str(x.doc_id), x.n_equal, x.kept_text) for x in q.dedup(df).collect())
