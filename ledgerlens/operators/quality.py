@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,10 @@ def snapshot_matches(rows: DataFrame, pairs: dict[str, str]) -> Column:
 
 
 def after_terminal(events: DataFrame, by: str, order: list[str], state: str, terminal: tuple[str, ...]) -> DataFrame:
-    """Events that come later than the first terminal one of their job; they are to be ignored."""
-    first = F.min(F.when(F.col(state).isin(*terminal), F.struct(*order))).over(Window.partitionBy(by))
-    return events.withColumn("_first", first).where(F.struct(*order) > F.col("_first")).drop("_first")
+    """Events that come later than the first terminal one of their job; they are to be ignored.
+
+    Null jobs are one job; a null state is not terminal; events equal in order to the terminal one are not later. One row
+    a job is joined, so that the events of a hot job spread over tasks.
+    """
+    first = events.where(F.col(state).isin(*terminal)).groupBy(F.col(by).alias("_by")).agg(F.min(F.struct(*order)).alias("_first"))
+    return events.join(first, F.col(by).eqNullSafe(F.col("_by"))).where(F.struct(*order) > F.col("_first")).drop("_by", "_first")

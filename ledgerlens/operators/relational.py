@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ledgerlens.functions.text import ancestors
 
@@ -48,16 +49,41 @@ def latest(events: DataFrame, by: list[str], order: list[str], value: str) -> Da
     return events.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def regressions(events: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value is below the one before it."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return events.withColumn("previous", F.lag(value).over(w)).where(F.col(value) < F.col("previous"))
+def _along(by: list[str]) -> WindowSpec:
+    """The chunks of a key in their order."""
+    return Window.partitionBy(*[F.col("_at")[c] for c in by]).orderBy(F.col("_at")["_chunk"])
 
 
-def running_progress(items: DataFrame, by: list[str], order: list[str], size: str) -> DataFrame:
-    """done of total items, and the cumulative size, per key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return items.withColumns({"done": F.row_number().over(w), "total": F.count("*").over(Window.partitionBy(*by)), "cumulative": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+def regressions(events: DataFrame, by: list[str], order: list[str], value: str, chunk: Column | None = None) -> DataFrame:
+    """Rows whose value is below the one before it, with that as previous.
+
+    Null keys are one key; a null value, or one after a null, is no regression; rows equal in order stand side by side
+    in any order; an empty table gives no rows. A column previous is replaced. chunk is an expression that never falls
+    along the order: a long key is then sorted chunk by chunk in separate tasks, and only the last rows of chunks meet.
+    """
+    rows = events.withColumn("_at", F.struct(*by, (F.lit(0) if chunk is None else chunk).alias("_chunk")))
+    # values in structs: a null struct is no row before, a null inside it a row with a null
+    before = F.lag(F.struct(value)).over(Window.partitionBy("_at").orderBy(*order))
+    last = rows.groupBy("_at").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    borders = last.select("_at", F.lag("_last").over(_along(by)).alias("_border"))
+    out = rows.withColumn("_before", before).join(borders, "_at").withColumn("previous", F.coalesce("_before", "_border")[value])
+    return out.where(F.col(value) < F.col("previous")).drop("_at", "_before", "_border")
+
+
+def running_progress(items: DataFrame, by: list[str], order: list[str], size: str, chunk: Column | None = None) -> DataFrame:
+    """done of total items, and the cumulative size, per key.
+
+    Null keys are one key; a null size adds nothing, and the sum is null before the first one that is not; rows equal in
+    order are numbered in any order. Columns of these three names are replaced. chunk is as in regressions.
+    """
+    rows = items.withColumn("_at", F.struct(*by, (F.lit(0) if chunk is None else chunk).alias("_chunk")))
+    w = Window.partitionBy("_at").orderBy(*order)
+    sums = rows.groupBy("_at").agg(F.count("*").alias("_n"), F.sum(size).alias("_sum"))
+    ahead, whole = _along(by).rowsBetween(Window.unboundedPreceding, -1), _along(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("_at", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_done"), F.sum("_n").over(whole).alias("_total"), F.sum("_sum").over(ahead).alias("_size"))
+    out = rows.withColumns({"_place": F.row_number().over(w), "_own": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(sums, "_at")
+    out = out.withColumns({"done": F.col("_done") + F.col("_place"), "total": F.col("_total"), "cumulative": F.coalesce(F.col("_size") + F.col("_own"), "_size", "_own")})
+    return out.drop("_at", "_place", "_own", "_done", "_total", "_size")
 
 
 def overlapping_paths(paths: DataFrame, key: str, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def pcm_facts(spark, sf_dir):
 
 @R.query(f"SELECT user_id, count_if(sign(p) * sign(x) < 0) AS crossings FROM (SELECT user_id, {_SAMPLE} AS x, lag({_SAMPLE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY user_id")
 def sign_crossing(spark, sf_dir):
-    return sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample").select("user_id", "crossings")
+    return sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample", chunk=F.date_trunc("day", "ts")).select("user_id", "crossings")
 
 
 @R.query(f"""WITH s AS (SELECT user_id, {_SAMPLE} AS x, lag({_SAMPLE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
@@ -45,7 +45,7 @@ def dq_sample_facts(spark, sf_dir):
 
 @R.query("SELECT event_id, user_id, value, p AS previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE value < p")
 def monotonic_check(spark, sf_dir):
-    return relational.regressions(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "value", "previous")
+    return relational.regressions(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", chunk=F.date_trunc("day", "ts")).select("event_id", "user_id", "value", "previous")
 
 
 @R.query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -121,7 +121,7 @@ def unique_ci(spark, sf_dir):
 @R.query("SELECT o_orderkey, o_custkey, row_number() OVER w AS done, count(*) OVER (PARTITION BY o_custkey) AS total, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS cumulative FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def item_progress(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
-    out = relational.running_progress(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents")
+    out = relational.running_progress(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", chunk=F.date_trunc("month", "o_orderdate"))
     return out.select("o_orderkey", "o_custkey", F.col("done").cast("long").alias("done"), "total", "cumulative")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import struct
 
 import pytest
@@ -190,3 +191,38 @@ def test_draft_issues_on_empty_tables(spark):
     items = spark.createDataFrame([], "draft long, item long, path string, archived boolean, found boolean, grp string")
     groups = spark.createDataFrame([], "draft long, grp_item long, grp string, grp_name string")
     assert sorted((r.draft, r.code) for r in draft.issues(drafts, items, groups).collect()) == [(2, "Input.Required"), (2, "ProfileName.Required")]
+
+
+def _histories(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "b", None]), None if r.random() < 0.05 else r.randrange(90), k, r.choice([None, 1, 2, 3, 4])) for k in range(300)]
+    rows.append(("one", 5, 300, None))
+    return rows, spark.createDataFrame([(*x, "clash") for x in rows], "job string, at int, id int, size int, previous string")
+
+
+@pytest.mark.parametrize("width", [None, 1, 7, 50])
+def test_histories_in_chunks(spark, width):
+    rows, df = _histories(spark)
+    chunk = None if width is None else F.floor(F.col("at") / width)
+    falls, progress = [], []
+    for job in {x[0] for x in rows}:
+        own, total = sorted((x for x in rows if x[0] == job), key=lambda x: (-1 if x[1] is None else x[1], x[2])), None
+        for k, x in enumerate(own):
+            if k and x[3] is not None and own[k - 1][3] is not None and x[3] < own[k - 1][3]:
+                falls.append((x[2], str(own[k - 1][3])))
+            total = total if x[3] is None else (total or 0) + x[3]
+            progress.append((x[2], k + 1, len(own), total))
+    got = relational.regressions(df, ["job"], ["at", "id"], "size", chunk)
+    assert sorted((x.id, str(x.previous)) for x in got.collect()) == sorted(falls)
+    got = relational.running_progress(df, ["job"], ["at", "id"], "size", chunk)
+    assert sorted((x.id, x.done, x.total, x.cumulative) for x in got.collect()) == sorted(progress)
+    assert relational.regressions(df.limit(0), ["job"], ["at", "id"], "size", chunk).count() == 0
+    assert relational.running_progress(df.limit(0), ["job"], ["at", "id"], "size", chunk).count() == 0
+
+
+def test_after_terminal_of_null_jobs(spark):
+    rows, df = _histories(spark)
+    place = lambda x: (-1 if x[1] is None else x[1], x[2])
+    want = [x[2] for x in rows if any(y[0] == x[0] and y[3] in (3, 4) and place(y) < place(x) for y in rows)]
+    got = quality.after_terminal(df, "job", ["at", "id"], "size", (3, 4))
+    assert got.columns == df.columns and sorted(x.id for x in got.collect()) == sorted(want)
