@@ -107,6 +107,20 @@ def bridged(children: DataFrame, bridge: DataFrame, child_key: str, bridge_child
     return bridge.join(children, F.col(bridge_child) == F.col(child_key), "inner")
 
 
+def active(rows: DataFrame, archived: str, asset: str, linked: bool = True) -> DataFrame:
+    """Rows that are not archived (null: not) and have an asset, or with linked=False have none yet."""
+    has = F.col(asset).isNotNull()
+    return rows.where(~F.coalesce(F.col(archived), F.lit(False)) & (has if linked else ~has))
+
+
+def results_of(results: DataFrame, assets: DataFrame, key: str, owned: Column) -> DataFrame:
+    """Results with the other columns of the assets that the condition selects; results of null keys or other assets go.
+
+    The condition is over assets alone, so it reaches their scan before the join.
+    """
+    return results.join(assets.where(owned), key)
+
+
 def looked_up(rows: DataFrame, build: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows joined with a table whose key must be unique: a key it has twice, or has as null, fails the job.
 

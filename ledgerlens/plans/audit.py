@@ -38,7 +38,7 @@ def sign_crossing(spark, sf_dir):
     SELECT count_if(NOT (lo >= -32768 AND lo <= hi AND hi <= 32767 AND pos + neg + zero = n AND (pos = 0) = (hi <= 0) AND (neg = 0) = (lo >= 0) AND crossings < n AND total BETWEEN lo * n AND hi * n
            AND squares BETWEEN greatest(lo * lo, hi * hi) AND greatest(lo * lo, hi * hi) * n)) AS broken, count(*) AS sequences FROM f""")
 def dq_sample_facts(spark, sf_dir):
-    rows = sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample")
+    rows = sequence.facts(_samples(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sample", chunk=F.date_trunc("day", "ts"))
     broken = sequence.violations(rows).groupBy("user_id").agg(F.count("*").alias("b"))
     return rows.join(broken, "user_id", "left").agg(F.count("b").alias("broken"), F.count("*").alias("sequences"))
 

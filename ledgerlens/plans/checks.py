@@ -12,7 +12,7 @@ from ledgerlens.functions import timeline
 from ledgerlens.operators import draft, quality, readiness, reconcile, records, relational, sequence
 from ledgerlens.plans.registry import Registry, table
 from ledgerlens.sources import catalog as source
-from ledgerlens.sources import probe
+from ledgerlens.sources import journal, probe
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -215,6 +215,29 @@ def bridge_join(spark, sf_dir):
     return relational.bridged(table(spark, sf_dir, "part").select("p_partkey", "p_name"), bridge, "p_partkey", "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
 
 
+@R.query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
+def result_join(spark, sf_dir):
+    assets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    rows = relational.results_of(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), assets, "l_orderkey", F.col("o_orderpriority") == "1-URGENT")
+    return rows.select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+_ENTRY = {"id": "o_orderkey", "archived": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus = 'P' END", "asset": "CASE WHEN o_custkey % 7 > 0 THEN o_custkey END"}
+
+
+@R.query(f"SELECT id, asset IS NOT NULL AS linked FROM {_sql('orders', _ENTRY)} WHERE NOT coalesce(archived, false)")
+def active_rows(spark, sf_dir):
+    rows = _derived(spark, sf_dir, "orders", _ENTRY)
+    parts = [relational.active(rows, "archived", "asset", linked).select("id", F.lit(linked).alias("linked")) for linked in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+@R.query('''SELECT '{"orderKey":' || o_orderkey || ',"orderStatus":"' || o_orderstatus || '","assetKey":' || CASE WHEN o_custkey % 7 > 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'null' END || '}' AS value FROM orders''')
+def json_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS order_key", "o_orderstatus AS order_status", "CASE WHEN o_custkey % 7 > 0 THEN o_custkey END AS asset_key")
+    return journal.as_documents(rows)
+
+
 @R.query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + 3")
 def unique_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 3).alias("n_nationkey"))

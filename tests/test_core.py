@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import text as t
 from ledgerlens.functions import timeline
 from ledgerlens.operators import dedup, draft, quality, readiness, reconcile, relational, sequence
-from ledgerlens.sources import probe, wave
+from ledgerlens.sources import journal, probe, wave
 from ledgerlens.streaming import heartbeat
 
 GOLDEN = [-32768, -1, 0, 1, 32767, 1, -1, 0, -32768, 32767]
@@ -226,3 +226,30 @@ def test_after_terminal_of_null_jobs(spark):
     want = [x[2] for x in rows if any(y[0] == x[0] and y[3] in (3, 4) and place(y) < place(x) for y in rows)]
     got = quality.after_terminal(df, "job", ["at", "id"], "size", (3, 4))
     assert got.columns == df.columns and sorted(x.id for x in got.collect()) == sorted(want)
+
+
+def test_journals(spark, tmp_path):
+    files = {"a/one.json": '{"state": "moved", "n": 3, "more": [1]}', "a/two.json": '{"state": "moved"', "b/one.json": " ", "b/none.json": "", "b/two.json": '{"n": "three"}', "b/three.json": "[1]", "c/one.json": '\n{"n": null}\n', "c/note.txt": "{}"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = journal.journals(spark, f"file://{tmp_path}", "state string, n long").collect()
+    got = {x.job + "/" + x.path.split("/")[-1]: x for x in rows}
+    assert set(got) == {x for x in files if x.endswith("json") and files[x]}
+    assert sorted(k for k, x in got.items() if x.readable) == ["a/one.json", "c/one.json"]
+    assert tuple(got["a/one.json"].document) == ("moved", 3) and tuple(got["c/one.json"].document) == (None, None)
+    assert all((x.document is None) != x.readable for x in rows)
+    (tmp_path / "empty").mkdir()
+    assert journal.journals(spark, f"file://{tmp_path}/empty", "n long").count() == 0
+
+
+def test_documents_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é\n", None), (None, "", 2)], "order_key long, name string, last_seen_us long")
+    journal.write_documents(df, f"file://{tmp_path}/out")
+    lines = sorted(x.value for x in spark.read.text(f"file://{tmp_path}/out").collect())
+    assert [json.loads(x) for x in lines] == [{"orderKey": 1, "name": "é\n", "lastSeenUs": None}, {"orderKey": None, "name": "", "lastSeenUs": 2}]
+
+
+def test_active_rows(spark):
+    df = spark.createDataFrame([(1, True, 1), (2, False, 1), (3, None, 1), (4, None, None), (5, True, None)], "id int, archived boolean, asset int")
+    assert [sorted(x.id for x in relational.active(df, "archived", "asset", k).collect()) for k in (True, False)] == [[2, 3], [4]]
