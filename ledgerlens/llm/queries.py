@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, token_counts, warc
+from ledgerlens.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, mixing, phrases, quality_rules, spelling, substring_dedup, token_counts, warc
 from ledgerlens.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), max_n=3, least=10, percent=50, top=2_000)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), least=3, min_chars=5, one_in=97, times=2)
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_html_extraction": op2_html_extraction,
@@ -64,6 +72,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +117,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f USING (d)""",
+    "op11_phrase_mining": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+        g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(m))),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS p1, array_to_string(w[k + 1 : m], ' ') AS p2 FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        s AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+              FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (SELECT lang, max(a) AS most, part FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM c WHERE m = 3) GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.part = best.phrase WHERE most IS NULL OR 100 * most < 50 * a),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
