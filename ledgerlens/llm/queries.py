@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, mixing, phrases, quality_rules, spelling, substring_dedup, token_counts, warc
+from ledgerlens.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, mixing, phrases, quality_rules, spelling, substring_dedup, token_counts, toxicity, warc
 from ledgerlens.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"), max_n=3, least=10, percent=50, top=2_000)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"), least=3, min_chars=5, one_in=97, times=2)
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
