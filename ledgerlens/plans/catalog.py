@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import audit, checks, recordings, scalars
+from ledgerlens.plans import audit, checks, lifecycle, recordings, scalars
 
-QUERIES = {**recordings.QUERIES, **audit.QUERIES, **checks.QUERIES, **scalars.QUERIES}
-ORACLE_SQL = {**recordings.ORACLE_SQL, **audit.ORACLE_SQL, **checks.ORACLE_SQL, **scalars.ORACLE_SQL}
+QUERIES = {**recordings.QUERIES, **audit.QUERIES, **checks.QUERIES, **scalars.QUERIES, **lifecycle.QUERIES}
+ORACLE_SQL = {**recordings.ORACLE_SQL, **audit.ORACLE_SQL, **checks.ORACLE_SQL, **scalars.ORACLE_SQL, **lifecycle.ORACLE_SQL}
