@@ -121,8 +121,8 @@ def endings(updates: DataFrame, by: list[str], ts: str, order: list[str], state:
     """by, ts, kind: how each job ends, and every update that does not count.
 
     A job ends with its first terminal update, or Interrupted once gap after the last legal one if none comes until then
-    (until, by default the greatest time of the table). Later updates of an ended job are late; updates that the machine
-    forbids are illegal and no sign of life. ts leads the order; it must not be null. Other rules as in walked().
+    (until, by default the greatest time of the table). Later updates of an ended job are late; updates before that which the
+    machine forbids are illegal and no sign of life. ts leads the order; it must not be null. Other rules as in walked().
     """
     rows = walked(updates, by, [ts, *order], state, machine, chunk)
     pause = F.expr(f"INTERVAL {gap}")
@@ -134,7 +134,7 @@ def endings(updates: DataFrame, by: list[str], ts: str, order: list[str], state:
     borders = chunks.select(F.col("_job").alias("_j"), "_chunk", F.max("_last").over(ahead).alias("_border"))
     rows = rows.withColumn("_own", F.max("_beat").over(here)).join(borders, F.col("_job").eqNullSafe(F.col("_j")) & F.col("place")["chunk"].eqNullSafe(F.col("_chunk"))).drop("_j", "_chunk")
     rows = rows.withColumn("_previous", F.coalesce("_own", "_border"))
-    stopped = F.col("legal") & (F.col("_ts") > F.col("_previous") + pause)
+    stopped = ~F.col("before").isin(*machine.terminal) & F.coalesce(F.col("_ts") > F.col("_previous") + pause, F.lit(False))
     done = F.col("legal") & F.col("_state").isin(*machine.terminal)
     closing = F.struct("place", (~stopped).alias("own"), F.when(stopped, F.col("_previous") + pause).otherwise(F.col("_ts")).alias("ts"), F.when(stopped, F.lit(INTERRUPTED)).otherwise(F.col("_state")).alias("kind"))
     jobs = rows.groupBy(F.col("_job").alias("_j")).agg(F.min(F.when(stopped | done, closing)).alias("_end"), F.max("_beat").alias("_last"))

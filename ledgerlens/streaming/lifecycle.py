@@ -51,7 +51,7 @@ class JobLife(StatefulProcessor):
 
         for ts, _, state in due:
             state = state or None
-            if not over() and last is not None and self.machine.legal(now, state) and ts > last + self.gap:
+            if not over() and last is not None and ts > last + self.gap:
                 now = interrupt()
             if over():
                 out.append((ts, LATE))

@@ -37,7 +37,7 @@ def plain(rows, gap, until=None):
         now, last, ended = "", None, False
         for r in own:
             ok = not ended and r[3] in lc.JOB.moves.get(now, ())
-            if ok and last is not None and r[1] > last + gap:
+            if not ended and last is not None and r[1] > last + gap:
                 out.append((job, last + gap, "Interrupted"))
                 ended = True
             if ended:
