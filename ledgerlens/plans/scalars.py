@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
 from ledgerlens.functions import timeline
-from ledgerlens.operators import relational
+from ledgerlens.operators import paths, relational
 from ledgerlens.plans.registry import Registry, table
 
 R = Registry()
@@ -67,6 +67,16 @@ def prefix_overlap(spark, sf_dir):
     return relational.overlapping_paths(rows, "page_id", "path").select(F.col("outer").alias("outer_id"), F.col("inner").alias("inner_id"))
 
 
+@R.query("""WITH p AS (SELECT page_id, rtrim(lower(CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[^/]*//[^/]*/[^/]*') ELSE url END), '/') || '/' AS u FROM pages),
+    g AS (SELECT u, min(page_id) AS same FROM p WHERE u IS NOT NULL GROUP BY u),
+    o AS (SELECT b.u, arg_max(a.same, length(a.u)) AS outer_id FROM g a JOIN g b ON a.u <> b.u AND starts_with(b.u, a.u) GROUP BY b.u)
+    SELECT page_id, same AS same_id, outer_id FROM p JOIN g USING (u) LEFT JOIN o USING (u)""")
+def nested_paths(spark, sf_dir):
+    root = F.when(F.col("page_id") % 5 == 0, F.regexp_extract("url", "^[^/]*//[^/]*/[^/]*", 0)).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", root.alias("path"))
+    return paths.nested(rows, "page_id", "path").select("page_id", F.col("same").alias("same_id"), F.col("outer").alias("outer_id"))
+
+
 @R.query("SELECT p_partkey, CASE WHEN regexp_matches(h, '^[0-9a-f]{64}$') THEN 1 ELSE 0 END AS ok FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(sha256(p_name)) ELSE sha256(p_name) END AS h FROM part)")
 def is_sha256(spark, sf_dir):
     h = F.when(F.col("p_partkey") % 3 == 0, F.upper(F.sha2("p_name", 256))).otherwise(F.sha2("p_name", 256))
