@@ -26,15 +26,19 @@ SCALE = 1_000_000
 
 
 def _lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else; translate, which is slow, only where any letter changes."""
-    return F.when(F.lower(text) == text, text).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z lower-cased and nothing else; translate, which is slow, only where a text has other letters and changes."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only | (F.lower(text) == text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang and words (an array, none empty) of every piece; null languages are UNKNOWN, null texts have no piece."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(f"`{text_col}`", PIECE_GAP, -1)).alias("piece"))
-    rows = rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    return rows.select("lang", F.transform(F.split("piece", WORD_GAP, -1), _lower).alias("words"))
+    rows = rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''").select("lang", _lower(F.col("piece")).alias("piece"))
+    # one space between words, so that they part at a plain character, not at an expression to be compiled for each piece
+    wide = F.contains("piece", F.lit("  ")) | F.contains("piece", F.lit("\t"))
+    plain = F.when(wide, F.regexp_replace("piece", WORD_GAP, " ")).otherwise(F.col("piece"))
+    return rows.select("lang", F.split(plain, " ", -1).alias("words"))
 
 
 def _grams(size: int) -> Column:
@@ -47,8 +51,8 @@ def _grams(size: int) -> Column:
 
 
 def _longer() -> Column:
-    """phrase, head and tail of every n-gram: heads has those without their last word, last the words that end them."""
-    return F.transform("last", lambda word, i: F.struct(F.concat(F.get("heads", i), F.lit(" "), word).alias("phrase"), F.get("heads", i).alias("head"), F.get("heads", i + 1).alias("tail")))
+    """head, tail and last of every n-gram: what lacks its last word, what lacks its first, and its last word."""
+    return F.transform("last", lambda word, i: F.struct(F.get("heads", i).alias("head"), F.get("heads", i + 1).alias("tail"), word.alias("last")))
 
 
 def counted(docs: DataFrame, max_n: int, least: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -63,11 +67,12 @@ def counted(docs: DataFrame, max_n: int, least: int, text_col: str = "text", lan
     levels = [summed(rows.select("lang", F.explode(F.flatten(F.array(*map(_grams, range(1, min(max_n, 2) + 1))))).alias("phrase")), "phrases-2")]
     for size in range(3, max_n + 1):
         known = levels[-1].where(F.col("words") == size - 1)
-        grams = rows.where(F.size("words") >= size).select("lang", "words", _grams(size - 1).alias("heads"))
+        # no filter by size: it would move below and split every piece once more
+        grams = rows.select("lang", "words", _grams(size - 1).alias("heads"))
         grams = grams.withColumn("last", F.slice("words", size, F.size("words"))).select("lang", F.inline(_longer()))
         for part in ("head", "tail"):
             grams = screened(grams, ["lang", part], known.withColumnRenamed("phrase", part))
-        levels.append(summed(grams.select("lang", "phrase"), f"phrases-{size}"))
+        levels.append(summed(grams.select("lang", F.concat("head", F.lit(" "), "last").alias("phrase")), f"phrases-{size}"))
     return reduce(DataFrame.unionByName, levels)
 
 
