@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.names import fresh
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key, rule for each rule that is false or unknown."""
@@ -14,9 +16,10 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 
 def repeated(rows: DataFrame, value: Column) -> DataFrame:
     """Rows whose value, already folded, occurs more than once. Counts first and joins after, so a hot value spreads."""
-    keyed = rows.withColumn("_v", value)
-    many = keyed.groupBy("_v").agg(F.count("*").alias("_n")).where("_n > 1 and _v is not null").select("_v")
-    return keyed.join(many, "_v", "left_semi").drop("_v")
+    v = fresh("_v", rows)
+    keyed = rows.withColumn(v, value)
+    many = keyed.groupBy(v).agg(F.count("*").alias("_n")).where(F.col(v).isNotNull() & (F.col("_n") > 1)).select(v)
+    return keyed.join(many, v, "left_semi").drop(v)
 
 
 def several_active(jobs: DataFrame, by: str, state: str, active: tuple[str, ...] = ("Queued", "Running")) -> DataFrame:
@@ -45,5 +48,6 @@ def after_terminal(events: DataFrame, by: str, order: list[str], state: str, ter
     Null jobs are one job; a null state is not terminal; events equal in order to the terminal one are not later. One row
     a job is joined, so that the events of a hot job spread over tasks.
     """
-    first = events.where(F.col(state).isin(*terminal)).groupBy(F.col(by).alias("_by")).agg(F.min(F.struct(*order)).alias("_first"))
-    return events.join(first, F.col(by).eqNullSafe(F.col("_by"))).where(F.struct(*order) > F.col("_first")).drop("_by", "_first")
+    job, start = fresh("_by", events), fresh("_first", events)
+    first = events.where(F.col(state).isin(*terminal)).groupBy(F.col(by).alias(job)).agg(F.min(F.struct(*order)).alias(start))
+    return events.join(first, F.col(by).eqNullSafe(F.col(job))).where(F.struct(*order) > F.col(start)).drop(job, start)

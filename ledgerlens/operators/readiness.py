@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.names import fresh
+
 STATES = ("IntegrityFailed", "AwaitingProbe", "ValidationFailed", "PreprocessingFailed", "Validated", "Prepared")
 
 
@@ -56,8 +58,9 @@ def chained(selections: DataFrame, assets: DataFrame, prepared: DataFrame, obser
 
     The three right sides have one row a key at most, so the count of selections stays.
     """
-    own = assets.withColumnRenamed(key, "_asset")
-    mark = lambda d, n: d.select(F.col(key).alias(f"_{n}"), F.lit(True).alias(n))
-    rows = selections.join(own, F.col(link) == F.col("_asset"), "left")
-    rows = rows.join(mark(prepared, "has_result"), F.col("_asset") == F.col("_has_result"), "left").join(mark(observed, "observed"), F.col("_asset") == F.col("_observed"), "left")
-    return rows.drop("_asset", "_has_result", "_observed")
+    asset, ready, seen = (fresh(n, selections, assets) for n in ("_asset", "_has_result", "_observed"))
+    own = assets.withColumnRenamed(key, asset)
+    mark = lambda d, k, n: d.select(F.col(key).alias(k), F.lit(True).alias(n))
+    rows = selections.join(own, F.col(link) == F.col(asset), "left")
+    rows = rows.join(mark(prepared, ready, "has_result"), F.col(asset) == F.col(ready), "left").join(mark(observed, seen, "observed"), F.col(asset) == F.col(seen), "left")
+    return rows.drop(asset, ready, seen)

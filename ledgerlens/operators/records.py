@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import bounded_text, is_sha256, relative_path
+from ledgerlens.operators.names import fresh
 from ledgerlens.operators.quality import exactly_one
 
 PROBE_FAILED = ("ValidationFailed", "IntegrityFailed")
@@ -61,17 +62,19 @@ def within_job(created: str, at: str, completed: str, updated: str) -> dict[str,
 
 def for_asset(results: DataFrame, assets: DataFrame, key: str, pairs: dict[str, str]) -> DataFrame:
     """key, rule of results without asset (unknown_asset) or with a column (of results) unlike its pair (of assets, whose
-    key is unique)."""
-    known = assets.select(F.col(key).alias("_k"), F.struct(*[F.col(b).alias(a) for a, b in pairs.items()]).alias("_asset"))
-    rows = results.join(known, F.col(key) == F.col("_k"), "left")
-    rules = F.when(F.col("_k").isNull(), F.array(F.lit("unknown_asset"))).otherwise(F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col("_asset")[a]), F.lit(f"differs:{a}")) for a in pairs])))
+    key is unique). A null key has no asset."""
+    k, asset = fresh("_k", results), fresh("_asset", results)
+    known = assets.select(F.col(key).alias(k), F.struct(*[F.col(b).alias(a) for a, b in pairs.items()]).alias(asset))
+    rows = results.join(known, F.col(key) == F.col(k), "left")
+    rules = F.when(F.col(k).isNull(), F.array(F.lit("unknown_asset"))).otherwise(F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(asset)[a]), F.lit(f"differs:{a}")) for a in pairs])))
     return rows.select(key, F.explode(rules).alias("rule"))
 
 
 def outside_group(rows: DataFrame, groups: DataFrame, group: str, owner: str, group_key: str, group_owner: str) -> DataFrame:
     """Rows that name a group which their own owner does not have; a null group is none."""
-    known = groups.select(F.col(group_key).alias("_g"), F.col(group_owner).alias("_o"))
-    return rows.where(F.col(group).isNotNull()).join(known, (F.col(group) == F.col("_g")) & (F.col(owner) == F.col("_o")), "left_anti")
+    g, o = fresh("_g", rows), fresh("_o", rows)
+    known = groups.select(F.col(group_key).alias(g), F.col(group_owner).alias(o))
+    return rows.where(F.col(group).isNotNull()).join(known, (F.col(group) == F.col(g)) & (F.col(owner) == F.col(o)), "left_anti")
 
 
 def frozen_proxy(probe: Column, longest_side: tuple[int, int] = (1280, 720), rate: int = 30, audio_rate: int = 48_000, channels: int = 2) -> Column:

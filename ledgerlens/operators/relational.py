@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ledgerlens.functions.text import ancestors
+from ledgerlens.operators.names import fresh
 
 
 def pending(items: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Items that still lack a result."""
+    """Items that still lack a result; items of a null key always do. Repeated items stay, results may repeat."""
     return items.join(results.select(key).distinct(), key, "left_anti")
 
 
 def linked(items: DataFrame, selections: DataFrame, key: str) -> DataFrame:
-    """Items that a selection refers to, once each: a semi join needs no distinct."""
+    """Items that a selection refers to, once each: a semi join needs no distinct. Null keys refer to nothing."""
     return items.join(selections.select(key), key, "left_semi")
 
 
@@ -26,26 +27,39 @@ def set_difference(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
 
 
 def set_null_cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Children with their reference set to null where the parent is gone."""
-    known = parents.select(F.col(parent_key).alias("_p")).distinct()
-    rows = children.join(known, F.col(child_key) == F.col("_p"), "left")
-    return rows.withColumn(child_key, F.when(F.col("_p").isNotNull(), F.col(child_key))).drop("_p")
+    """Children with their reference set to null where the parent is gone.
+
+    A null reference stays null; parents may repeat; all children stay, in number and in their other columns.
+    """
+    p = fresh("_p", children)
+    known = parents.select(F.col(parent_key).alias(p)).distinct()
+    rows = children.join(known, F.col(child_key) == F.col(p), "left")
+    return rows.withColumn(child_key, F.when(F.col(p).isNotNull(), F.col(child_key))).drop(p)
 
 
 def guarded_update(rows: DataFrame, guard: Column, **changes: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows after, one row with the affected count): values change only where the guard is true."""
+    """(rows after, one row with the affected count): values change only where the guard is true, not where it is unknown.
+
+    New values may use the old ones of all columns. Repeated rows each count; an empty table affects none.
+    """
     ok = F.coalesce(guard, F.lit(False))
     after = rows.withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in changes.items()})
     return after, rows.agg(F.count_if(ok).alias("affected"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """All children of the parents in new come from new, the others stay."""
+    """All children of the parents in new come from new, the others stay.
+
+    Old children of a null parent stay; new ones of a null parent are added. Repeated rows stay repeated.
+    """
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
 def latest(events: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Last value per key in the order given, without a sort."""
+    """Last value per key in the order given, without a sort.
+
+    Null keys are one key, a null last value is the value; of rows equal in order any may be taken.
+    """
     return events.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
@@ -97,7 +111,11 @@ def overlapping_paths(paths: DataFrame, key: str, path: str) -> DataFrame:
 
 
 def changed_immutable(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keys whose row differs between two versions of a table that must not change."""
+    """Keys whose row differs between two versions of a table that must not change.
+
+    Only keys that both have, and no null ones (digests.changes() reports all); nulls in other columns equal nulls; a key
+    that repeats is compared row by row with all of the other version.
+    """
     pack = lambda d, n: d.select(F.col(key), F.struct(*sorted(c for c in d.columns if c != key)).alias(n))
     return pack(old, "a").join(pack(new, "b"), key).where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
 
@@ -124,40 +142,51 @@ def results_of(results: DataFrame, assets: DataFrame, key: str, owned: Column) -
 def looked_up(rows: DataFrame, build: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows joined with a table whose key must be unique: a key it has twice, or has as null, fails the job.
 
-    Checked where the build side is grouped for the join, so it is read once. Rows of a null key find nothing.
+    The check stands in the key that is joined, so it holds whatever columns are read; the build side is grouped for the
+    join, so it is read once. Rows of a null key find nothing. A looked-up column may not have the name of one of rows.
     """
     rest = [c for c in build.columns if c != key]
-    once = build.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_b"))
-    checked = F.when((F.col("_n") > 1) | F.col(key).isNull(), F.raise_error(F.format_string("key %s is not unique", F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col("_b"))
-    return rows.join(once.select(key, checked.alias("_b")), key, how).select(*rows.columns, *[F.col("_b")[c].alias(c) for c in rest])
+    both = [c for c in rest if c in rows.columns]
+    if both:
+        raise ValueError(f"both sides have {', '.join(both)}")
+    k, n, b = fresh("_k", rows, build), fresh("_n", build), fresh("_b", rows, build)
+    once = build.groupBy(F.col(key).alias(k)).agg(F.count("*").alias(n), F.first(F.struct(F.lit(0).alias(n), *rest)).alias(b))
+    wrong = F.raise_error(F.format_string("key %s is not unique", F.coalesce(F.col(k).cast("string"), F.lit("null"))))
+    once = once.select(F.when((F.col(n) > 1) | F.col(k).isNull(), wrong.cast(build.schema[key].dataType)).otherwise(F.col(k)).alias(k), b)
+    return rows.join(once, F.col(key) == F.col(k), how).select(*rows.columns, *[F.col(b)[c].alias(c) for c in rest])
 
 
 def exists_update(rows: DataFrame, results: DataFrame, key: str, failure: str, proposed: Column) -> tuple[DataFrame, DataFrame]:
     """(rows after, affected count): the proposed failure is taken where it is null and a result exists, or is not null
-    and none does; other rows keep theirs."""
-    known = results.select(F.col(key).alias("_k")).distinct()
-    joined = rows.join(known, F.col(key) == F.col("_k"), "left").withColumn("_ok", proposed.isNull() == F.col("_k").isNotNull())
-    after = joined.withColumn(failure, F.when(F.col("_ok"), proposed).otherwise(F.col(failure)))
-    return after.drop("_k", "_ok"), joined.agg(F.count_if("_ok").alias("affected"))
+    and none does; other rows keep theirs. Rows of a null key have no result; results may repeat."""
+    k, ok = fresh("_k", rows), fresh("_ok", rows)
+    known = results.select(F.col(key).alias(k)).distinct()
+    joined = rows.join(known, F.col(key) == F.col(k), "left").withColumn(ok, proposed.isNull() == F.col(k).isNotNull())
+    after = joined.withColumn(failure, F.when(F.col(ok), proposed).otherwise(F.col(failure)))
+    return after.drop(k, ok), joined.agg(F.count_if(ok).alias("affected"))
 
 
 def insert_faults(new: DataFrame, old: DataFrame, key: str, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """key, rule of rows that cannot be added: a key given twice or taken already, or a parent (not null) that is not there."""
-    twice = new.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit("given_twice").alias("rule"))
-    taken = new.select(key).distinct().join(old.select(key), key, "left_semi").select(key, F.lit("taken").alias("rule"))
-    known = parents.select(F.col(parent_key).alias("_p"))
-    orphan = new.where(F.col(child_key).isNotNull()).join(known, F.col(child_key) == F.col("_p"), "left_anti").select(key, F.lit("no_parent").alias("rule"))
-    return twice.unionByName(taken).unionByName(orphan)
+    """key, rule of rows that cannot be added: no key, a key given twice or taken already, or a parent (not null) that is
+    not there. Null keys are one row of rule null_key; each other fault is one row a key and rule, or a row for no_parent."""
+    none = new.where(F.col(key).isNull()).select(key, F.lit("null_key").alias("rule")).distinct()
+    given = new.where(F.col(key).isNotNull())
+    n, p = fresh("_n", new), fresh("_p", new)
+    twice = given.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(key, F.lit("given_twice").alias("rule"))
+    taken = given.select(key).distinct().join(old.select(key), key, "left_semi").select(key, F.lit("taken").alias("rule"))
+    known = parents.select(F.col(parent_key).alias(p))
+    orphan = given.where(F.col(child_key).isNotNull()).join(known, F.col(child_key) == F.col(p), "left_anti").select(key, F.lit("no_parent").alias("rule"))
+    return none.unionByName(twice).unionByName(taken).unionByName(orphan)
 
 
 def inserted(new: DataFrame, old: DataFrame, key: str, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """old and the new rows without faults."""
+    """old and the new rows without faults; no row of a null key gets in."""
     bad = insert_faults(new, old, key, parents, child_key, parent_key).select(key)
-    return old.unionByName(new.join(bad, key, "left_anti").select(*old.columns))
+    return old.unionByName(new.where(F.col(key).isNotNull()).join(bad, key, "left_anti").select(*old.columns))
 
 
 def first_and_more(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """by, the value of the first row in the order, and whether there are more."""
+    """by, the value of the first row in the order, and whether there are more; null keys are one key."""
     return rows.groupBy(by).agg(F.min_by(value, F.struct(*order)).alias(value), (F.count("*") > 1).alias("more"))
 
 
