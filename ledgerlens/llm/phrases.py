@@ -1,6 +1,6 @@
 """Phrase mining: counts of all word n-grams per language, pointwise scores of their cuts, phrases inside longer ones dropped.
 
-Texts are cut into pieces, pieces into words, and the 1..max_n-grams of each piece are exploded into rows and counted by
+Texts are cut into pieces, equal pieces are counted, and the 1..max_n-grams of each are exploded into rows and summed by
 hash aggregation per language. From three words on, only n-grams are exploded whose two parts of one word less may
 themselves be frequent, as a frequent phrase has frequent parts only; the test is a bounded pre-filter that lets some
 more through, never less. A candidate's first and last parts are candidates or words, so that their counts are joined
@@ -32,13 +32,17 @@ def _lower(text: Column) -> Column:
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang and words (an array, none empty) of every piece; null languages are UNKNOWN, null texts have no piece."""
+    """lang, piece (lower-cased, one space between words) and n, its number, of all pieces that have a word.
+
+    Null languages are UNKNOWN, null texts have no piece. Pieces that repeat, as in copies and in short phrases, are counted
+    here once, so that what follows works on each of them once.
+    """
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(f"`{text_col}`", PIECE_GAP, -1)).alias("piece"))
     rows = rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''").select("lang", _lower(F.col("piece")).alias("piece"))
     # one space between words, so that they part at a plain character, not at an expression to be compiled for each piece
     wide = F.contains("piece", F.lit("  ")) | F.contains("piece", F.lit("\t"))
     plain = F.when(wide, F.regexp_replace("piece", WORD_GAP, " ")).otherwise(F.col("piece"))
-    return rows.select("lang", F.split(plain, " ", -1).alias("words"))
+    return rows.select("lang", plain.alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("n"))
 
 
 def _grams(size: int) -> Column:
@@ -57,22 +61,23 @@ def _longer() -> Column:
 
 def counted(docs: DataFrame, max_n: int, least: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, phrase, words, f: all single words, and every longer phrase of up to max_n words that occurs least times."""
-    rows = pieces(docs, text_col, lang_col)
-    n_words = (F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1).alias("words")
+    rows = written(pieces(docs, text_col, lang_col), "pieces").select("lang", "n", F.split("piece", " ", -1).alias("words"))
+    n_words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("words")
 
     def summed(grams: DataFrame, name: str) -> DataFrame:
-        found = grams.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-        return written(found.select("lang", "phrase", n_words, "f").where((F.col("words") == 1) | (F.col("f") >= least)), name)
+        found = grams.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        kept = found.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" ")))
+        return written(kept.select("lang", "phrase", n_words, "f"), name)
 
-    levels = [summed(rows.select("lang", F.explode(F.flatten(F.array(*map(_grams, range(1, min(max_n, 2) + 1))))).alias("phrase")), "phrases-2")]
+    levels = [summed(rows.select("lang", "n", F.explode(F.flatten(F.array(*map(_grams, range(1, min(max_n, 2) + 1))))).alias("phrase")), "phrases-2")]
     for size in range(3, max_n + 1):
         known = levels[-1].where(F.col("words") == size - 1)
         # no filter by size: it would move below and split every piece once more
-        grams = rows.select("lang", "words", _grams(size - 1).alias("heads"))
-        grams = grams.withColumn("last", F.slice("words", size, F.size("words"))).select("lang", F.inline(_longer()))
+        grams = rows.select("lang", "n", "words", _grams(size - 1).alias("heads"))
+        grams = grams.withColumn("last", F.slice("words", size, F.size("words"))).select("lang", "n", F.inline(_longer()))
         for part in ("head", "tail"):
             grams = screened(grams, ["lang", part], known.withColumnRenamed("phrase", part))
-        levels.append(summed(grams.select("lang", F.concat("head", F.lit(" "), "last").alias("phrase")), f"phrases-{size}"))
+        levels.append(summed(grams.select("lang", "n", F.concat("head", F.lit(" "), "last").alias("phrase")), f"phrases-{size}"))
     return reduce(DataFrame.unionByName, levels)
 
 
