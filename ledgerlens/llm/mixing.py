@@ -91,13 +91,15 @@ def mix(
     document is taken more than repeat_cap times. A source's slots number its target over its mean block, so taken
     words come within about a block or two of the target. Documents without words take part with size 0. A null
     source is a source of its own. Rows that repeat an id are separate documents; rows equal in id and text are
-    interchangeable. The order depends on ids and texts only, so reruns agree. An empty table gives an empty one.
+    interchangeable, and stand in one chunk of the stream. The order depends on ids and texts only, so reruns agree. An empty table gives an empty one.
     Other input columns are not read.
     """
     spark = docs.sparkSession
     size = F.size(words_of(F.col("_text"))).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
-    base = base.select("doc_id", "source", size.alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("place"), F.xxhash64("_text").alias("mark"))
+    base = base.select("doc_id", "source", size.alias("size"), F.xxhash64("_text").alias("mark"))
+    # rows of one id, or of none, are told apart by their text, so that they spread over chunks
+    base = base.withColumn("place", F.xxhash64("doc_id", F.lit(seed), "mark"))
     base = written(base, "mix-sizes")
 
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))

@@ -58,7 +58,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     good, junk = (sum(("###" in (x[1] or "")) == j for x in base) for j in (False, True))
     assert sum("###" in x[1] for x in had[1]) <= 0.5 * junk and sum("###" not in x[1] for x in had[1]) >= 0.98 * good
 
-    lines = test_line_dedup.brute([x[:2] for x in had[1]], 2, 20)
+    lines = test_line_dedup.brute([x[:2] for x in had[1]], 2, 10)
     left = sorted([(i, h) for i, n, same, near, h in lines if n > same + near], key=str)
     import hashlib
 
