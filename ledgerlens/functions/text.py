@@ -116,6 +116,19 @@ def tagged_hash(**fields: Column) -> Column:
     return F.sha2(F.concat(*lines), 256)
 
 
+def canonical_path(c: Column) -> Column:
+    """The path without . and .. and empty parts, slash-joined behind its root (/, a drive or a share); null where it holds a
+    NUL character. What climbs above a root stays at it; a relative path keeps the .. that it begins with."""
+    slashed = F.translate(c, "\\", "/")
+    root = F.regexp_extract(slashed, r"^(//[^/]+/[^/]+|[A-Za-z]:(?=/|$)|(?=/))", 1)
+    rooted = (root != "") | slashed.startswith("/")
+    parts = F.filter(F.split(F.substring(slashed, F.length(root) + 1, F.length(slashed)), "/", -1), lambda p: ~p.isin("", "."))
+    up = lambda a: F.size(a) > F.when(F.coalesce(F.get(a, F.size(a) - 1) == "..", F.lit(False)), F.size(a)).otherwise(0)
+    step = lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(up(a), F.slice(a, 1, F.size(a) - 1)).when(rooted, a).otherwise(F.concat(a, F.array(p)))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(~F.contains(c, F.lit("\0")), F.concat(root, F.when(rooted, "/").otherwise(""), joined))
+
+
 def workspace_problem(c: Column) -> Column:
     """Why a folder cannot hold a workspace, or null: blank, not absolute, or the root of a drive, share or file system."""
     path = F.trim(c)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import group_name_ok, workspace_problem
+from ledgerlens.functions.text import canonical_path, group_name_ok, workspace_problem
 
 #: Places of the kinds of issue within a draft.
 NAME, WORKSPACE, STAGING, ITEMS, GROUPS, MEMBERS, PACKAGE, INPUT = range(8)
@@ -29,12 +29,14 @@ def _repeats(rows: DataFrame, keys: list[str], order: str, counts: Column) -> Da
     return rows.join(first, keys, "left").withColumn("_again", counts & (F.col(order) > F.col("_first"))).drop("_first")
 
 
-def issues(drafts: DataFrame, items: DataFrame, groups: DataFrame, by: str = "draft") -> DataFrame:
+def issues(drafts: DataFrame, items: DataFrame, groups: DataFrame, by: str = "draft", check_sources: bool = True, require_input: bool = True) -> DataFrame:
     """by, place, item, nth, code in the order of reading a draft.
 
     drafts: by (unique), name, workspace, staging, package. items: by, item (order, unique in a draft), path, archived,
     found, grp. groups: by, grp_item (order), grp, grp_name. Null and blank texts count as missing; of repeated paths or
-    names, in any case, all but the first are issues. A path that is no .mp4 is judged no further.
+    names, in any case, all but the first are issues; paths are equal if their canonical forms are. A path that is no .mp4,
+    or that no file can have, is judged no further. check_sources asks whether files are there: items by found, packages by a
+    column package_found of drafts, where it has one (null: not found). require_input asks for an active item or a package.
     """
     d = drafts
     staging = workspace_problem(F.col("staging"))
@@ -44,10 +46,13 @@ def issues(drafts: DataFrame, items: DataFrame, groups: DataFrame, by: str = "dr
         _issues(d, by, STAGING, F.lit(0), F.when(~_blank(F.col("staging")) & staging.isNotNull(), "Downloadstaging.Invalid")),
         _issues(d, by, PACKAGE, F.lit(0), F.when(~_blank(F.col("package")) & ~F.lower("package").endswith(".vwpkg"), "ImportedPackage.Extension")),
     ]
+    if check_sources and "package_found" in d.columns:
+        absent = ~_blank(F.col("package")) & F.lower("package").endswith(".vwpkg") & ~F.coalesce(F.col("package_found"), F.lit(False))
+        whole.append(_issues(d, by, PACKAGE, F.lit(0), F.when(absent, "ImportedPackage.NotFound")))
     path = F.col("path")
-    kind = F.when(_blank(path), "TrainingVideo.PathRequired").when(~F.lower(path).endswith(".mp4"), "TrainingVideo.Mp4Required")
-    rows = _repeats(items.withColumns({"_kind": kind, "_fold": F.lower(path)}), [by, "_fold"], "item", F.col("_kind").isNull())
-    missing = F.when(F.col("_kind").isNull() & ~F.col("archived") & ~F.col("found"), "TrainingVideo.NotFound")
+    kind = F.when(_blank(path), "TrainingVideo.PathRequired").when(~F.lower(path).endswith(".mp4"), "TrainingVideo.Mp4Required").when(canonical_path(path).isNull(), "TrainingVideo.InvalidPath")
+    rows = _repeats(items.withColumns({"_kind": kind, "_fold": F.lower(canonical_path(path))}), [by, "_fold"], "item", F.col("_kind").isNull())
+    missing = F.when(F.col("_kind").isNull() & ~F.col("archived") & ~F.col("found") & F.lit(check_sources), "TrainingVideo.NotFound")
     each = _issues(rows, by, ITEMS, F.col("item"), F.col("_kind"), missing, F.when(F.col("_again"), "TrainingVideo.Duplicate"))
 
     name = F.col("grp_name")
@@ -60,7 +65,7 @@ def issues(drafts: DataFrame, items: DataFrame, groups: DataFrame, by: str = "dr
     members = _issues(strangers, by, MEMBERS, F.col("item"), F.lit("TrainingVideo.RecordingDependencyGroupUnknown"))
     active = items.where(~F.col("archived")).select(by)
     unfed = _issues(d.where(_blank(F.col("package"))).join(active, by, "left_anti"), by, INPUT, F.lit(0), F.lit("Input.Required"))
-    return reduce(DataFrame.unionByName, [*whole, each, of_groups, members, unfed])
+    return reduce(DataFrame.unionByName, [*whole, each, of_groups, members, *([unfed] if require_input else [])])
 
 
 def stage_requests(requests: DataFrame, key: str, path: str, size: str) -> DataFrame:

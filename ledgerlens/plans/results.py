@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import ordering, quality, results
+from ledgerlens.operators import draft, ordering, quality, results
 from ledgerlens.plans.registry import Registry, table
 from ledgerlens.sources import probe
 
@@ -136,3 +136,16 @@ def collated_repeats(spark, sf_dir):
     both = F.concat("p_brand", "p_type")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper(both)).otherwise(both), F.col("p_size").cast("string")).alias("t"))
     return ordering.repeated(rows, "t", ordering.NOCASE).select("p_partkey")
+
+
+_PATH = "CASE WHEN c_custkey % 17 = 0 THEN '/v/n' || chr(0) || '.mp4' WHEN c_custkey % 5 = 0 THEN '/v/./n' || c_nationkey || '.MP4' WHEN c_custkey % 5 = 1 THEN '/v/x/../n' || c_nationkey || '.mp4' WHEN c_custkey % 5 = 2 THEN '/../v//n' || c_nationkey || '.mp4' ELSE '/v/n' || c_nationkey || '.mp4' END"
+
+
+@R.query("""WITH i AS (SELECT c_custkey % 400 AS draft, c_custkey AS item, c_nationkey AS n, c_custkey % 17 = 0 AS bad FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY draft, n, bad ORDER BY item) AS nth FROM i)
+    SELECT draft, item, 'TrainingVideo.InvalidPath' AS code FROM r WHERE bad UNION ALL SELECT draft, item, 'TrainingVideo.Duplicate' FROM r WHERE NOT bad AND nth > 1
+    UNION ALL SELECT s_suppkey, 0, 'ImportedPackage.NotFound' FROM supplier WHERE s_suppkey % 3 = 1""")
+def draft_paths(spark, sf_dir):
+    drafts = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS draft", "s_name AS name", "'/data/x' AS workspace", "CAST(NULL AS STRING) AS staging", "CASE WHEN s_suppkey % 3 > 0 THEN 'm.VWPKG' END AS package", "s_suppkey % 3 = 2 AS package_found")
+    items = table(spark, sf_dir, "customer").selectExpr("c_custkey % 400 AS draft", "c_custkey AS item", f"{_PATH} AS path", "false AS archived", "true AS found", "CAST(NULL AS STRING) AS grp")
+    groups = items.limit(0).selectExpr("draft", "item AS grp_item", "grp", "grp AS grp_name")
+    return draft.issues(drafts, items, groups, require_input=False).select("draft", "item", "code")
