@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import bounded_text, prepared_path, relative_path
-from ledgerlens.operators import records
+from ledgerlens.functions.text import bounded_text, group_name_ok, prepared_path, relative_path
+from ledgerlens.operators import quality, records
 
 
 @dataclass(frozen=True)
@@ -94,3 +94,34 @@ def of_prepared(snapshots: DataFrame, prepared: DataFrame) -> DataFrame:
     rows = snapshots.join(known, F.col("media_asset_id") == F.col("__of"), "left")
     broken = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col("__was")[c]), F.lit(f"differs:{c}")) for c in FROZEN]))
     return rows.select("job_id", "media_asset_id", F.explode(F.when(F.col("__was").isNull(), F.array(F.lit("unknown_result"))).otherwise(broken)).alias("rule"))
+
+
+def profile_faults(profiles: DataFrame, groups: DataFrame, videos: DataFrame, conditions: tuple[str, ...]) -> DataFrame:
+    """profile, part (profile, group or video), item (its id as text), rule of all that a stored profile must have right.
+
+    profiles: profile, display_name, workspace_root, readiness. groups: profile, grp, name. videos: profile, video, file_path,
+    date_label, condition, sort_order, grp. Ids and texts are required; group ids, group names (in any case) and video ids are
+    unique within their profile, all that repeat are faults; a video's group (null: none) is one of its own profile. Counts of
+    what repeats are joined back, so that one hot name spreads. Rows of a null profile are judged as one profile's.
+    """
+    full = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
+
+    def marked(rows: DataFrame, part: str, item: str, rules: dict[str, Column]) -> DataFrame:
+        broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+        return rows.select("profile", F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.explode(broken).alias("rule"))
+
+    def repeats(rows: DataFrame, part: str, item: str, value: Column, rule: str) -> DataFrame:
+        pair = F.when(value.isNotNull(), F.struct(F.col("profile").alias("p"), value.alias("v")))
+        return quality.repeated(rows, pair).select("profile", F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.lit(rule).alias("rule"))
+
+    own = groups.select(F.col("profile").alias("__p"), F.col("grp").alias("__g")).distinct()
+    strangers = videos.where(F.col("grp").isNotNull()).join(own, F.col("profile").eqNullSafe(F.col("__p")) & (F.col("grp") == F.col("__g")), "left_anti")
+    return (
+        marked(profiles, "profile", "profile", {"id": F.col("profile").isNotNull(), "display_name": full("display_name"), "workspace_root": full("workspace_root"), "readiness": full("readiness")})
+        .unionByName(marked(groups, "group", "grp", {"id": F.col("grp").isNotNull(), "name": group_name_ok(F.col("name"))}))
+        .unionByName(repeats(groups, "group", "grp", F.col("grp").cast("string"), "unique_id"))
+        .unionByName(repeats(groups, "group", "grp", F.lower("name"), "unique_name"))
+        .unionByName(marked(videos, "video", "video", {"id": F.col("video").isNotNull(), "file_path": full("file_path"), "date_label": F.col("date_label").isNotNull(), "condition": F.col("condition").isin(*conditions), "sort_order": F.col("sort_order") >= 0}))
+        .unionByName(repeats(videos, "video", "video", F.col("video").cast("string"), "unique_id"))
+        .unionByName(strangers.select("profile", F.lit("video").alias("part"), F.col("video").cast("string").alias("item"), F.lit("group_of_profile").alias("rule")))
+    )

@@ -35,17 +35,17 @@ _ENDINGS_SQL = """
     r AS (SELECT *, coalesce(count_if(rank = 2) OVER w, 0) = 0 AND NOT (rank = 0 AND coalesce(count_if(rank = 1) OVER w, 0) > 0) AS legal, coalesce(count_if(rank = 2) OVER w, 0) = 0 AS alive FROM u
           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     p AS (SELECT *, max(CASE WHEN legal THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
-    s AS (SELECT *, alive AND coalesce(ts > prev + INTERVAL 4 DAY, false) AS stopped FROM p),
-    e AS (SELECT user_id, min((ts, event_id)) AS k, arg_min(stopped, (ts, event_id)) AS stopped, arg_min(CASE WHEN stopped THEN prev + INTERVAL 4 DAY ELSE ts END, (ts, event_id)) AS fin
+    s AS (SELECT *, alive AND coalesce(ts > prev + INTERVAL 1 DAY, false) AS stopped FROM p),
+    e AS (SELECT user_id, min((ts, event_id)) AS k, arg_min(stopped, (ts, event_id)) AS stopped, arg_min(CASE WHEN stopped THEN prev + INTERVAL 1 DAY ELSE ts END, (ts, event_id)) AS fin
           FROM s WHERE stopped OR (legal AND rank = 2) GROUP BY user_id),
     l AS (SELECT user_id, max(ts) FILTER (legal) AS last FROM s GROUP BY user_id),
     closed AS (SELECT user_id, fin AS ts, CASE WHEN stopped THEN 'Interrupted' ELSE 'Completed' END AS kind FROM e
-               UNION ALL SELECT user_id, last + INTERVAL 4 DAY, 'Interrupted' FROM l WHERE user_id NOT IN (SELECT user_id FROM e) AND last + INTERVAL 4 DAY < (SELECT max(ts) FROM events))"""
+               UNION ALL SELECT user_id, last + INTERVAL 1 DAY, 'Interrupted' FROM l WHERE user_id NOT IN (SELECT user_id FROM e) AND last + INTERVAL 1 DAY < (SELECT max(ts) FROM events))"""
 
 
 def _job_endings(spark, sf_dir):
     rows = _updates(spark, sf_dir, error="Running")
-    return lifecycle.endings(rows, ["user_id"], "ts", ["event_id"], "state", gap="4 DAYS", chunk=F.date_trunc("day", "ts"))
+    return lifecycle.endings(rows, ["user_id"], "ts", ["event_id"], "state", gap="1 DAY", chunk=F.date_trunc("day", "ts"))
 
 
 @R.query(f"""WITH {_ENDINGS_SQL}

@@ -149,3 +149,25 @@ def draft_paths(spark, sf_dir):
     items = table(spark, sf_dir, "customer").selectExpr("c_custkey % 400 AS draft", "c_custkey AS item", f"{_PATH} AS path", "false AS archived", "true AS found", "CAST(NULL AS STRING) AS grp")
     groups = items.limit(0).selectExpr("draft", "item AS grp_item", "grp", "grp AS grp_name")
     return draft.issues(drafts, items, groups, require_input=False).select("draft", "item", "code")
+
+
+_VIDEO = {"profile": "l_orderkey % 1000", "video": "CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber % 5 END", "file_path": "CASE WHEN l_partkey % 37 = 0 THEN ' ' ELSE 'v' END", "date_label": "CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE '2024' END", "condition": "l_returnflag", "sort_order": "l_linenumber - 2", "grp": "CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey END"}
+_OLD = {"profile": "s_suppkey % 1000", "grp": "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_suppkey END", "name": "CASE s_suppkey % 5 WHEN 0 THEN 'UNASSIGNED' WHEN 1 THEN s_name || ' ' WHEN 2 THEN 'same' ELSE s_name END"}
+_NEW = {"profile": "s_suppkey % 1000", "grp": "CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey ELSE s_suppkey + 100000 END", "name": "CASE WHEN s_suppkey % 5 = 2 THEN 'SAME' ELSE 'g' || s_suppkey END"}
+_PROFILE = {"profile": "c_custkey", "display_name": "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END", "workspace_root": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'w' END", "readiness": "CASE WHEN c_custkey % 17 = 0 THEN '  ' ELSE c_mktsegment END"}
+_list = lambda columns: [f"{e} AS {c}" for c, e in columns.items()]
+_from = lambda columns, name: f"SELECT {', '.join(_list(columns))} FROM {name}"
+
+
+@R.query(f"""WITH p AS ({_from(_PROFILE, 'customer')}), g AS ({_from(_OLD, 'supplier')} UNION ALL {_from(_NEW, 'supplier')}), v AS ({_from(_VIDEO, 'lineitem')}),
+    gc AS (SELECT *, grp IS NOT NULL AND count(*) OVER (PARTITION BY profile, grp) > 1 AS twice, count(*) OVER (PARTITION BY profile, lower(name)) > 1 AS named FROM g),
+    vc AS (SELECT *, video IS NOT NULL AND count(*) OVER (PARTITION BY profile, video) > 1 AS twice, grp IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g WHERE g.profile = v.profile AND g.grp = v.grp) AS strange FROM v),
+    f AS (SELECT 'profile' AS part, profile AS item, unnest(['display_name', 'workspace_root', 'readiness']) AS rule, unnest([trim(display_name) = '', workspace_root IS NULL, trim(readiness) = '']) AS bad FROM p
+          UNION ALL SELECT 'group', grp, unnest(['id', 'name', 'unique_id', 'unique_name']), unnest([grp IS NULL, lower(name) = 'unassigned' OR trim(name) <> name, twice, named]) FROM gc
+          UNION ALL SELECT 'video', video, unnest(['id', 'file_path', 'date_label', 'condition', 'sort_order', 'unique_id', 'group_of_profile']), unnest([video IS NULL, trim(file_path) = '', date_label IS NULL, condition NOT IN ('A', 'N'), sort_order < 0, twice, strange]) FROM vc)
+    SELECT part, rule, count(*) AS n, sum(coalesce(item, 0))::BIGINT AS items FROM f WHERE bad GROUP BY 1, 2""")
+def whole_profile(spark, sf_dir):
+    read = lambda columns, name: table(spark, sf_dir, name).selectExpr(*_list(columns))
+    groups = read(_OLD, "supplier").union(read(_NEW, "supplier"))
+    found = results.profile_faults(read(_PROFILE, "customer"), groups, read(_VIDEO, "lineitem"), ("A", "N"))
+    return found.groupBy("part", "rule").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("item").cast("long"), F.lit(0))).alias("items"))

@@ -66,3 +66,17 @@ def test_orders(spark):
     pairs = lambda collation: sorted((r.name, r.o) for r in ordering.matched(df, other, "name", "o", collation).collect())
     assert pairs(ordering.BINARY) == [] and pairs(ordering.NOCASE) == [("Eclair", "ECLAIR"), ("bc", "bC")]
     assert len(pairs(ordering.LOOSE)) == 4
+
+
+def test_profile_faults(spark):
+    profiles = spark.createDataFrame([(1, "n", "w", "Draft"), (2, " ", None, "Draft"), (None, "n", "w", "r")], "profile long, display_name string, workspace_root string, readiness string")
+    groups = spark.createDataFrame([(1, 7, "G"), (1, 8, "g"), (2, 7, "Unassigned"), (2, None, "x"), (2, None, "y")], "profile long, grp long, name string")
+    videos = spark.createDataFrame([(1, 1, "p", "", "T", 0, 7), (1, 1, "p", "", "T", 0, None), (2, 1, "p", "", "T", 0, 8), (2, None, None, None, "X", -1, None)], "profile long, video long, file_path string, date_label string, condition string, sort_order int, grp long")
+    found = sorted((str(r.profile), r.part, str(r.item), r.rule) for r in results.profile_faults(profiles, groups, videos, ("T",)).collect())
+    assert found == sorted([
+        ("2", "profile", "2", "display_name"), ("2", "profile", "2", "workspace_root"), ("None", "profile", "None", "id"),
+        ("1", "group", "7", "unique_name"), ("1", "group", "8", "unique_name"), ("2", "group", "7", "name"), ("2", "group", "None", "id"), ("2", "group", "None", "id"),
+        ("1", "video", "1", "unique_id"), ("1", "video", "1", "unique_id"), ("2", "video", "1", "group_of_profile"),
+        *[("2", "video", "None", rule) for rule in ("id", "file_path", "date_label", "condition", "sort_order")],
+    ])
+    assert results.profile_faults(profiles.limit(0), groups.limit(0), videos.limit(0), ("T",)).count() == 0
