@@ -7,6 +7,7 @@ and then chunks are walked on their own. A hot job spreads over as many tasks as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -98,17 +99,22 @@ def walked(updates: DataFrame, by: list[str], order: list[str], state: str, mach
     place = F.struct(F.col("_at")["_chunk"].alias("chunk"), F.col("_number").alias("number")).alias("place")
     schema = T.StructType([*rows.select("_x", place).schema, T.StructField("before", T.StringType()), T.StructField("legal", T.BooleanType())])
 
-    def walk(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_number")
-        now, before, legal = part.column("entry")[0].as_py(), [], []
-        for code in part.column("_code").to_pylist():
-            update = machine.states[code] if code >= 0 else None
-            before.append(machine.states[now])
-            legal.append(machine.legal(now, update))
-            now = machine.after(now, update)
-        return part.select(["_x", "place"]).append_column("before", pa.array(before, pa.string())).append_column("legal", pa.array(legal, pa.bool_()))
-
-    out = rows.select("_at", "_x", "_code", "_number", "entry", place).groupBy("_at").applyInArrow(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = 0
+        for b in batches:
+            before, legal = [], []
+            for number, entry, code in zip(*(b.column(c).to_pylist() for c in ("_number", "entry", "_code"))):
+                if number == 1:
+                    now = entry  # another chunk begins
+                update = machine.states[code] if code >= 0 else None
+                before.append(machine.states[now])
+                legal.append(machine.legal(now, update))
+                now = machine.after(now, update)
+            yield pa.RecordBatch.from_arrays([b.column("_x"), b.column("place"), pa.array(before, pa.string()), pa.array(legal, pa.bool_())], ["_x", "place", "before", "legal"])
+
+    # whole chunks side by side in a task, each in order: rows pass in batches, however many or long chunks are
+    rows = rows.select("_at", "_x", "_code", "_number", "entry", place).repartition("_at").sortWithinPartitions("_at", "_number")
+    out = rows.mapInArrow(walk, schema)
     return out.select("_x.*", "before", "legal", "place")
 
 
