@@ -9,6 +9,7 @@ so the table answers truncation and budget questions without encoding anything a
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,21 @@ _UNIT = regex.compile(rf"(?:\s+(?=\s))?(?:{PIECE})")
 _SPACE = regex.compile(r"\s")
 
 
+def _basic_unit() -> re.Pattern[str]:
+    """_UNIT for texts of code points below 0x10000, its classes spelled out for the standard library, which looks a
+    character up in a table; letters go first, as no contraction begins with one."""
+    basic = "".join(map(chr, range(0x10000)))
+    letter, number, space, other = (
+        "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(f"{kind}+", basic)) for kind in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")
+    )
+    piece = rf" ?[{letter}]+|{'|'.join(CONTRACTIONS)}| ?[{number}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(rf"(?:[{space}]+(?=[{space}]))?(?:{piece})")
+
+
+_BASIC_UNIT = _basic_unit()
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -48,13 +64,17 @@ class PrefixCounter:
         back = {ord(c): b for b, c in enumerate(_byte_chars())}
         #: Tokens as strings of one character per byte.
         self._vocab = {t.translate(back) for t in tokenizer.get_vocab(with_added_tokens=False)}
-        self._longest = max(map(len, self._vocab))
+        #: What tokens begin with, nothing and themselves included, each with its _ends once a text comes to it.
+        self._begin: dict[str, tuple[tuple[int, ...], tuple[tuple[int, str], ...]]] = {t[:k]: () for t in self._vocab for k in range(len(t) + 1)}
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._pairs: dict[tuple[str, str], bool] = {}
         self._units: dict[str, tuple[bytes, int, int]] = {}
         self._older: dict[str, tuple[bytes, int, int]] = {}
         self._most, self._short = cache_units, cache_bytes
+        #: By 256 times a state's number plus a byte: 65536 times the next one's number plus the last token's length.
+        self._steps: dict[int, int] = {}
+        self._restart()
 
     def _follows(self, last: str, token: str) -> bool:
         """Whether the merge rules leave these two tokens as they are, side by side."""
@@ -65,21 +85,57 @@ class PrefixCounter:
         self._pairs[last, token] = known
         return known
 
+    def _restart(self) -> None:
+        """Only the state before a piece, and no steps.
+
+        A state is the longest beginning of a token that the bytes so far end in, and the last tokens of the prefixes
+        that end where one of its suffixes begins a token; nothing else decides which tokens end at later bytes.
+        """
+        self._states: list[tuple[str, tuple[str, ...]]] = [("", ("",))]
+        self._numbers = {self._states[0]: 0}
+        self._steps.clear()
+
+    def _number(self, state: tuple[str, tuple[str, ...]]) -> int:
+        number = self._numbers.setdefault(state, len(self._states))
+        if number == len(self._states):
+            self._states.append(state)
+        return number
+
+    def _ends(self, tail: str) -> tuple[tuple[int, ...], tuple[tuple[int, str], ...]]:
+        """Lengths of its suffixes that begin a token, shortest first, and of those that are one, longest first."""
+        suffixes = [(n, tail[len(tail) - n :]) for n in range(len(tail) + 1)]
+        found = tuple(n for n, s in suffixes if s in self._begin), tuple((n, s) for n, s in reversed(suffixes) if s in self._vocab)
+        self._begin[tail] = found
+        return found
+
+    def _step(self, key: int) -> int:
+        """One byte of the dynamic programming: its last token, and the state it leads to."""
+        begin = self._begin
+        state = tail, lasts = self._states[key >> 8]
+        if len(self._steps) >= 2 * self._most:  # a piece goes on from where it is, however long
+            self._restart()
+            key = self._number(state) << 8 | key & 255
+        before = dict(zip((begin[tail] or self._ends(tail))[0], lasts))
+        tail += chr(key & 255)
+        while tail not in begin:
+            tail = tail[1:]
+        lengths, tokens = begin[tail] or self._ends(tail)
+        for size, token in tokens:
+            known = self._pairs.get((before[size - 1], token))
+            if known or known is None and self._follows(before[size - 1], token):
+                break
+        state = tail, (token, *[before[n - 1] for n in lengths[1:]])
+        self._steps[key] = found = self._number(state) << 16 | size
+        return found
+
     def _piece(self, piece: str) -> list[int]:
         """Counts after each byte of one pre-token."""
-        s = piece.encode().decode("latin-1")
-        vocab, pairs, longest = self._vocab, self._pairs, self._longest
-        counts, last = [0], [""]
-        for i in range(1, len(s) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = s[j:i]
-                if token in vocab:
-                    known = pairs.get((last[j], token))
-                    if known or known is None and self._follows(last[j], token):
-                        counts.append(counts[j] + 1)
-                        last.append(token)
-                        break
-        if piece in CONTRACTIONS and len(piece) == 3:
+        steps, at, counts = self._steps, 0, [0]
+        for byte in piece.encode():
+            found = steps.get(at + byte) or self._step(at + byte)
+            counts.append(counts[-(found & 0xFFFF)] + 1)
+            at = found >> 16 << 8
+        if len(piece) == 3 and piece in CONTRACTIONS:
             counts[2] = 2  # cut after two characters, the mark and the letter are two pre-tokens
         return counts[1:]
 
@@ -112,7 +168,7 @@ class PrefixCounter:
         end = len(text)
         while end and _SPACE.match(text[end - 1]):
             end -= 1
-        units = _UNIT.findall(text[:end])
+        units = (_UNIT if _BEYOND.search(text) else _BASIC_UNIT).findall(text[:end])
         parts = [found or self._known(u) for u, found in zip(units, map(self._units.get, units))]
         if end < len(text):
             tail = self._piece(text[end:])

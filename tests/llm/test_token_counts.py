@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from ledgerlens.llm import token_counts
 from ledgerlens.llm.token_counts import PrefixCounter, count_tokens, longest_within
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +49,39 @@ def test_prefixes_of_random_texts(text):
         assert table[at - 1] == brute(text[: k + 1])
 
 
+def test_units_of_basic_texts():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    for text in (every, "x".join(every), " ".join(every), "'".join(every), " 're  'll'x \n\t 1's", *TEXTS):
+        basic = "".join(c for c in text if c < "\U00010000")
+        assert token_counts._BASIC_UNIT.findall(basic) == token_counts._UNIT.findall(basic)
+
+
+def test_new_words_take_few_new_steps():
+    """Words not met before mostly go through known states: the merge rules are not looked up for each of their bytes."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    counter = PrefixCounter(PATH)
+    counter._pairs = Asked()
+    words = [f" {a}{b}{c}{d}" for a in ("tion", "sch", "ver") for b in ("ing", "heit", "ous") for c in ("ant", "ell", "ich") for d in ("ment", "ner", "ü")]
+    counter.table("".join(words[::2]))
+    before, new = counter._pairs.n, "".join(words[1::2])
+    assert counter.table(new)[-1] == brute(new)
+    assert 10 * (counter._pairs.n - before) < len(new.encode())
+
+
+def test_states_start_anew():
+    counter = PrefixCounter(PATH, cache_units=20)
+    for text in (*TEXTS, *TEXTS):
+        assert counter.table(text)[-1] == brute(text)
+        assert len(counter._steps) <= 40 and len(counter._states) <= 42
+
+
 def test_special_string():
     text = "a <|endoftext|> b<|endoftext|>"
     assert COUNTER.table(text)[-1] == brute(text)
