@@ -197,6 +197,13 @@ def _texts_at(texts: DataFrame, places: DataFrame) -> DataFrame:
     return screened(texts, ["id", "mark"], places).join(places, ["id", "mark"]).dropDuplicates(["id", "mark", "row"])  # rows equal in id and text
 
 
+def not_in(u: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of u are not in held, which is sorted. Each is searched for, so that the time hardly grows with held."""
+    if not len(held):
+        return np.ones(len(u), bool)
+    return held[np.minimum(np.searchsorted(held, u), len(held) - 1)] != u
+
+
 def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
     """node, keys, short: the first d + 1 rare n-grams of the nodes in hot (row, id, mark); short: there are no more than
     d, so that a similar node may share none. Up to BUCKETS frequent n-grams are sent to the tasks, more are joined."""
@@ -205,7 +212,7 @@ def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> Da
         powers = Powers(0)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                u = shingles(text, size, powers).view(np.int64)
+                u = np.sort(shingles(text, size, powers).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([u], pa.list_(pa.int64())), pa.array([len(u) * (100 - percent) // percent], pa.int32())], names=["node", "grams", "d"])
 
     held = written(_texts_at(texts, hot).select("row", "text").mapInArrow(grams, "node long, grams array<long>, d int"), "hot-grams")
@@ -215,12 +222,14 @@ def _filed_anew(texts: DataFrame, hot: DataFrame, size: int, percent: int) -> Da
         rare = held.select("node", F.explode("grams").alias("gram")).join(often, "gram", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("gram")).alias("rare"))
         rows = held.select("node", "d").join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<long>")))
         return rows.select("node", F.slice("rare", F.lit(1), F.col("d") + 1).alias("keys"), (F.size("rare") <= F.col("d")).alias("short"))
-    sent = texts.sparkSession.sparkContext.broadcast(often.toArrow().column("gram").to_numpy())
+    sent = texts.sparkSession.sparkContext.broadcast(np.sort(often.toArrow().column("gram").to_numpy()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rares = [np.sort(u[~np.isin(u, sent.value)]) for u in map(np.array, batch.column("grams").to_pylist())]
-            ds = batch.column("d").to_pylist()
+            grams, ds = batch.column("grams"), batch.column("d").to_pylist()
+            ends, u = grams.offsets.to_numpy(), grams.values.to_numpy()
+            rare = not_in(u, sent.value)
+            rares = [u[a:b][rare[a:b]] for a, b in zip(ends[:-1], ends[1:])]
             lists = pa.array([r[: d + 1] for r, d in zip(rares, ds)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array([len(r) <= d for r, d in zip(rares, ds)])], names=["node", "keys", "short"])
 

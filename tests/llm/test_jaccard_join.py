@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,19 @@ def test_hot_keys(spark, hot, sent, monkeypatch):
     assert got == brute(rows, 4, 85)[0]
 
 
+def test_frequent_ngrams_are_searched_for():
+    r = np.random.default_rng(3)
+    held = np.sort(r.integers(-(1 << 63), (1 << 63) - 1, 1 << 20))
+    began = time.process_time()
+    for _ in range(1_000):  # a pass over held for each set would take more than ten seconds
+        u = np.sort(np.concatenate([r.integers(-(1 << 63), (1 << 63) - 1, 300), held[r.integers(0, len(held), 100)]]))
+        assert j.not_in(u, held).sum() == 300
+    assert time.process_time() - began < 5
+    few = np.array([-5, 0, 7])
+    assert j.not_in(np.array([-9, -5, 0, 3, 7, 8]), few).tolist() == [True, False, False, True, False, True]
+    assert j.not_in(few, few[:0]).all() and not len(j.not_in(few[:0], few))
+
+
 def test_texts_of_equal_short_hash(spark):
     # "0000348d..." and "55 99 11..." have one 32-bit hash, whatever follows
     a, b = (f"{own} s1 s2 s3 s4 s5 s6 s7 s8" for own in ("0000348d", "55 99 11"))
