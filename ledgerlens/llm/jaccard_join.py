@@ -39,8 +39,8 @@ from ledgerlens.llm.hashing import Powers, Rolling, mixed, word_hashes
 
 #: Fragments for counting overlaps, and bytes kept of an n-gram's hash below the fragment's bits.
 FRAGMENTS, KEPT_BYTES = 16, 6
-#: Nodes under one key beyond which they are filed anew without frequent n-grams.
-HOT = 16
+#: Nodes under one key beyond which they are filed anew without frequent n-grams, and nodes of a block of those that stay.
+HOT, BLOCK = 16, 32
 SET_SCHEMA = "row long, id long, mark binary, doc_id long, n_shingles long, sig binary, keys array<long>, sketch array<long>"
 
 
@@ -263,6 +263,55 @@ class _Verifier:
         return written(sums.where(100 * F.col("i") >= p * (F.col("n") + F.col("m") - F.col("i"))).select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
 
 
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """node, leader, _r, _s of the pairs of different components that may_link lets pass, from pairs of blocks of one key
+    (one, two: arrays of node, root, n, sketch; same: both are one block). All pairs of two blocks are tried at once."""
+
+    def sides(column: pa.ListArray) -> Iterator[dict[int, tuple[np.ndarray, ...]]]:
+        """For each block, by length of the sketch: node, root, n, sketch."""
+        ends, rows = column.offsets.to_numpy(), column.values
+        node, root, n, lists = (rows.field(k) for k in range(4))
+        node, root, n, at, longs = node.to_numpy(), root.to_numpy(), n.to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for a, b in zip(ends[:-1], ends[1:]):
+            length = np.diff(at[a : b + 1])
+            found = {}
+            for k in np.unique(length):
+                here = a + np.flatnonzero(length == k)
+                found[int(k)] = (node[here], root[here], n[here], longs[at[here][:, None] + np.arange(k)])
+            yield found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((4, 0), np.int64)]
+            for one, two, same in zip(sides(batch.column("one")), sides(batch.column("two")), batch.column("same").to_pylist()):
+                for (k, (node, root, n, x)), (m, (leader, top, size, y)) in ((a, b) for a in one.items() for b in two.items()):
+                    if max(k, m) > 2 * min(k, m):  # sizes that may link differ by one folding at most
+                        continue
+                    x, y = (s if s.shape[1] == min(k, m) else s[:, : min(k, m)] ^ s[:, min(k, m) :] for s in (x, y))
+                    gap = np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=np.int64)
+                    p, q = n[:, None], size[None]
+                    near = (100 * np.minimum(p, q) >= percent * np.maximum(p, q)) & (gap * (100 + percent) <= (p + q) * (100 - percent)) & (root[:, None] != top[None])
+                    i, j = np.nonzero(near & (node[:, None] > leader[None]) if same else near)
+                    turned = node[i] < leader[j]
+                    out.append(np.where(turned, np.stack([leader[j], node[i], top[j], root[i]]), np.stack([node[i], leader[j], root[i], top[j]])))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["node", "leader", "_r", "_s"])
+
+    return blocks.mapInArrow(run, "node long, leader long, _r long, _s long")
+
+
+def _cross(rooted: DataFrame, percent: int) -> DataFrame:
+    """node, leader, _r, _s of the pairs under one key that are in different components and that may_link lets pass. rooted
+    has key, node, root, n, sketch, held (nodes under the key). Keys of more than BLOCK nodes are cut into blocks."""
+    few = rooted.where(F.col("held") <= BLOCK)
+    other = few.select("key", F.col("node").alias("leader"), F.col("root").alias("_s"), F.col("n").alias("m"), F.col("sketch").alias("m_sketch"))
+    few = few.join(other, "key").where((F.col("node") > F.col("leader")) & (F.col("root") != F.col("_s")) & may_link("n", "sketch", "m", "m_sketch", percent))
+    many = rooted.where(F.col("held") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)))
+    many = written(many.groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("one")), "blocks")
+    pairs = many.join(many.select("key", F.col("block").alias("other"), F.col("one").alias("two")), "key").where("block <= other")
+    pairs = _block_pairs(pairs.select("one", "two", (F.col("block") == F.col("other")).alias("same")), percent)
+    return few.select("node", "leader", F.col("root").alias("_r"), "_s").unionByName(pairs)
+
+
 def _met(filed: DataFrame) -> DataFrame:
     """key, node, n of filed nodes that meet others; n: nodes under the key."""
     groups = filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -322,11 +371,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
     # Groups that still hold several components: their cross pairs, but for those with the leader.
     rooted = met.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-keys")
+    split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low < high").select("key", "held"), "split-keys")
     size_of = sets.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    rooted = written(rooted.where("node <> leader").join(split, "key").join(size_of, "node").select("key", "node", "root", "n", "sketch"), "split-groups")
-    other = rooted.select("key", F.col("node").alias("leader"), F.col("root").alias("_s"), F.col("n").alias("m"), F.col("sketch").alias("m_sketch"))
-    cross = written(rooted.join(other, "key").where((F.col("node") > F.col("leader")) & (F.col("root") != F.col("_s")) & may_link("n", "sketch", "m", "m_sketch", percent)).groupBy("node", "leader").agg(F.min("root").alias("_r"), F.min("_s").alias("_s")), "cross")
+    rooted = written(rooted.where("node <> leader").join(split, "key").join(size_of, "node").select("key", "node", "root", "n", "sketch", "held"), "split-groups")
+    cross = written(_cross(rooted, percent).groupBy("node", "leader").agg(F.min("_r").alias("_r"), F.min("_s").alias("_s")), "cross")
     one = cross.groupBy(F.least("_r", "_s").alias("x"), F.greatest("_r", "_s").alias("y")).agg(F.min(F.struct("node", "leader")).alias("p")).select("p.node", "p.leader")
     one = written(one, "cross-first")
     labels = components.merged(labels, verify.linked(one))

@@ -111,6 +111,35 @@ def test_frequent_ngrams_are_searched_for():
     assert j.not_in(few, few[:0]).all() and not len(j.not_in(few[:0], few))
 
 
+def test_pairs_by_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows, key = [], 0
+    for key, (n, nodes) in enumerate([(60, 9), (64, 40), (500, 33), (9000, 6)]):  # sets about 64 have sketches of 128 and of 256 bits
+        base = r.integers(0, 1 << 62, n, dtype=np.uint64)
+        for node in range(nodes):
+            u = base.copy()
+            u[r.choice(n, int(r.integers(0, n // 8)), replace=False)] += np.uint64(1 << 62)
+            u = np.unique(np.concatenate([u, r.integers(0, 1 << 63, int(r.integers(0, n // 10)), dtype=np.uint64)]))
+            rows.append((key, 1000 * key + node, 1000 * key + node // 3, len(u), j.sketch(u).tolist(), nodes))
+    rooted = spark.createDataFrame(rows, "key long, node long, root long, n long, sketch array<long>, held long")
+
+    def odd(a, b):  # bits in which two sketches differ, after folding
+        x, y = sorted((np.array(a), np.array(b)), key=len)
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+    want = sorted(
+        (b[1], a[1], b[2], a[2])
+        for x, a in enumerate(rows)
+        for b in rows[x + 1 :]
+        if a[0] == b[0] and a[2] != b[2] and 100 * min(a[3], b[3]) >= 85 * max(a[3], b[3]) and odd(a[4], b[4]) * 185 <= (a[3] + b[3]) * 15
+    )
+    assert len(want) > 50
+    for block in (4, 64):
+        monkeypatch.setattr(j, "BLOCK", block)
+        assert sorted(map(tuple, j._cross(rooted, 85).select("node", "leader", "_r", "_s").collect())) == want
+
+
 def test_texts_of_equal_short_hash(spark):
     # "0000348d..." and "55 99 11..." have one 32-bit hash, whatever follows
     a, b = (f"{own} s1 s2 s3 s4 s5 s6 s7 s8" for own in ("0000348d", "55 99 11"))
