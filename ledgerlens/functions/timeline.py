@@ -21,8 +21,9 @@ def seconds_to_us(text: Column) -> Column:
 
 def rational(text: Column) -> Column:
     """struct num, den of digits/digits, both positive; else null."""
-    part = lambda k: F.regexp_extract(text, r"^([0-9]{1,18})/([0-9]{1,18})\z", k).try_cast("long")
-    return F.when((part(1) > 0) & (part(2) > 0), F.struct(part(1).alias("num"), part(2).alias("den")))
+    positive = text.rlike(r"^(?=[0-9]{1,18}/[0-9]{1,18}\z)0*[1-9][0-9]*/0*[1-9]")  # one match; the parts need none of their own
+    part = lambda k: F.substring_index(text, "/", k).try_cast("long")
+    return F.when(positive, F.struct(part(1).alias("num"), part(-1).alias("den")))
 
 
 def greatest_divisor(a: Column, b: Column, steps: int = 92) -> Column:

@@ -117,11 +117,15 @@ def stream_selection(spark, sf_dir):
     # a document is malformed where it has no streams, an index twice, or none
     listed = F.when(k % 58 == 0, F.lit("")).when(k % 29 == 0, F.concat(F.lit(',"streams":['), cover, F.lit(","), cover, F.lit("]"))).otherwise(F.concat(F.lit(',"streams":['), F.array_join(streams, ","), F.lit("]")))
     form = F.concat(F.lit('{"format":{"format_name":"'), F.when(k % 31 == 0, "matroska").otherwise("mov,mp4,m4a"), F.lit('","duration":"'), F.when(k % 37 == 0, "nan").otherwise(F.concat(text(c), F.lit(".5"))), F.lit('"}'), listed, F.lit("}"))
-    parsed = probe.parsed(F.col("json"))["streams"]
     rows = table(spark, sf_dir, "orders").select("o_orderkey", form.alias("json"))
+    # a select for each step: what a later one uses more than once is evaluated once a row
+    rows = rows.select("o_orderkey", "json", probe.parsed(F.col("json")).alias("doc"))
+    doc, streams = F.col("doc"), F.col("doc")["streams"]
+    rows = rows.select("o_orderkey", "json", "doc", *[probe.real(streams, kind).alias(f"{kind}s") for kind in ("video", "audio")])
+    rows = rows.select("o_orderkey", "json", "doc", *[probe.selected(streams, kind, F.col(f"{kind}s")).alias(kind) for kind in ("video", "audio")])
     sound = F.col("o_orderkey") % 29 > 0
-    chosen = lambda kind: F.when(sound, probe.selected(parsed, kind)["stream"])
-    return rows.select("o_orderkey", probe.verdict(F.col("json")).alias("verdict"), chosen("video")["index"].alias("video_index"), chosen("audio")["sample_rate"].cast("int").alias("audio_rate"))
+    chosen = lambda kind: F.when(sound, F.col(kind)["stream"])
+    return rows.select("o_orderkey", probe.verdict(F.col("json"), doc, F.col("video"), F.col("audio")).alias("verdict"), chosen("video")["index"].alias("video_index"), chosen("audio")["sample_rate"].cast("int").alias("audio_rate"))
 
 
 @R.query("SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY lower(p_name), p_partkey) AS place FROM part")

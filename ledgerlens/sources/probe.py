@@ -23,10 +23,12 @@ def _rate(s: Column) -> Column:
 
 
 def _video_ok(s: Column) -> Column:
-    rate = _rate(s)
-    fps = rate["num"] / rate["den"]
     area = s["width"].cast("long") * s["height"].cast("long")
-    return F.coalesce(s["codec_name"].isNotNull() & s["width"].between(1, 32768) & s["height"].between(1, 32768) & (area <= 268_435_456) & (fps > 0) & (fps <= 1000), F.lit(False))
+    return F.coalesce(s["codec_name"].isNotNull() & s["width"].between(1, 32768) & s["height"].between(1, 32768) & (area <= 268_435_456), F.lit(False))
+
+
+def _rate_ok(rate: Column) -> Column:
+    return F.coalesce(rate["num"] / rate["den"] <= 1000, F.lit(False))  # both are positive
 
 
 def _audio_ok(s: Column) -> Column:
@@ -34,22 +36,43 @@ def _audio_ok(s: Column) -> Column:
     return F.coalesce(s["codec_name"].isNotNull() & rate.between(1, 768_000) & s["channels"].between(1, 64), F.lit(False))
 
 
-def selected(streams: Column, kind: str) -> Column:
-    """struct stream, problem: the only sane stream of a kind, or the only default one of several."""
-    real = F.filter(streams, lambda s: (s["codec_type"] == kind) & (F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) == 0))
-    default = F.filter(real, lambda s: F.coalesce(s["disposition"]["default"], F.lit(0)) == 1)
+def real(streams: Column, kind: str) -> Column:
+    """The streams of a kind that are no attached pictures."""
+    return F.filter(streams, lambda s: (s["codec_type"] == kind) & (F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) == 0))
+
+
+def selected(streams: Column, kind: str, among: Column | None = None) -> Column:
+    """struct stream, problem: the only sane stream of a kind, or the only default one of several.
+
+    among is what real() gives for streams, from a caller that has it as a column.
+    """
+    among = real(streams, kind) if among is None else among
+    default = F.filter(among, lambda s: F.coalesce(s["disposition"]["default"], F.lit(0)) == 1)
     name = kind.capitalize()
-    sane = F.forall(real, _video_ok if kind == "video" else _audio_ok)
-    one = F.when(F.size(real) == 1, F.get(real, F.lit(0))).when(F.size(default) == 1, F.get(default, F.lit(0)))
-    problem = F.when(F.size(real) == 0, f"Missing{name}Stream").when(~sane, f"Invalid{name}Stream").when(one.isNull(), f"Ambiguous{name}Streams")
-    return F.struct(F.when(problem.isNull(), one).alias("stream"), problem.alias("problem"))
+    # rates are read once into a list, not once for each comparison
+    sane = F.forall(among, _video_ok) & F.forall(F.transform(among, _rate), _rate_ok) if kind == "video" else F.forall(among, _audio_ok)
+    found = lambda streams: F.struct(F.get(streams, F.lit(0)).alias("stream"), F.lit(None).cast("string").alias("problem"))
+    failed = lambda problem: F.struct(F.lit(None).alias("stream"), F.lit(problem).alias("problem"))
+    return (
+        F.when(F.size(among) == 0, failed(f"Missing{name}Stream"))
+        .when(~sane, failed(f"Invalid{name}Stream"))
+        .when(F.size(among) == 1, found(among))
+        .when(F.size(default) == 1, found(default))
+        .otherwise(failed(f"Ambiguous{name}Streams"))
+    )
+
 
+def verdict(json: Column, doc: Column | None = None, video: Column | None = None, audio: Column | None = None) -> Column:
+    """Accepted, or the first failure: malformed, container, duration, video, audio.
 
-def verdict(json: Column) -> Column:
-    """Accepted, or the first failure: malformed, container, duration, video, audio."""
-    doc = parsed(json)
+    doc, video and audio are what parsed() and selected() give for json: a caller that has them as columns of an earlier
+    select passes them on, so that each is evaluated once a row.
+    """
+    doc = parsed(json) if doc is None else doc
     streams = doc["streams"]
-    index = F.transform(streams, lambda s: s["index"])
+    video = selected(streams, "video") if video is None else video
+    audio = selected(streams, "audio") if audio is None else audio
+    index = streams["index"]
     malformed = doc["format"].isNull() | streams.isNull() | F.exists(index, lambda i: i.isNull() | (i < 0)) | (F.size(F.array_distinct(index)) != F.size(index))
     brand = F.lower(doc["format"]["tags"]["major_brand"])
     other = F.coalesce(brand.startswith("qt") | brand.startswith("3gp") | brand.startswith("3g2"), F.lit(False))
@@ -57,8 +80,8 @@ def verdict(json: Column) -> Column:
         F.when(F.coalesce(malformed, F.lit(True)), "ProbeOutputMalformed")
         .when(~csv_has(doc["format"]["format_name"], "mp4") | other, "UnsupportedContainer")
         .when(seconds_to_us(doc["format"]["duration"]).isNull(), "InvalidDuration"),
-        selected(streams, "video")["problem"],
-        selected(streams, "audio")["problem"],
+        video["problem"],
+        audio["problem"],
         F.lit("Accepted"),
     )
 

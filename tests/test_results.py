@@ -1,4 +1,10 @@
+import json
+
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import ordering, quality, results
+from ledgerlens.plans import results as plans
+from ledgerlens.sources import probe
 
 
 def row(fields, **other):
@@ -80,3 +86,30 @@ def test_profile_faults(spark):
         *[("2", "video", "None", rule) for rule in ("id", "file_path", "date_label", "condition", "sort_order")],
     ])
     assert results.profile_faults(profiles.limit(0), groups.limit(0), videos.limit(0), ("T",)).count() == 0
+
+
+def test_probe_documents_are_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(k, k % 40) for k in range(1, 200)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    df = plans.stream_selection(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("RLIKE(") == 2  # the two rates of a video
+    assert df.where("verdict = 'Accepted'").count() > 0
+
+
+def test_verdict_of_columns(spark):
+    video = lambda i, **other: {"index": i, "codec_type": "video", "codec_name": "h264", "width": 64, "height": 64, "avg_frame_rate": "30/1", "disposition": {"default": 1}} | other
+    audio = {"index": 9, "codec_type": "audio", "codec_name": "aac", "sample_rate": "48000", "channels": 2}
+    rate = lambda avg, real=None: [video(0, avg_frame_rate=avg, r_frame_rate=real), audio]
+    lists = [[video(0), audio], [audio], [video(0), video(1), audio], [video(0), video(1, disposition=None), audio], [video(0, disposition={"default": 1, "attached_pic": 1}), audio], [None], [None, video(0), audio], None, [], [video(0), video(0)]]
+    lists += [rate("0/0"), rate("0/0", "25/1"), rate("1000/1"), rate("1001/1"), rate(None, "007/2"), rate("1/2\n"), rate(" 1/2"), rate("1/2/3"), rate("1" * 19 + "/1"), rate("9" * 18 + "/" + "9" * 18)]
+    docs = [json.dumps({"format": {"format_name": "mp4", "duration": "1"}, "streams": x}) for x in lists] + [None, "", "[]", '{"streams": []}', '{"format": 1}']
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, json string")
+    kinds = ("video", "audio")
+    rows = df.select("id", "json", probe.parsed(F.col("json")).alias("doc"))
+    streams = F.col("doc")["streams"]
+    rows = rows.select("*", *[probe.real(streams, k).alias(f"{k}s") for k in kinds]).select("*", *[probe.selected(streams, k, F.col(f"{k}s")).alias(k) for k in kinds])
+    rows = rows.select("id", probe.verdict(F.col("json"), F.col("doc"), F.col("video"), F.col("audio")).alias("verdict"), "video.problem", "video.stream.index").orderBy("id").collect()
+    assert [r.verdict for r in rows] == [r.verdict for r in df.select("id", probe.verdict(F.col("json")).alias("verdict")).orderBy("id").collect()]
+    bad, missing, malformed = "InvalidVideoStream", "MissingVideoStream", "ProbeOutputMalformed"
+    assert [r.verdict for r in rows] == ["Accepted", missing, "AmbiguousVideoStreams", "Accepted", missing, malformed, malformed, malformed, missing, malformed, bad, "Accepted", "Accepted", bad, "Accepted", bad, bad, bad, bad, "Accepted", *[malformed] * 5]
+    assert [r["index"] for r in rows[:4]] == [0, None, None, 0] and rows[7].problem == "AmbiguousVideoStreams"
