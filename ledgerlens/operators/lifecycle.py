job_endings: rows are dealt out once and walked once

Symptom: over the 100,000 events of sf0.1 job_endings wrote 29 MB of shuffle and read 45 MB, from a 2 MB table.
Evidence: the plan had 21 exchanges without adaptive execution and broadcasts. Every update was shuffled for the map of its chunk, with an array of seven numbers, for its number in the chunk, for null-safe joins whose keys no partitioning fits, and again after the Python step; the walk ran up to six times in one plan.
Fix: updates are repartitioned by job and chunk once, and that exchange is read by the chunk maps and by the walk. A chunk's map also tells, for each open state it may begin with, its first and last legal times and its first ending, so that folding a job's chunks gives its ending and what holds when each chunk begins; joins of rows with borders, jobs and endings are gone. The join that is left compares structs that are never null, and the walk is an Arrow function beside the rows, so rows stay in place. Hot jobs spread by chunk as before, and no table that grows is broadcast.
Effect: at 1 GB of input CPU 542 -> 326 s, shuffle 1.80 -> 0.36 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.12 GB, longest task 8 -> 15 s, most memory of a task 277 -> 352 MB; at 6 GB of input CPU 2101 -> 998 s, shuffle 10.85 -> 2.15 GB, spill 0.00 -> 0.00 GB, read 1.34 -> 0.78 GB, longest task 24 -> 35 s, most memory of a task 839 -> 671 MB; with hot keys, at 1 GB of input CPU 655 -> 305 s, shuffle 1.68 -> 0.32 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.12 GB, longest task 9 -> 12 s, most memory of a task 277 -> 352 MB.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,35 +49,151 @@ JOB = Machine(
 )
 
 
-def _maps(machine: Machine, update: Column) -> Column:
-    """The map of an update: for each state, the number of the state after it."""
-    stay = F.array(*[F.lit(q) for q in range(len(machine.states))])
-    out = stay
-    for name in machine.states:
-        to = F.array(*[F.lit(machine.after(q, name)) for q in range(len(machine.states))])
-        out = F.when(update == name, to).otherwise(out)
+def _code(machine: Machine, update: Column) -> Column:
+    """The number of a state; one more than there are for null and unknown ones."""
+    out = F.lit(len(machine.states))
+    for i, name in enumerate(machine.states):
+        out = F.when(update == name, F.lit(i)).otherwise(out)
     return out
 
 
-def chunk_maps(updates: DataFrame, order: list[str], state: str, machine: Machine = JOB) -> DataFrame:
-    """_at and product: the map of each chunk, the product of the maps of its updates in their order.
+def _maps(machine: Machine, code: Column) -> Column:
+    """The map of an update by its number: for each state, the number of the state after it."""
+    states = range(len(machine.states))
+    return F.get(F.array(*[F.array(*[F.lit(machine.after(q, name)) for q in states]) for name in (*machine.states, None)]), code)
 
-    An update that changes nothing for any state is the identity and left out before rows are gathered.
-    """
-    one = _maps(machine, F.col(state))
-    rows = updates.select("_at", F.struct(*order, one.alias("_map")).alias("_x"))
-    start = F.array(*[F.lit(q) for q in range(len(machine.states))])
-    folded = F.aggregate("_xs", start, lambda a, x: F.transform(a, lambda q: F.get(x["_map"], q)))
-    return rows.groupBy("_at").agg(F.array_sort(F.collect_list("_x")).alias("_xs")).select("_at", folded.alias("product"))
+
+def _legal(machine: Machine, now: Column, code: Column) -> Column:
+    known = [*machine.states, None]
+    return F.get(F.array(*[F.lit(machine.legal(q, name)) for q in range(len(machine.states)) for name in known]), now * len(known) + code)
+
+
+def _terminal(machine: Machine, code: Column) -> Column:
+    return F.get(F.array(*[F.lit(name in machine.terminal) for name in (*machine.states, None)]), code)
 
 
-def _entries(maps: DataFrame, by: list[str]) -> DataFrame:
-    """_at and entry: the state in which each chunk begins. One row a chunk of a job meets in a task."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col("_at")["_chunk"].alias("_chunk"), "_at", "product")))
-    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("seen"))
-    passed = F.aggregate("_xs", start, lambda a, x: F.struct(F.get(x["product"], a["now"]).alias("now"), F.concat(a["seen"], F.array(a["now"])).alias("seen")), lambda a: a["seen"])
-    rows = maps.groupBy(*[F.col("_at")[c].alias(c) for c in by]).agg(steps.alias("_xs")).select("_xs", passed.alias("_seen"))
-    return rows.select(F.inline(F.transform("_xs", lambda x, i: F.struct(x["_at"].alias("_at"), F.get("_seen", i).alias("entry")))))
+def _open(machine: Machine) -> list[int]:
+    return [q for q, name in enumerate(machine.states) if name not in machine.terminal]
+
+
+def _late(updates: DataFrame, ts: str, gap: str) -> T.DataType:
+    """The type of a time with the gap added, wide enough for times as they are."""
+    return updates.select(F.coalesce(F.col(ts) + F.expr(f"INTERVAL {gap}"), F.col(ts))).schema[0].dataType
+
+
+def chunk_maps(updates: DataFrame, order: list[str], state: str, machine: Machine = JOB, gap: str | None = None) -> DataFrame:
+    """_at and product: the map of each chunk, the product of the maps of its updates in their order.
+
+    updates come partitioned by _at, so that rows stay where they are. With a gap, whose time leads the order, product has
+    for each state in which a job is open: now (the state after the chunk), first and last (times of its legal updates), end
+    (ts, kind of the first ending in it that no earlier chunk has a part in); and _latest is the chunk's greatest time.
+    """
+    rows = updates.select("_at", F.col(order[0]).alias("_time"), F.struct(*order, _code(machine, F.col(state)).alias("_code")).alias("_x"))
+    rows = rows.groupBy("_at").agg(F.array_sort(F.collect_list("_x")).alias("_xs"), F.max("_time").alias("_latest"))
+    if gap is None:
+        start = F.array(*[F.lit(q) for q in range(len(machine.states))])
+        folded = F.aggregate("_xs", start, lambda a, x: F.transform(a, lambda q: F.get(_maps(machine, x["_code"]), q)))
+        return rows.select("_at", folded.alias("product"))
+    ts, pause = order[0], F.expr(f"INTERVAL {gap}")
+    time = F.lit(None).cast(updates.schema[ts].dataType)
+    end = lambda at, kind: F.struct(at.cast(_late(updates, ts, gap)).alias("ts"), kind.alias("kind"))
+
+    def after(s: Column, x: Column) -> Column:
+        legal = _legal(machine, s["now"], x["_code"])
+        beat = F.when(legal, x[ts])
+        stopped = ~_terminal(machine, s["now"]) & (x[ts] > s["last"] + pause)
+        own = F.when(stopped, end(s["last"] + pause, F.lit(INTERRUPTED))).when(legal & _terminal(machine, x["_code"]), end(x[ts], x[state]))
+        return F.struct(F.get(_maps(machine, x["_code"]), s["now"]).alias("now"), F.coalesce(s["first"], beat).alias("first"), F.coalesce(beat, s["last"]).alias("last"), F.coalesce(s["end"], own).alias("end"))
+
+    no_end = F.when(F.lit(False), end(time, F.lit("")))
+    start = F.array(*[F.struct(F.lit(q).alias("now"), time.alias("first"), time.alias("last"), no_end.alias("end")) for q in _open(machine)])
+    folded = F.aggregate("_xs", start, lambda a, x: F.transform(a, lambda s: after(s, x)))
+    return rows.select("_at", folded.alias("product"), "_latest")
+
+
+def _passed(maps: DataFrame, by: list[str], machine: Machine, gap: str | None) -> DataFrame:
+    """A row a job: its chunks _xs in order, and passed, with now (last and end too, with a gap) after all of them and seen:
+    the same before each. One row a chunk of a job meets in a task."""
+    steps = F.array_sort(F.collect_list(F.struct(F.col("_at")["_chunk"].alias("_chunk"), *maps.columns)))
+    rows = maps.groupBy(*[F.col("_at")[c].alias(c) for c in by]).agg(steps.alias("_xs"))
+    if gap is None:
+        state = lambda a: F.struct(a["now"].alias("now"))
+        start, next_ = [F.lit(0).alias("now")], lambda a, x: [F.get(x["product"], a["now"]).alias("now")]
+    else:
+        pause, kind = F.expr(f"INTERVAL {gap}"), maps.schema["product"].dataType.elementType
+        state = lambda a: F.struct(a["now"].alias("now"), a["last"].alias("last"), a["end"].isNotNull().alias("ended"))
+        start = [F.lit(0).alias("now"), *[F.lit(None).cast(kind[c].dataType).alias(c) for c in ("last", "end")]]
+
+        def next_(a: Column, x: Column) -> list[Column]:
+            place = {q: i for i, q in enumerate(_open(machine))}
+            s = F.get(x["product"], F.get(F.array(*[F.lit(place.get(q)) for q in range(len(machine.states))]), a["now"]))  # null once the job is over
+            # up to its first legal update a chunk stays in the state it begins with: the gap may be over by then
+            stopped = ~_terminal(machine, a["now"]) & (F.coalesce(s["first"], x["_latest"]) > a["last"] + pause)
+            own = F.when(stopped, F.struct((a["last"] + pause).cast(kind["end"].dataType["ts"].dataType).alias("ts"), F.lit(INTERRUPTED).alias("kind"))).otherwise(s["end"])
+            return [F.coalesce(s["now"], a["now"]).alias("now"), F.coalesce(s["last"], a["last"]).alias("last"), F.coalesce(a["end"], own).alias("end")]
+
+    first = F.struct(*start)
+    seen = F.filter(F.array(state(first)), lambda s: F.lit(False))
+    return rows.withColumn("passed", F.aggregate("_xs", F.struct(*start, seen.alias("seen")), lambda a, x: F.struct(*next_(a, x), F.concat(a["seen"], F.array(state(a))).alias("seen"))))
+
+
+def _entries(passed: DataFrame) -> DataFrame:
+    """_of and entry: what holds when each chunk begins."""
+    return passed.select(F.inline(F.transform("_xs", lambda x, i: F.struct(x["_at"].alias("_of"), F.get("passed.seen", i).alias("entry")))))
+
+
+def _own(*columns: str) -> list[str]:
+    """Names of callers' columns while others stand beside them."""
+    return [f"_x_{c}" for c in columns]
+
+
+def _placed(updates: DataFrame, by: list[str], order: list[str], state: str, machine: Machine, chunk: Column | None, gap: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """updates by chunk under their own names, dealt out once for all that follows, and what _passed() says of their jobs."""
+    at = F.struct(*by, (F.lit(0) if chunk is None else chunk).alias("_chunk")).alias("_at")
+    needed = [*order, state]
+    columns = [c for c in dict.fromkeys(needed if gap else updates.columns) if c not in by or c in needed]
+    rows = updates.select(at, *[F.col(c).alias(*_own(c)) for c in columns]).repartition("_at")
+    return rows, _passed(chunk_maps(rows, _own(*needed), *_own(state), machine, gap), by, machine, gap)
+
+
+def _walked(rows: DataFrame, passed: DataFrame, order: list[str], state: str, machine: Machine, gap: str | None = None) -> DataFrame:
+    """rows with _number in their chunk, before, legal and, with a gap, over: the job has ended before or at the row by the gap,
+    or before it by a terminal update."""
+    known = [*machine.states, None]
+    legal = [[machine.legal(q, name) for name in known] for q in range(len(machine.states))]
+    terminal = [name in machine.terminal for name in known]
+
+    @F.arrow_udf("struct<now: int, over: boolean>")
+    def walk(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        now, over, due = 0, False, None
+        for numbers, entries, codes, *more in batches:
+            whole = (c.cast(pa.int32() if pa.types.is_date32(c.type) else pa.int64()).to_pylist() for c in more[1:])
+            ended, border, at, next_due = (more[0].to_pylist(), *whole) if more else (repeat(None) for _ in range(4))
+            before, past = [], []
+            for number, entry, code, e, b, t, d in zip(numbers.to_pylist(), entries.to_pylist(), codes.to_pylist(), ended, border, at, next_due):
+                if number == 1:
+                    now, over, due = entry, e, b  # another chunk begins
+                over = over or (due is not None and t is not None and t > due and not terminal[now])
+                before.append(now)
+                past.append(over)
+                if legal[now][code]:
+                    now, over, due = code, over or terminal[code], due if d is None else d
+            yield pa.StructArray.from_arrays([pa.array(before, pa.int32()), pa.array(past, pa.bool_())], ["now", "over"])
+
+    number = F.row_number().over(Window.partitionBy("_at").orderBy(*order, state))
+    rows = rows.withColumns({"_number": number, "_code": _code(machine, F.col(state))})
+    # a struct is never null, and nulls in it are equal: rows stay where they are
+    rows = rows.join(_entries(passed), F.col("_at") == F.col("_of")).drop("_of")
+    # whole chunks side by side in a task, each in order: rows pass in batches, however many or long chunks are
+    rows = rows.repartition("_at").sortWithinPartitions("_at", "_number")
+    entry, more = F.col("entry"), []
+    if gap:
+        due = lambda t: t + F.expr(f"INTERVAL {gap}")
+        kind = _late(rows, order[0], gap)
+        more = [entry["ended"], *[t.cast(kind) for t in (due(entry["last"]), F.col(order[0]), due(F.col(order[0])))]]
+    rows = rows.withColumn("_step", walk.asNondeterministic()("_number", entry["now"], "_code", *more))
+    now = F.col("_step")["now"]
+    return rows.withColumns({"before": F.get(F.array(*[F.lit(name) for name in machine.states]), now), "legal": _legal(machine, now, F.col("_code")), "over": F.col("_step")["over"]})
 
 
 def walked(updates: DataFrame, by: list[str], order: list[str], state: str, machine: Machine = JOB, chunk: Column | None = None) -> DataFrame:
@@ -87,35 +204,10 @@ def walked(updates: DataFrame, by: list[str], order: list[str], state: str, mach
     falls along the order. Columns named before, legal and place are replaced; no column may be named _at, _x or _code.
     """
     updates = updates.drop("before", "legal", "place")
-    rows = updates.withColumn("_at", F.struct(*by, (F.lit(0) if chunk is None else chunk).alias("_chunk")))
-    within = [*order, state]
-    entries = _entries(chunk_maps(rows, within, state, machine), by).select(F.col("_at").alias("_of"), "entry")
-    code = F.lit(-1)
-    for i, name in enumerate(machine.states):
-        code = F.when(F.col(state) == name, F.lit(i)).otherwise(code)
-    number = F.row_number().over(Window.partitionBy("_at").orderBy(*within))
-    rows = rows.select("_at", F.struct(*updates.columns).alias("_x"), code.alias("_code"), number.alias("_number"))
-    rows = rows.join(entries, F.col("_at").eqNullSafe(F.col("_of"))).drop("_of")
+    placed, passed = _placed(updates, by, order, state, machine, chunk)
+    rows = _walked(placed, passed, _own(*order), *_own(state), machine)
     place = F.struct(F.col("_at")["_chunk"].alias("chunk"), F.col("_number").alias("number")).alias("place")
-    schema = T.StructType([*rows.select("_x", place).schema, T.StructField("before", T.StringType()), T.StructField("legal", T.BooleanType())])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = 0
-        for b in batches:
-            before, legal = [], []
-            for number, entry, code in zip(*(b.column(c).to_pylist() for c in ("_number", "entry", "_code"))):
-                if number == 1:
-                    now = entry  # another chunk begins
-                update = machine.states[code] if code >= 0 else None
-                before.append(machine.states[now])
-                legal.append(machine.legal(now, update))
-                now = machine.after(now, update)
-            yield pa.RecordBatch.from_arrays([b.column("_x"), b.column("place"), pa.array(before, pa.string()), pa.array(legal, pa.bool_())], ["_x", "place", "before", "legal"])
-
-    # whole chunks side by side in a task, each in order: rows pass in batches, however many or long chunks are
-    rows = rows.select("_at", "_x", "_code", "_number", "entry", place).repartition("_at").sortWithinPartitions("_at", "_number")
-    out = rows.mapInArrow(walk, schema)
-    return out.select("_x.*", "before", "legal", "place")
+    return rows.select(*[(F.col("_at")[c] if c in by else F.col(*_own(c))).alias(c) for c in updates.columns], "before", "legal", place)
 
 
 def illegal_transitions(updates: DataFrame, by: list[str], order: list[str], state: str, machine: Machine = JOB, chunk: Column | None = None) -> DataFrame:
@@ -130,32 +222,20 @@ def endings(updates: DataFrame, by: list[str], ts: str, order: list[str], state:
     (until, by default the greatest time of the table). Later updates of an ended job are late; updates before that which the
     machine forbids are illegal and no sign of life. ts leads the order; it must not be null. Other rules as in walked().
     """
-    rows = walked(updates, by, [ts, *order], state, machine, chunk)
+    order = [ts, *order]
+    placed, passed = _placed(updates, by, order, state, machine, chunk, gap)
+    rows = _walked(placed, passed, _own(*order), *_own(state), machine, gap)
     pause = F.expr(f"INTERVAL {gap}")
-    beat = F.when(F.col("legal"), F.col(ts))
-    rows = rows.select(F.struct(*by).alias("_job"), F.col(ts).alias("_ts"), F.col(state).alias("_state"), "before", "legal", "place", beat.alias("_beat"))
-    here = Window.partitionBy("_job", F.col("place")["chunk"]).orderBy(F.col("place")["number"]).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("_job", F.col("place")["chunk"].alias("_chunk")).agg(F.max("_beat").alias("_last"))
-    ahead = Window.partitionBy("_job").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    borders = chunks.select(F.col("_job").alias("_j"), "_chunk", F.max("_last").over(ahead).alias("_border"))
-    rows = rows.withColumn("_own", F.max("_beat").over(here)).join(borders, F.col("_job").eqNullSafe(F.col("_j")) & F.col("place")["chunk"].eqNullSafe(F.col("_chunk"))).drop("_j", "_chunk")
-    rows = rows.withColumn("_previous", F.coalesce("_own", "_border"))
-    stopped = ~F.col("before").isin(*machine.terminal) & F.coalesce(F.col("_ts") > F.col("_previous") + pause, F.lit(False))
-    done = F.col("legal") & F.col("_state").isin(*machine.terminal)
-    closing = F.struct("place", (~stopped).alias("own"), F.when(stopped, F.col("_previous") + pause).otherwise(F.col("_ts")).alias("ts"), F.when(stopped, F.lit(INTERRUPTED)).otherwise(F.col("_state")).alias("kind"))
-    jobs = rows.groupBy(F.col("_job").alias("_j")).agg(F.min(F.when(stopped | done, closing)).alias("_end"), F.max("_beat").alias("_last"))
+    jobs = passed.select(F.struct(*by).alias("_job"), F.col("passed.end").alias("_end"), F.col("passed.last").alias("_last"))
     if until is None:
         latest = updates.agg(F.max(ts).alias("_until"))  # one row
         jobs = jobs.join(F.broadcast(latest))
     else:
         jobs = jobs.withColumn("_until", until)
     quiet = F.col("_end").isNull() & (F.col("_until") > F.col("_last") + pause)
-    ended = jobs.where(F.col("_end").isNotNull() | quiet).select(F.col("_j").alias("_job"), F.coalesce("_end.ts", F.col("_last") + pause).alias(ts), F.coalesce("_end.kind", F.lit(INTERRUPTED)).alias("kind"))
-    over = jobs.select("_j", "_end")
-    rows = rows.join(over, F.col("_job").eqNullSafe(F.col("_j")))
-    after = (F.col("place") > F.col("_end.place")) | ((F.col("place") == F.col("_end.place")) & ~F.col("_end.own"))
-    kind = F.when(F.coalesce(after, F.lit(False)), F.lit(LATE)).when(~F.col("legal"), F.lit(ILLEGAL))
-    rest = rows.select("_job", F.col("_ts").alias(ts), kind.alias("kind")).where("kind is not null")
+    ended = jobs.where(F.col("_end").isNotNull() | quiet).select("_job", F.coalesce("_end.ts", F.col("_last") + pause).alias(ts), F.coalesce("_end.kind", F.lit(INTERRUPTED)).alias("kind"))
+    kind = F.when(F.col("over"), F.lit(LATE)).when(~F.col("legal"), F.lit(ILLEGAL))
+    rest = rows.select(F.struct(*[F.col("_at")[c].alias(c) for c in by]).alias("_job"), F.col(*_own(ts)).alias(ts), kind.alias("kind")).where("kind is not null")
     return ended.unionByName(rest).select("_job.*", ts, "kind")
 
 

@@ -91,6 +91,37 @@ def test_one_hot_job(spark):
     assert spread == 6
 
 
+def test_rows_are_shuffled_once(spark):
+    rows = spark.createDataFrame(updates(3, 400), SCHEMA)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lc.endings(rows, ["job"], "ts", ["id"], "state", "30 MINUTES", chunk=F.expr("date_trunc('hour', ts)"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    lines = [x for x in plan.split("\n") if "Exchange" in x]
+    made = [x for x in lines if "Reused" not in x and "Broadcast" not in x]
+    # rows by chunk, chunks by job, what holds at their beginning by chunk, and the greatest time; jobs have no row of their own
+    assert len(made) == 4 and sum("REPARTITION_BY_COL" in x for x in made) == 1 and sum("SinglePartition" in x for x in made) == 1
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
+def test_other_kinds_of_times_and_names(spark):
+    rows = updates(5, 200)
+    want, _ = plain(rows, timedelta(minutes=30))
+    df = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"id": "entry", "state": "over", "job": "now"})
+    assert found(lc.endings(df, ["now"], "ts", ["entry"], "over", "30 MINUTES", chunk=F.expr("date_trunc('hour', ts)"))) == want
+    got = lc.walked(df.withColumn("_number", F.lit(1)), ["now"], ["ts", "entry"], "over")
+    assert got.columns == ["now", "ts", "entry", "over", "kind", "_number", "before", "legal", "place"] and got.count() == 200
+    plain_time = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert found(lc.endings(plain_time, ["now"], "ts", ["entry"], "over", "30 MINUTES")) == want
+    days = spark.createDataFrame([(1, "2024-01-01", "Running"), (1, "2024-01-02", "Running"), (1, "2024-01-09", "Running"), (2, "2024-01-09", "Failed"), (2, "2024-01-09", "Queued")], "j int, d string, s string").select("j", F.col("d").cast("date").alias("d"), "s")
+    got = lc.endings(days, ["j"], "d", [], "s", "1 DAY", chunk=F.expr("date_trunc('week', d)"))
+    assert sorted((r.j, str(r.d)[:10], r.kind) for r in got.collect()) == [(1, "2024-01-03", "Interrupted"), (1, "2024-01-09", "late"), (2, "2024-01-09", "Failed"), (2, "2024-01-09", "late")]
+
+
 def test_readiness_after(spark):
     ended = spark.createDataFrame([(1, True), (1, False), (2, False), (3, True), (None, True), (4, None)], "p long, media boolean")
     rows = spark.createDataFrame([(1, "Validated"), (1, "Prepared"), (2, "Validated"), (9, "Validated")], "p long, state string")
